@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licences
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 MIXING = rf"""
@@ -22,5 +24,36 @@ SELECT doc_id, size, source_size, target, ((floor(rate * nth + u) - floor(rate *
 """
 
 
+
+URLS = r"""
+WITH p AS (SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_at,
+                  nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', ''), '') AS host FROM pages),
+n AS (SELECT pattern, md5(pattern) AS h FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS pattern FROM p WHERE host IS NOT NULL)),
+m AS (SELECT pattern, CASE WHEN substr(h, 8, 1) < '8' THEN 'spam' ELSE 'adult' END AS category, substr(h, 7, 1) < '8' AS again,
+             ('0x' || substr(h, 3, 2))::INT AS a, ('0x' || substr(h, 3, 2))::INT + ('0x' || substr(h, 5, 2))::INT + 1 AS b
+      FROM n WHERE substr(h, 1, 1) < '4' OR pattern = 'cheap-pills.example.net'),
+i AS (SELECT pattern, category, DATE '2024-01-01' + a AS f, DATE '2024-01-01' + b AS t FROM m
+      UNION ALL SELECT pattern, category, DATE '2024-01-01' + b + 30, NULL FROM m WHERE again),
+x AS (SELECT p.page_id, i.pattern, i.category FROM p JOIN i
+      ON (p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)) AND i.f <= p.fetched_at AND (i.t IS NULL OR p.fetched_at < i.t)),
+g AS (SELECT page_id, count(*) AS n_active, arg_min(pattern, (-length(pattern), category, pattern)) AS pattern, arg_min(category, (-length(pattern), category, pattern)) AS category FROM x GROUP BY page_id)
+SELECT p.page_id, p.host, g.page_id IS NOT NULL AS blocked, g.pattern, g.category, coalesce(n_active, 0)::BIGINT AS n_active
+FROM p LEFT JOIN g USING (page_id)
+"""
+
+
+def licences_sql() -> str:
+    rows = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{x}'" for x in b)) for n, b in licences.template_bigrams(licences.TEMPLATES))
+    return f"""
+WITH t(name, grams) AS (VALUES {rows}),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
+w AS (SELECT doc_id, row_number() OVER () AS unit_id, string_split(trim(regexp_replace(translate(unit, '{licences.UPPER}', '{licences.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
+b AS (SELECT doc_id, unit_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w),
+d AS (SELECT doc_id, unit_id, name, 2.0::DOUBLE * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) AS dice FROM b JOIN t ON list_has_any(b.grams, t.grams)),
+g AS (SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(DISTINCT unit_id) AS n_matches FROM d WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id)
+SELECT doc_id, licence, dice, coalesce(n_matches, 0)::BIGINT AS n_matches FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING}
+    return {"op3_mixing": MIXING, "op6_urls": URLS, "op8_licences": licences_sql()}
