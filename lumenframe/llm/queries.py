@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, packing, rules, urls
+from . import langid, licences, mixing, packing, quality, rules, urls
 from .common import read
 
 
@@ -18,11 +18,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = quality.folds(F.col("doc_id"), 3)
+    model = langid.fit(docs.where((fold != 1) & F.col("lang").isNotNull()))
+    return langid.label(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = quality.folds(F.col("doc_id"), 5)
+    model = quality.fit(docs.where(fold != 0), read(spark, sf_dir, "labels").where(fold != 0))
+    return quality.rate(docs.select("doc_id", (fold == 0).alias("held_out"), "text"), model).drop("text")
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.rate(docs, rules.trusted_ids(read(spark, sf_dir, "labels"))).drop("text")
@@ -57,7 +71,9 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_langid": op2_langid,
         "op3_mixing": op3_mixing,
+        "op4_quality": op4_quality,
         "op5_rules": op5_rules,
         "op6_urls": op6_urls,
         "op8_licences": op8_licences,
