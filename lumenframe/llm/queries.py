@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licences, mixing, packing, quality, rules, urls
+from . import jaccard, langid, licences, mixing, packing, quality, rules, urls, vectors
 from .common import read
 
 
@@ -68,6 +68,10 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -81,5 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_rules": op5_rules,
         "op6_urls": op6_urls,
         "op8_licences": op8_licences,
+        "op9_vectors": op9_vectors,
         "op10_jaccard": op10_jaccard,
     }
