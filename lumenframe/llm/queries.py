@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licences, mixing, packing, quality, rules, urls, vectors
+from . import jaccard, langid, licences, lm, mixing, packing, quality, rules, urls, vectors
 from .common import read
 
 
@@ -64,6 +64,12 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages.withColumn("fetched_at", fetched), listed_domains(pages)).drop("url", "fetched_at")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lambda: quality.folds(F.col("doc_id"), 5) == 1
+    return lm.score(docs, ~held()).withColumn("held_out", held())
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_rules": op5_rules,
         "op6_urls": op6_urls,
+        "op7_lm": op7_lm,
         "op8_licences": op8_licences,
         "op9_vectors": op9_vectors,
         "op10_jaccard": op10_jaccard,
