@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import jaccard, langid, licences, lm, mixing, packing, quality, rules, urls, vectors
 from .common import read
 
@@ -94,4 +96,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_vectors": op9_vectors,
         "op10_jaccard": op10_jaccard,
+        "pipeline": corpus_pipeline.run,
     }
