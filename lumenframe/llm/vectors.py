@@ -105,69 +105,63 @@ def visit(tree: Tree, rows: np.ndarray, gap: float) -> Iterator[tuple[int, np.nd
         todo += [(tree.children[k][0], own[at <= tree.cuts[k] + gap]), (tree.children[k][1], own[at > tree.cuts[k] - gap])]
 
 
-def links_in_leaf(rows: np.ndarray, sizes: np.ndarray, copies: np.ndarray, names: np.ndarray, seen: np.ndarray, code: int, cosine: float, leaf_rows: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
+def links_in_leaf(rows: np.ndarray, sizes: np.ndarray, copies: np.ndarray, names: np.ndarray, visited: list[list[int]], code: int, cosine: float, leaf_rows: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """For each vector of a leaf: copies of those that it links with and meets here first, and the least name of its component here."""
     n = len(rows)
     norms = np.linalg.norm(rows, axis=1)
     counts, root = np.zeros(n, np.int64), np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    parts = [(0, np.arange(n))]
-    inside = np.zeros((n, 1), np.int64)
+    parts, within = [(0, np.arange(n))], [[0]] * n
     if n > leaf_rows:
-        tree = grow(unit(rows), 1.0, leaf_rows, gap, np.random.default_rng([SEED, code & 0x7FFFFFFF]))
-        parts = sorted(visit(tree, unit(rows), gap), key=lambda x: x[0])
-        held: list[list[int]] = [[] for _ in range(n)]
+        units = unit(rows)
+        parts = sorted(visit(grow(units, 1.0, leaf_rows, gap, np.random.default_rng([SEED, code & 0x7FFFFFFF])), units, gap), key=lambda x: x[0])
+        within = [[] for _ in range(n)]
         for k, own in parts:
             for i in own:
-                held[i].append(k)
-        width = max(map(len, held))
-        inside = np.array([h + [-1 - i] * (width - len(h)) for i, h in enumerate(held)], np.int64)
+                within[i].append(k)
     for k, own in parts:
         for a in range(0, len(own), BLOCK):
             for b in range(a, len(own), BLOCK):
                 x, y = own[a : a + BLOCK], own[b : b + BLOCK]
-                near = (rows[x] @ rows[y].T) >= cosine * np.outer(norms[x], norms[y])
-                near &= sizes[x][:, None] == sizes[y][None]
+                near = ((rows[x] @ rows[y].T) >= cosine * np.outer(norms[x], norms[y])) & (sizes[x][:, None] == sizes[y][None])
                 if a == b:
-                    near = np.triu(near, 1)
-                i, j = np.nonzero(near)
-                i, j = x[i], y[j]
-                for s in range(0, len(i), 50_000):
-                    p, q = i[s : s + 50_000], j[s : s + 50_000]
-                    for u, v in zip(p.tolist(), q.tolist()) if len(i) < 200_000 else spanning(p, q, root):
-                        u, v = find(u), find(v)
-                        root[max(u, v)] = min(u, v)
-                    fresh = first_meeting(seen[p], seen[q], code)
-                    if len(parts) > 1:
-                        fresh &= first_meeting(inside[p], inside[q], k)
-                    np.add.at(counts, p[fresh], copies[q[fresh]])
-                    np.add.at(counts, q[fresh], copies[p[fresh]])
-    roots = np.array([find(i) for i in range(n)])
+                    np.fill_diagonal(near, False)
+                left, right = near.any(1), near.any(0)
+                if not left.any():
+                    continue
+                x, y, near = x[left], y[right], near[np.ix_(left, right)]
+                unite(root, x, y, near)
+                near &= ~met_before(visited, x, y, code)
+                if len(parts) > 1:
+                    near &= ~met_before(within, x, y, k)
+                counts[x] += near @ copies[y]
+                if a != b:
+                    counts[y] += near.T @ copies[x]
     least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, roots, names)
-    return counts, least[roots]
+    np.minimum.at(least, root, names)
+    return counts, least[root]
 
 
-def spanning(p: np.ndarray, q: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
-    """Of very many links, one for each pair of roots that are apart."""
-    while (up := root[root]).tolist() != root.tolist():
-        root[:] = up
-    pairs = np.unique(np.stack([root[p], root[q]], 1), axis=0)
-    return [(int(u), int(v)) for u, v in pairs if u != v]
+def unite(root: np.ndarray, x: np.ndarray, y: np.ndarray, near: np.ndarray) -> None:
+    """Join the components that near pairs connect; ``root`` holds the least member of each."""
+    while True:
+        apart = near & (root[x][:, None] != root[y][None])
+        some = np.flatnonzero(apart.any(1))
+        if not len(some):
+            return
+        u, v = root[x[some]], root[y[apart[some].argmax(1)]]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
 
 
-def first_meeting(x: np.ndarray, y: np.ndarray, code: int) -> np.ndarray:
-    """Whether the least common value of each two rows is ``code``; rows are padded with values that differ."""
-    met = np.zeros(len(x), bool)
-    for k in range(x.shape[1]):
-        met |= (x[:, k : k + 1] == y).any(1) & (x[:, k] < code) & (x[:, k] >= 0)
-    return ~met
+def met_before(places: list[list[int]], x: np.ndarray, y: np.ndarray, here: int) -> np.ndarray:
+    """Whether each pair shares a place that comes before ``here``."""
+    earlier = [[k for k in places[i] if k < here] for i in (*x, *y)]
+    number = {k: j for j, k in enumerate(sorted({k for own in earlier for k in own}))}
+    there = np.zeros((len(earlier), len(number)), np.float32)
+    for i, own in enumerate(earlier):
+        there[i, [number[k] for k in own]] = 1
+    return there[: len(x)] @ there[len(x) :].T > 0
 
 
 def valid(vector: str) -> Column:
@@ -222,10 +216,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         leaf = leaf.combine_chunks().sort_by("rep")
         vectors, sizes = matrix(leaf["v"])
         names, code = leaf["rep"].to_numpy(), leaf["code"][0].as_py()
-        visited = leaf["visited"].to_pylist()
-        width = max(map(len, visited))
-        seen = np.array([v + [-1 - i] * (width - len(v)) for i, v in enumerate(visited)], np.int64)
-        counts, least = links_in_leaf(vectors, sizes, leaf["copies"].to_numpy(), names, seen, code, cosine, leaf_rows, gap)
+        counts, least = links_in_leaf(vectors, sizes, leaf["copies"].to_numpy(), names, leaf["visited"].to_pylist(), code, cosine, leaf_rows, gap)
         some = np.flatnonzero((counts > 0) | (least != names))
         return pa.table({"rep": names[some], "links": counts[some], "least": least[some]}, schema=pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("least", pa.int64())]))
 
