@@ -1,0 +1 @@
+"""Analytics over media libraries and their metadata, on Spark."""
