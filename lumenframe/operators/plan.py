@@ -47,7 +47,7 @@ def numbered(ops: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     nth = F.row_number().over(W.partitionBy("dest_path").orderBy("seq")) - 1
-    apart = F.regexp_replace("dest_path", r"(\.[^./]+)?$", F.concat(F.lit("_"), nth.cast("string"), F.lit("$1")))
+    apart = F.regexp_replace(F.col("dest_path"), F.lit(r"^(.*?)(\.[^./]*)?$"), F.concat(F.lit("$1_"), nth.cast("string"), F.lit("$2")))
     return ops.withColumn("dest_path", F.when(nth > 0, apart).otherwise(F.col("dest_path")))
 
 
@@ -89,5 +89,5 @@ def common_root(paths: DataFrame, path: str = "path", by: list[str] | None = Non
 
 def verified(pairs: DataFrame) -> DataFrame:
     """With ``intact``: equal sizes and, below 10 MiB, equal MD5. Columns: size and content of both sides (source_*, dest_*)."""
-    sides = F.when(F.col("source_size") != F.col("dest_size"), False).when(F.col("source_size") >= FULL_CHECK_BELOW, True).otherwise(F.md5(F.col("source_content").cast("binary")) == F.md5(F.col("dest_content").cast("binary")))
+    sides = F.when(F.col("source_size").isNull() | (F.col("source_size") != F.col("dest_size")), False).when(F.col("source_size") >= FULL_CHECK_BELOW, True).otherwise(F.md5(F.col("source_content").cast("binary")) == F.md5(F.col("dest_content").cast("binary")))
     return pairs.withColumn("intact", F.coalesce(sides, F.lit(False)))
