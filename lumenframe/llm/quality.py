@@ -34,6 +34,7 @@ GRAMS = (3, 4, 5)
 SAMPLE = 3000
 SAMPLE_CHARS = 40_000
 EPOCHS = 8
+LEAST_STEPS = 20_000
 RATE = 0.4
 REACH = 1000.0
 CUT = 0.3
@@ -56,9 +57,9 @@ def features(chunk: Chunk, bits: int = BITS) -> tuple[list[np.ndarray], list[np.
     for n in GRAMS:
         at = np.arange(len(data) - n + 1)
         inner = blank[at + n - 1] == blank[at + 1]  # only the first and the last byte may be an edge
-        at = np.flatnonzero(inner & ~(_SPACE[data[at]] & _SPACE[data[at + n - 1]] & (n == 2)))
+        at = np.flatnonzero(inner)
         numbers.append((hashes.grams(n)[at] >> shift).astype(np.int32))
-        places.append(np.maximum(at, 1))
+        places.append(at)
     return numbers, places
 
 
@@ -72,8 +73,7 @@ class Model:
         for c in chunks(texts):
             total, count = np.zeros(len(c.start)), np.zeros(len(c.start))
             for numbers, places in zip(*features(c)):
-                lo, hi = np.searchsorted(places, c.start), np.searchsorted(places, c.end + 1)
-                hi = np.minimum(hi, np.append(lo[1:], len(places)))
+                lo, hi = np.searchsorted(places, c.start - 1), np.searchsorted(places, c.end)
                 total += segment_sums(self.worth[numbers], lo, hi)
                 count += hi - lo
             out[c.first : c.first + len(total)] = total / np.maximum(count, 1) + self.bias
@@ -84,7 +84,8 @@ def train(texts: list[str], labels: np.ndarray, bits: int = BITS, dim: int = DIM
     """Stochastic gradient descent, one text a step, with a falling rate.
 
     A vector moves by its share of the text, scaled up so that one step moves the
-    mean about as far whether a text has few features or many (``reach`` at most).
+    mean about as far whether a text has few features or many (``reach`` at most). Few
+    texts are passed more often, for ``LEAST_STEPS`` steps at least.
     """
     if not len(texts):
         return Model(np.zeros(1 << bits, np.float32), 0.0)
@@ -96,6 +97,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = BITS, dim: int = DIM
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.log(np.bincount(labels, minlength=2) + 1.0).astype(np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // len(texts)))
     steps, done = epochs * len(texts), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):

@@ -1,0 +1,506 @@
+"""The training-data operators on small fixtures, against brute force."""
+
+import json
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenframe.llm import components, jaccard, langid, licences, lm, mixing, packing, quality, rules, textbatch, urls, vectors
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string"
+
+
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(1)
+    vocabulary = [a + b for a in "the and of wher in on der die und les que".split() for b in ("", "en", "tion", "sh", "ou")]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n)) + "."
+    out = [(i, "\n".join(prose(int(rng.integers(5, 60))) for _ in range(int(rng.integers(1, 8)))), "en", "abc"[i % 3] if i % 7 else "a", 1, "x", None) for i in range(60)]
+    base = out[3][1]
+    words = base.split(" ")
+    near = " ".join(words[:-1] + ["changed"])
+    odd = [
+        (100, None, None, None, None, None, None), (101, "", "en", "a", 0, None, None), (102, " \t\n\v\f\r ", None, "b", None, None, None), (103, base, "de", "a", 1, None, None), (104, base, "de", None, 1, None, None),
+        (105, near, "fr", "c", 1, None, None), (106, "one two", "es", "c", 7, None, None), (107, "ONE two", "es", "\U0001f600", 7, None, None), (108, "x", None, "b", 1, None, None), (109, "ß é 漢字 z \U0001f600", "de", "a", 9, None, None),
+        (110, "loop " * 3000, "en", "a", 1, None, None), (111, "\n".join(["same line here"] * 40), "en", "b", 1, None, None), (112, prose(20_000), "en", "a", 1, None, None), (113, "n" * 200_000, "en", "c", 1, None, None),
+        (114, "$$$ ### !!! 123", None, "c", 1, None, None), (115, "<|endoftext|> and more", "en", "a", 1, None, None), (3, base, "de", "a", 1, None, None), (None, "no id at all", "en", "b", 1, None, None), (None, None, None, None, None, None, None),
+    ]
+    return out + odd
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# Shared helpers
+
+
+def test_words_and_hashes_follow_the_word_pattern(rows):
+    texts = [r[1] for r in rows]
+    seen = defaultdict(set)
+    for limit in (10, 1 << 18):
+        got = [[] for _ in texts]
+        for c in textbatch.chunks(texts, limit):
+            c = c.lower()
+            starts, ends, text = c.words()
+            data = c.data.tobytes()
+            for s, e, t, h in zip(starts, ends, text, c.hashes().of(starts, ends)):
+                got[c.first + t].append(data[s:e].decode())
+                seen[data[s:e]].add(int(h))
+        assert got == [WORD.findall(low(t or "")) for t in texts]
+    assert all(len(x) == 1 for x in seen.values())
+    assert len({h for x in seen.values() for h in x}) == len(seen)
+
+
+def test_segment_sums():
+    values = np.arange(10.0)
+    assert textbatch.segment_sums(values, np.array([0, 3, 3, 9]), np.array([3, 3, 10, 10])).tolist() == [3, 0, 42, 9]
+    assert textbatch.segment_sums(values[:0], np.array([0]), np.array([0])).tolist() == [0]
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5)] + [(2000, 2001 + k) for k in range(50)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if any(x in link and link[0] != link[1] for link in links)}
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1 Packing
+
+PATHS = pytest.importorskip("public_tokenizers")
+VOCABULARY, RANKS = PATHS.path("byte_bpe_50k.json"), PATHS.path("byte_bpe_50k.tiktoken")
+
+
+def test_best_fit_takes_the_tightest_window():
+    rng = np.random.default_rng(2)
+    lengths = sorted(rng.integers(1, 101, 400).tolist(), reverse=True)
+    fit, rooms = packing.BestFit(100), []
+    for n in lengths:
+        able = [r for r in rooms if r >= n]
+        number, offset = fit.place(n)
+        if able:
+            assert 100 - offset == min(able) == rooms[number]
+        else:
+            assert (number, offset) == (len(rooms), 0)
+            rooms.append(100)
+        rooms[number] -= n
+
+
+def test_packing_is_an_exact_round_trip(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(VOCABULARY)
+    pieces = packing.pack(docs, VOCABULARY, RANKS, PATHS.PATTERN).toPandas()
+    ids = {}
+    for r in rows:
+        ids.setdefault(r[0], exact.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    copies = Counter(r[0] for r in rows if r[0] is not None)
+    for doc, own in pieces[pieces.doc_id.notna()].groupby("doc_id"):
+        whole = ids[int(doc)]
+        for p in own.itertuples():
+            part = whole[p.start : p.start + p.length]
+            assert len(part) == p.length <= 2048 and p.doc_tokens == len(whole)
+            assert p.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        assert own.length.sum() == len(whole) * copies[int(doc)]
+    for _, window in pieces.sort_values("offset").groupby("sequence_id"):
+        assert window.offset.tolist() == [0, *window.length.cumsum()[:-1]] and window.length.sum() <= 2048
+    assert pieces.length.sum() / pieces.sequence_id.nunique() > 0.97 * 2048
+
+
+def test_sequences_hold_the_ids(spark, docs, none):
+    out = packing.sequences(docs.where("doc_id < 20"), VOCABULARY, RANKS, PATHS.PATTERN, window=256).toPandas()
+    assert all(len(x) == 256 for x in out.ids)
+    assert sum(out.used) == packing.pack(docs.where("doc_id < 20"), VOCABULARY, window=256).toPandas().length.sum()
+    assert packing.pack(none, VOCABULARY).count() == 0
+
+
+# 2 Language
+
+
+@pytest.fixture(scope="module")
+def langs():
+    rng = np.random.default_rng(3)
+    parts = {"en": "th he on er the wh ing and", "de": "ch sch und ei der keit", "es": "ción que os los ando"}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang].split(), int(rng.integers(1, 4)))) for _ in range(n))
+    return text, [(text(x, 40), x) for x in parts for _ in range(40)]
+
+
+def test_forward_backward_equals_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    scores, step, opening = rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    post, moves, opens = langid.forward_backward(scores, np.zeros(4, int), np.arange(4), step, opening)
+    want, weights = np.zeros((4, 3)), []
+    for path in product(range(3), repeat=4):
+        w = math.exp(opening[path[0]] + sum(scores[i, x] for i, x in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:])))
+        weights.append(w)
+        for i, x in enumerate(path):
+            want[i, x] += w
+    assert np.allclose(post, want / sum(weights)) and np.isclose(moves.sum(), 3) and np.allclose(opens, post[0])
+
+
+def test_language_of_texts_and_of_words(spark, langs):
+    text, rows = langs
+    model = langid.train(*map(list, zip(*rows)), rounds=15)
+    held = [(k, text(x, 30), x) for k, x in enumerate(["en", "de", "es"] * 10)] + [(50, None, None), (51, "", None), (52, "123 $$", None), (53, text("en", 25) + " " + text("es", 25), None)]
+    out = langid.label(spark.createDataFrame(held, "doc_id long, text string, score string"), model, spans=True).toPandas().set_index("doc_id")
+    assert sum(out.lang_pred[k] == x for k, _, x in held[:30]) >= 29
+    assert [out.lang_pred[k] for k in (50, 51, 52)] == ["und"] * 3 and out.score[50] == 0
+    assert out.score.between(0, 1).all()
+    assert {r["lang"] for r in out.runs[53]} >= {"en", "es"} and sum(r["length"] for r in out.runs[53]) == 50
+
+
+def test_language_without_training_rows_or_documents(spark, docs, none):
+    model = langid.fit(none)
+    assert {r["lang_pred"] for r in langid.label(docs, model).collect()} == {"und"}
+    assert langid.label(none, model).columns == [c for c in none.columns if c != "score"] + ["lang_pred", "score"]
+
+
+# 3 Mixing
+
+
+def test_mixing_equals_brute_force(spark, docs, rows):
+    out = mixing.plan_mix(docs).toPandas()
+    size = lambda r: len(WORD.findall(r[1] or ""))
+    sums = Counter()
+    for r in rows:
+        sums[r[3]] += size(r)
+    order = sorted((x for x in sums if x is not None), key=lambda x: x.encode()) + [None]
+    weight = {x: (3, 1, 2)[k % 3] for k, x in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sums.values())
+    while free:
+        level = left / sum(weight[x] for x in free)
+        over = {x for x in free if level * weight[x] >= 2 * sums[x]}
+        for x in over:
+            target[x] = 2.0 * sums[x]
+        if not over:
+            target |= {x: level * weight[x] for x in free}
+        left, free = left - sum(target[x] for x in over), free - over if over else set()
+    assert len(out) == len(rows)
+    for source, own in out.groupby(out.source.where(out.source.notna(), "~null")):
+        key = None if source == "~null" else source
+        assert own.source_size.iloc[0] == sums[key] and np.isclose(own.target.iloc[0], target[key])
+        assert (own.taken <= 2 * own["size"].astype(int)).all()
+        biggest = own["size"].astype(int).max()
+        assert abs(own.taken.sum() - target[key]) <= 1.5 * biggest + 1
+    again = mixing.plan_mix(docs.repartition(5)).toPandas()
+    assert sorted(map(str, out[["doc_id", "taken"]].values.tolist())) == sorted(map(str, again[["doc_id", "taken"]].values.tolist()))
+
+
+def test_mix_emits_the_copies(spark, docs, none):
+    copies = mixing.plan_mix(docs).groupBy().sum("copies").head()[0]
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and out.count() == copies
+    assert mixing.mix(none).count() == 0 and mixing.plan_mix(none).count() == 0
+
+
+# 4 Quality
+
+
+def test_quality_learns_junk(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(["the", "on", "er", "and", "re"], int(rng.integers(1, 4))))
+    good = lambda: " ".join(word() for _ in range(60))
+    kinds = [lambda: " ".join([word()] * 60), lambda: " ".join(word().upper() + "!!" for _ in range(60)), lambda: " ".join(word() + "###" for _ in range(60))]
+    rows = [(k, good() if k % 4 else kinds[k % 3](), int(k % 4 > 0)) for k in range(1600)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(data.where("doc_id < 1200"), data.where("doc_id < 1200").select("doc_id", "quality"))
+    out = quality.rate(data.where("doc_id >= 1200"), model).toPandas()
+    assert (out.predicted == out.quality).mean() >= 0.98
+
+
+def test_quality_edge_cases(spark, docs, none):
+    model = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 5), (None, 1), (4, None)], "doc_id long, quality int"))
+    out = quality.rate(docs, model).toPandas()
+    assert out.score.between(0, 1).all() and out.text.isna().sum() == 2
+    assert out[out.doc_id.isin([100, 101, 102])].score.nunique() == 1
+    empty = quality.fit(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert set(quality.rate(docs, empty).toPandas().score) == {0.5}
+    assert quality.rate(none, model).count() == 0
+
+
+# 5 Rules
+
+
+def brute_statistics(text):
+    w = WORD.findall(text or "")
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)]
+
+
+def test_rules_equal_brute_force(spark, docs, rows):
+    trusted = spark.createDataFrame([(k,) for k in range(30)], "doc_id long")
+    out = rules.rate(docs, trusted, threshold=-0.02).toPandas()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert sorted(map(str, out[names].astype(int).values.tolist())) == sorted(str(brute_statistics(r[1])) for r in rows)
+    for r in out.itertuples():
+        assert [getattr(r, n) for n in names] == brute_statistics(r.text)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and r.llr >= -0.02)
+    assert out.kept.sum() == rules.rate(docs, trusted, threshold=-0.02).where("kept").count()
+
+
+def test_rules_ratio_equals_brute_force(spark):
+    texts = ["a b c a", "a b", "z z z", "q r s t"]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["llr"] for r in rules.rate(data, data.where("doc_id < 2").select("doc_id"), buckets=1 << 14, smoothing=0.5).collect()}
+    grams = [t.split() + list(zip(t.split(), t.split()[1:])) for t in texts]
+    raw, good, m = Counter(g for x in grams for g in x), Counter(g for x in grams[:2] for g in x), 0.5 * (1 << 14)
+    share = lambda c, g: math.log((c[g] + 0.5) / (sum(c.values()) + m))
+    for k, x in enumerate(grams):
+        assert np.isclose(got[k], sum(share(good, g) - share(raw, g) for g in x) / len(x))
+
+
+def test_rules_edge_cases(spark, docs, none):
+    nobody = spark.createDataFrame([], "doc_id long")
+    assert {r["llr"] for r in rules.rate(docs, nobody).collect()} == {0.0}
+    assert rules.rate(none, nobody).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (None, 1), (3, None), (4, 1), (4, 1)], "doc_id long, quality int")
+    assert {r[0] for r in rules.trusted_ids(labels).collect()} == {None, 1, 4}
+
+
+# 6 URLs
+
+
+def test_list_entries_hold_until_the_next(spark):
+    day = lambda k: date(2024, 1, k)
+    entries = spark.createDataFrame(
+        [("bad.com", "spam", "add", day(5)), ("BAD.com", "spam", "remove", day(10)), ("bad.com", "spam", "add", day(20)), ("x.bad.com", "adult", "add", day(1)), ("x.bad.com", "adult", "remove", day(1)), ("org", "tld", "add", day(3)), (None, "a", "add", day(1)), ("z.com", "a", "add", None)],
+        "pattern string, category string, action string, effective_at date",
+    )
+    urls_ = ["http://bad.com/a", "https://u:p@X.Bad.com:80/q?x#y", "http://notbad.com", "bad.com", None, "", "http://a.org", "http://bad.com./"]
+    captures = spark.createDataFrame([(k, u, day(d), "h") for k, u in enumerate(urls_) for d in (1, 5, 9, 10, 19, 20, 31)] + [(99, "http://bad.com", None, "h")], "page_id int, url string, fetched_at date, host string")
+    out = urls.judge(captures, entries).toPandas()
+    blocked = {(r.page_id, r.fetched_at.day) for r in out.itertuples() if r.blocked}
+    assert blocked == {(k, d) for k in (0, 1, 7) for d in (5, 9, 20, 31)} | {(6, d) for d in (5, 9, 10, 19, 20, 31)}
+    assert set(out[out.page_id == 1].host) == {"x.bad.com"} and out[out.page_id == 3].host.isna().all()
+    assert len(out) == captures.count() and not out[out.page_id == 99].blocked.any()
+    assert not urls.judge(captures, entries.limit(0)).where("blocked").count() and urls.judge(captures.limit(0), entries).count() == 0
+
+
+# 7 Language model
+
+
+def brute_base(rows, learn):
+    tokens = [WORD.findall(low(r[1] or "")) + [""] for r in rows]
+    counts = Counter(w for r, t in zip(rows, tokens) if learn(r) for w in t)
+    n, v = sum(counts.values()), len(counts)
+    return [(len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for t in tokens]
+
+
+@pytest.mark.parametrize("slots", [20, 3])
+def test_base_scores_equal_brute_force(spark, rows, docs, monkeypatch, slots):
+    monkeypatch.setattr(lm, "SLOT_BITS", slots)
+    out = lm.score(docs, quality.folds(docs.doc_id, 5) != 1).toPandas()
+    learn = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1
+    want = sorted(brute_base(rows, learn))
+    got = sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out.itertuples())
+    assert np.allclose(np.array(got, float), np.array(want, float))
+    assert (out.score < 0).all() and np.isfinite(out.score).all()
+
+
+def test_model_is_a_distribution_over_decisions():
+    rng = np.random.default_rng(1)
+    model = lm.Model(rng.integers(-100, 100, int(lm.OFFSETS[-1])).astype(np.int16) & 0x02FF, np.zeros(1 << lm.FOLLOW_BITS, np.uint64), np.zeros(1 << lm.FOLLOW_BITS, np.int8), rng.normal(size=(len(lm.CONTEXTS) + 1, lm.GATES)).astype(np.float32) / 4, np.ones(2))
+    last = np.frombuffer(b"\nab \n", np.uint8)
+    total = np.zeros(len(lm.TEMPERATURES))
+    for byte in range(256):  # all ways to go on after "ab" within the token
+        data = np.array([97, 98, byte], np.uint8)
+        decisions = lm.Decisions(data, np.array([0, 3]))
+        cost = np.zeros(len(lm.TEMPERATURES))
+        for at, slots, bits in decisions:
+            k = at == 2
+            z = model.mixed([s[k] for s in slots], decisions.first[at[k]]) * (1 - 2 * bits[k])
+            cost += [np.logaddexp(0, t * z).sum() for t in lm.TEMPERATURES]
+        total += np.exp(-cost)
+    assert np.allclose(total, 1, atol=1e-3) and len(last) == 5
+
+
+def test_model_learns_what_follows(spark):
+    rng = np.random.default_rng(6)
+    line = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    rows = [(k, " ".join([line] * 4)) for k in range(600)] + [(1000, " ".join([line] * 4)), (1001, " ".join("".join(rng.choice(list("qxzjkv"), 6)) for _ in range(60)))]
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).toPandas().set_index("doc_id")
+    assert out.bits_per_byte[1000] < 0.7 < 2 < out.bits_per_byte[1001]
+
+
+def test_model_without_training_or_documents(spark, docs, none):
+    out = lm.score(docs, docs.doc_id < 0).toPandas()
+    assert (out.train_tokens == 0).all() and (out.n_known == 0).all() and np.isfinite(out.score).all()
+    assert lm.score(none, none.doc_id > 0).count() == 0
+
+
+# 8 Licences
+
+
+def brute_licence(text):
+    known = licences.template_bigrams(licences.TEMPLATES)
+    lines = (text or "").split("\n")
+    best, matches = [], 0
+    for unit in lines + ([text] if len(lines) > 1 else []):
+        w = re.sub("[^a-z0-9]+", " ", low(unit)).strip().split(" ")
+        grams = {f"{a} {b}" for a, b in zip(w, w[1:])}
+        dice = [(-2 * len(grams & set(b)) / (len(grams) + len(b)), n) for n, b in known]
+        matches += min(dice)[0] <= -0.8
+        best.append(min(dice))
+    d, name = min(best)
+    return (name, -d, matches) if d <= -0.8 else (None, None, 0)
+
+
+def test_licences_equal_brute_force(spark, docs, rows, none):
+    extra = ["x\nLicensed under cc by-nc 4.0!\ny", "Released under the MIT License", "released under the mit", licences.TEMPLATES["gpl-3.0-header"] + " ok", "Licensed under the Apache License Version 2.0\nReleased under the MIT License.", "MIT"]
+    data = docs.select("doc_id", "text", "size").unionByName(spark.createDataFrame([(500 + k, t, "") for k, t in enumerate(extra)], "doc_id long, text string, size string"))
+    for r in licences.scan(data).collect():
+        name, dice, n = brute_licence(r["text"])
+        assert (r["licence"], r["n_matches"]) == (name, n) and (dice is None or math.isclose(r["dice"], dice))
+    assert licences.scan(none).count() == 0
+
+
+# 9 Vectors
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    own = [(k, (centres[k % 40] + 0.08 * rng.normal(size=16)).tolist()) for k in range(1500)] + [(5000 + k, rng.normal(size=16).tolist()) for k in range(500)]
+    odd = [(9000, None), (9001, []), (9002, [0.0] * 16), (9003, [None] + [1.0] * 15), (9004, [float("nan")] + [1.0] * 15), (9005, [float("inf")] * 16), (9006, own[0][1]), (9007, own[0][1][:8]), (7, own[7][1]), (None, own[0][1])]
+    out = vectors.near_duplicates(spark.createDataFrame(own + odd, "vec_id long, embedding array<double>"), leaf_rows=64, sample=300).toPandas()
+    live = own + [odd[6], odd[8]]
+    m = vectors.unit(np.array([v for _, v in live]))
+    near = (m @ m.T >= 0.95) & ~np.eye(len(m), dtype=bool)
+    got, want = out[out.vec_id.notna()].n_links.sum(), near.sum()
+    assert 0.99 * want <= got <= want and len(out) == len(own) + len(odd)
+    by = dict(zip([k for k, _ in live[:-1]], near.sum(1)))
+    assert all(r.n_links <= by.get(r.vec_id, 0) for r in out.itertuples() if r.vec_id != 7)
+    assert out[out.vec_id.isin([9000, 9001, 9002, 9003, 9004, 9005])].n_links.sum() == 0
+    assert out[out.vec_id == 9006].component_id.iloc[0] == 0 and (out.kept == (out.vec_id == out.component_id)).all()
+
+
+def test_equal_and_dense_vectors(spark):
+    rng = np.random.default_rng(3)
+    dense = [(k, (np.ones(8) + 1e-4 * rng.normal(size=8)).tolist()) for k in range(700)] + [(k, [1.0] + [0.0] * 7) for k in range(1000, 1300)]
+    out = vectors.near_duplicates(spark.createDataFrame(dense, "vec_id long, embedding array<double>"), leaf_rows=50, trees=3).toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links.iloc[:700] == 699).all() and (out.component_id.iloc[:700] == 0).all()
+    assert (out.n_links[out.index >= 1000] == 299).all() and out.kept.sum() == 2
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# 10 Jaccard
+
+
+def brute_components(texts, percent=90, n=3):
+    def shingles(t):
+        w = WORD.findall(low(t or ""))
+        return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    sets = {k: shingles(t) for k, t in texts.items()}
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in texts}
+
+
+def copies(seed, percent_edits=(0, 1, 2, 4, 8)):
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(1600)]
+    texts = {}
+    for base in range(12):
+        text = rng.choice(words, int(rng.integers(3, 120))).tolist()
+        for _ in range(12):
+            own = list(text)
+            for _ in range(int(rng.choice(percent_edits)) * len(own) // 100 + int(rng.integers(0, 2))):
+                own[int(rng.integers(len(own)))] = str(rng.choice(words))
+            texts[len(texts)] = " ".join(own)
+    shared = " ".join(rng.choice(words, 30))
+    for _ in range(30):
+        texts[len(texts)] = shared + " " + " ".join(rng.choice(words, int(rng.integers(0, 12))))
+    return texts
+
+
+@pytest.mark.parametrize("seed, percent, bits", [(1, 90, 20), (2, 90, 9), (3, 80, 20), (4, 70, 9)])
+def test_jaccard_components_equal_brute_force(spark, seed, percent, bits):
+    texts = copies(seed)
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(data, percent=percent, cell_bits=bits).collect()}
+    assert got == brute_components(texts, percent)
+
+
+def test_jaccard_edge_cases(spark, docs, rows, none):
+    out = jaccard.link_components(docs).toPandas()
+    texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    want = brute_components(texts)
+    assert len(out) == len(rows)
+    for r in out[out.doc_id.notna()].itertuples():
+        assert (r.n_shingles, r.component_id) == want[int(r.doc_id)]
+    assert out[out.doc_id.isna()].component_id.isna().all()
+    assert jaccard.link_components(none).count() == 0
+    kept = jaccard.keep_one(docs).toPandas()
+    assert sorted(kept.doc_id.dropna()) == sorted({v for _, v in want.values()}) and list(kept.columns) == docs.columns
+    assert kept.doc_id.isna().sum() == 2 and jaccard.keep_one(none).count() == 0
+
+
+# Pipeline
+
+
+def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    columns, before = docs.columns, docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, sf).write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert after.columns == columns and after.count() > 0, name
+        if k == 0:
+            kept = {r[0] for r in after.select("doc_id").collect()}
+            good = set(labels[labels.quality == 1].doc_id)
+            assert len(kept & good) >= 0.97 * len(good)
+        before = after
+    assert before.count() > 0
+    json.dumps(corpus_pipeline.ORACLE_SQL)
