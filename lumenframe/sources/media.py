@@ -1,7 +1,8 @@
 """Data source ``media``: every regular file of a directory tree, hidden and empty ones too.
 
 Spark's own file sources leave out names that begin with a dot or an underscore and
-files without bytes; this one lists with the operating system. Options: ``path``,
+files without bytes; this one lists with the operating system, and numbers the files
+(``seq``) in the order of their paths, with gaps where one vanished. Options: ``path``,
 ``recursive`` (true), ``extensions`` (a comma-separated list, none for all), ``chunk``
 (files a partition). Executors must see the tree under the same path.
 """
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,8 +22,8 @@ from ..operators.scan import described
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, first: int, paths: list[str]):
+        self.first, self.paths = first, paths
 
 
 class MediaReader(DataSourceReader):
@@ -46,17 +46,17 @@ class MediaReader(DataSourceReader):
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
         paths = sorted(self.listed())
-        return [Files(paths[i : i + self.chunk]) for i in range(0, len(paths), self.chunk)] or [Files([])]
+        return [Files(i, paths[i : i + self.chunk]) for i in range(0, len(paths), self.chunk)] or [Files(0, [])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.paths:
+        for seq, path in enumerate(partition.paths, partition.first + 1):
             try:
                 if not os.path.isfile(path):
                     continue
                 stat = os.stat(path)
-                yield path, stat.st_size, datetime.fromtimestamp(stat.st_mtime), None
+                yield seq, path, stat.st_size, datetime.fromtimestamp(stat.st_mtime), None
             except OSError as e:
-                yield path, None, None, str(e)
+                yield seq, path, None, None, str(e)
 
 
 class MediaSource(DataSource):
@@ -65,7 +65,7 @@ class MediaSource(DataSource):
         return "media"
 
     def schema(self) -> str:
-        return "path string, size long, modified_time timestamp, error string"
+        return "seq long, path string, size long, modified_time timestamp, error string"
 
     def reader(self, schema) -> MediaReader:
         return MediaReader(dict(self.options))
@@ -75,5 +75,4 @@ def scan(spark: SparkSession, path: str, types: FileTypes = FileTypes(), recursi
     """Supported files with seq (their place in the order of paths), type, extension and MIME type; ``error`` where one can't be read."""
     spark.dataSource.register(MediaSource)
     rows = spark.read.format("media").option("path", path).option("recursive", str(recursive).lower()).option("extensions", ",".join(types.all_extensions())).load()
-    parted = W.partitionBy(F.lit(0)).orderBy("path")
-    return described(rows, types).withColumn("mtime", F.floor(F.unix_micros("modified_time") / 1_000_000)).withColumn("seq", F.row_number().over(parted).cast("long"))
+    return described(rows, types).withColumn("mtime", F.floor(F.unix_micros("modified_time") / 1_000_000))
