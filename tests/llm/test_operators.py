@@ -275,7 +275,7 @@ def test_rules_equal_brute_force(spark, docs, rows):
 def test_rules_ratio_equals_brute_force(spark):
     texts = ["a b c a", "a b", "z z z", "q r s t"]
     data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["llr"] for r in rules.rate(data, data.where("doc_id < 2").select("doc_id"), buckets=1 << 14, smoothing=0.5).collect()}
+    got = {r["doc_id"]: r["llr"] for r in rules.rate(data, data.where("doc_id < 2").select("doc_id"), buckets=1 << 14, smoothing=0.5, orders=(1, 2)).collect()}
     grams = [t.split() + list(zip(t.split(), t.split()[1:])) for t in texts]
     raw, good, m = Counter(g for x in grams for g in x), Counter(g for x in grams[:2] for g in x), 0.5 * (1 << 14)
     share = lambda c, g: math.log((c[g] + 0.5) / (sum(c.values()) + m))
