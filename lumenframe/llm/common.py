@@ -13,6 +13,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows up to which a narrow table may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 2_000_000
+ARROW_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +32,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def long_rows(df: DataFrame) -> DataFrame:
+    """Bound what a Python worker holds: texts are long, so unless the session says otherwise an Arrow batch has ``ARROW_ROWS`` rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count shows at most ``max_rows`` rows; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

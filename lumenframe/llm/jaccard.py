@@ -2,18 +2,18 @@
 
 A document is the set of its distinct word shingles. Shingles are ordered by how
 often the corpus has them (a sketch estimate, then their hash: any total order that
-all documents share gives exact results). Two sets with Jaccard similarity t share a
-shingle among the first n - ceil(t n) + 1 of each, so only documents that meet in
-such a prefix need comparing. Equal sets are one class; classes with equal prefix and
-size are one group; groups meet in the postings of prefix shingles, and pass only if
+all documents share gives exact results). Two sets with Jaccard similarity t share k
+shingles among the first n - ceil(t n) + k of each, so only documents that meet k
+times in such prefixes need comparing; with k = 3, chance meetings are rare. Equal
+sets are one class; classes with equal prefix and size are one group; groups meet in the postings of prefix shingles, and pass only if
 their sizes and the positions of the shingle still allow t; then their members are
 compared, on whole sets.
 
 Components need no more than one link where many exist, so comparing takes two
 rounds. First, each group meets only the leader of a posting (the group that has the
-shingle earliest, of like size), and each member its group's. Then all pairs that
-still lie in different components are compared, so that no link between different
-components is lost: the result equals that of comparing all pairs.
+shingle earliest), and each member its group's. Then all pairs that still lie in
+different components are compared, so that no link between different components is
+lost: the result equals that of comparing all pairs.
 
 Scale: two narrow passes over the text (sketch, prefixes) that shuffle a fixed-size
 sketch and one row a document; postings that occur once are dropped before any join;
@@ -30,7 +30,6 @@ an empty result; extra columns do not matter, whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import durable, small_side
+from .common import durable, long_rows, small_side
 from .components import components
 from .textbatch import Chunk, chunks, mix
 
 WORDS = 3
 PERCENT = 90
+#: Prefix shingles that a pair must share (or all that its similarity asks for, if fewer).
+COMMON = 3
 #: Cells of the sketch, as a power of two; a cell is four bytes, and 2**CELL_BITS of them reach driver and executors.
 CELL_BITS = 20
 BLOCK = 256
@@ -90,8 +91,9 @@ def by_document(docs: DataFrame, id_col: str, text_col: str, words: int, schema:
                 take(ids[c.first : c.first + len(c.start)], found, bounds)
                 yield from give(False)
         yield from give(True)
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, fields)
+    return long_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, fields)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, bits: int = CELL_BITS) -> np.ndarray:
@@ -141,7 +143,7 @@ def prefixes(docs: DataFrame, cells: np.ndarray, id_col: str, text_col: str, wor
             for i, doc in enumerate(ids):
                 u = np.unique(found[bounds[i] : bounds[i + 1]])
                 n = len(u)
-                length = n - (percent * n + 99) // 100 + 1 if n else 0
+                length = n - (percent * n + 99) // 100 + COMMON if n else 0
                 first = np.argsort(order[(u >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:length]
                 spread = mix(u + np.uint64(1))
                 rows.append((doc, n, np.add.reduce(spread).view(np.int64) if n else 0, np.bitwise_xor.reduce(spread).view(np.int64) if n else 0, u[first].view(np.int64)))
@@ -179,14 +181,15 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Those of the (a, b) whose whole sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_needed")).distinct()
+    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("_needed")).distinct())
     some = docs.join(small_side(needed), docs[id_col] == F.col("_needed"), "left_semi")
-    sets = durable(sets_of(some, id_col, text_col, words).dropDuplicates(["id"]))
+    sets = durable(sets_of(some, id_col, text_col, words))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = left.join(small_side(pairs), "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return durable(both.withColumn("_i", common).where((F.size("x") + F.size("y") - F.col("_i")) * percent <= F.col("_i") * 100).select("a", "b"))
+    alike = both.withColumn("_i", common).where((F.size("x") + F.size("y") - F.col("_i")) * percent <= F.col("_i") * 100)
+    return durable(alike.select("a", "b").distinct())
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -194,55 +197,65 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(prefixes(docs, sketch(docs, id_col, text_col, words, cell_bits), id_col, text_col, words, percent))
     classes = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = durable(classes.select("n", "s1", "s2", "rep", "prefix", F.xxhash64("n", "prefix").alias("grp")))
-    groups = classes.groupBy("n", "grp").agg(F.min("rep").alias("head"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    postings = groups.select("n", "grp", "head", "members", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.sum("members").alias("members")).where("members > 1").select("token")
+    joint = durable(classes.groupBy("n", "grp").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1"))
+    groups = classes.join(small_side(joint), ["n", "grp"], "left").where("head is null or head = rep")
+    postings = groups.select("n", "grp", F.col("rep").alias("head"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("prefix").alias("pos", "token"))
+    met = postings.groupBy("token").agg(F.sum("members").alias("members"), F.count("*").alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("left"))
+    fits = (F.col("least") * 100 >= F.col("most") * percent) & ((F.col("left") + COMMON - 1) * (100 + percent) >= F.col("both") * percent)
+    shared = durable(met.where((F.col("members") > 1) & ((F.col("groups") != 2) | (F.col("members") > 2) | fits)).select("token"))
     postings = durable(postings.join(small_side(shared), "token").select("token", "pos", "n", "grp", "head"))
 
     def may_link(x: str, y: str):
-        """Sizes, and what can still follow the shared shingle, allow the similarity."""
+        """Sizes, and what can precede and follow a shared shingle (one of the first COMMON), allow the similarity."""
         nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - px, ny - py) * (100 + percent) >= (nx + ny) * percent)
-
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) + 1e-9) if percent < 100 else F.col("n")
-    banded = postings.select("*", F.explode(F.array(band, band + 1)).alias("band"))
-    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "n", "head")).alias("lead"), F.count("*").alias("met")).where("met > 1")
-    leaders = leaders.select("token", "band", F.col("lead.pos").alias("pos"), F.col("lead.n").alias("n"), F.col("lead.head").alias("head"))
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-    star = banded.alias("x").join(leaders.alias("y"), same & may_link("x", "y") & (F.col("x.head") != F.col("y.head"))).select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
-    inner = classes.join(groups.where("members > 1").select("n", "grp", "head"), ["n", "grp"]).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & ((F.least(nx - px, ny - py) + COMMON - 1) * (100 + percent) >= (nx + ny) * percent)
+
+    # equal shingles that a pair needs among its prefixes
+    enough = lambda nx, ny: F.least(F.lit(COMMON), F.floor((F.greatest(nx, ny) * percent + 99) / 100))
+    leaders = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "head")).alias("lead"))
+    leaders = leaders.select("token", F.col("lead.pos").alias("pos"), F.col("lead.n").alias("n"), F.col("lead.head").alias("head"))
+    near = (F.col("x.token") == F.col("y.token")) & may_link("x", "y") & (F.col("x.head") != F.col("y.head"))
+    star = postings.alias("x").join(leaders.alias("y"), near).groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
+    star = star.agg(F.count("*").alias("met"), F.max(F.struct(F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))).alias("n")).where(F.col("met") >= enough(F.col("n.nx"), F.col("n.ny"))).select("a", "b")
+    inner = classes.join(small_side(joint), ["n", "grp"]).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = durable(ordered(star.union(inner)))
     links = verified(first, docs, id_col, text_col, words, percent)
 
     known = components(links)
-    members = classes.select("n", "grp", "rep").join(known, F.col("rep") == F.col("node"), "left").select("n", "grp", "rep", F.coalesce("component", "rep").alias("comp"))
+    members = durable(classes.select("n", "grp", "rep").join(known, F.col("rep") == F.col("node"), "left").select("n", "grp", "rep", F.coalesce("component", "rep").alias("comp")))
     met = postings.join(members.select("n", "grp", "comp").distinct(), ["n", "grp"]).select("token", "pos", "n", "grp", "comp")
-    open_tokens = met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+    open_tokens = durable(met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token"))
     met = durable(met.join(small_side(open_tokens), "token"))
-    sides = met.groupBy("token", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sides = met.groupBy("token", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("groups"))
+    # the side with fewer groups comes first, and is spelled out first
+    smaller = (F.col("x.groups") < F.col("y.groups")) | ((F.col("x.groups") == F.col("y.groups")) & (F.col("x.comp") < F.col("y.comp")))
     reach = (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
-    early = (F.least(F.col("x.most") - F.col("x.pos"), F.col("y.most") - F.col("y.pos")) * (100 + percent)) >= (F.col("x.least") + F.col("y.least")) * percent
-    sides = sides.alias("x").join(sides.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & reach & early)
+    early = ((F.least(F.col("x.most") - F.col("x.pos"), F.col("y.most") - F.col("y.pos")) + COMMON - 1) * (100 + percent)) >= (F.col("x.least") + F.col("y.least")) * percent
+    sides = sides.alias("x").join(sides.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & smaller & reach & early)
     sides = sides.select("x.token", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2"))
     x, y = met.alias("x"), met.alias("y")
     cross = sides.alias("s").join(x, (F.col("s.token") == F.col("x.token")) & (F.col("s.c1") == F.col("x.comp")))
     cross = cross.join(y, (F.col("s.token") == F.col("y.token")) & (F.col("s.c2") == F.col("y.comp")) & may_link("x", "y"))
-    cross = cross.select(F.col("x.n").alias("n1"), F.col("x.grp").alias("g1"), "c1", F.col("y.n").alias("n2"), F.col("y.grp").alias("g2"), "c2").distinct()
+    pair = [F.struct(F.col(f"{k}.comp").alias("c"), F.col(f"{k}.n").alias("n"), F.col(f"{k}.grp").alias("g")) for k in "xy"]
+    cross = cross.select(F.least(*pair).alias("p"), F.greatest(*pair).alias("q")).select(*[F.col(f"{k}.{f}").alias(f"{f}{i}") for i, k in ((1, "p"), (2, "q")) for f in "ngc"])
+    cross = cross.groupBy(*cross.columns).agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("n1"), F.col("n2"))).drop("met")
     one = members.select(F.col("n").alias("n1"), F.col("grp").alias("g1"), F.col("comp").alias("c1"), F.col("rep").alias("a"))
     two = members.select(F.col("n").alias("n2"), F.col("grp").alias("g2"), F.col("comp").alias("c2"), F.col("rep").alias("b"))
     rest = durable(ordered(cross.join(one, ["n1", "g1", "c1"]).join(two, ["n2", "g2", "c2"]).select("a", "b")).join(first, ["a", "b"], "left_anti"))
     more = verified(rest, docs, id_col, text_col, words, percent)
 
-    final = components(links.union(more))
-    per_class = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("comp"))
+    # what the second round links are components of the first
+    comp_of = lambda side: members.select(F.col("rep").alias(side), F.col("comp").alias(f"comp_{side}"))
+    merged = components(more.join(comp_of("a"), "a").join(comp_of("b"), "b"), "comp_a", "comp_b").toDF("comp", "into")
+    per_class = classes.join(members.select("rep", "comp"), "rep").join(merged, "comp", "left").select("n", "s1", "s2", F.coalesce("into", "comp").alias("comp"))
     return rows.join(per_class, ["n", "s1", "s2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the least id; of rows that repeat an id, one; all rows of a null id."""
     found = durable(link_components(docs, id_col, text_col, words, percent))
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    gone = durable(found.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct())
     again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id")
     kept = docs.join(small_side(gone), docs[id_col] == F.col("_id"), "left_anti")
     if again.isEmpty():

@@ -6,7 +6,7 @@ the least room that still holds it, found with a segment tree over the remaining
 capacities. Each group's loss is its last windows, so groups are kept large.
 
 Scale: tokenising is a narrow pass whose result (one short row a piece) is written
-to the checkpoint folder, so that a lost executor never repeats it twice. The number
+to the checkpoint folder, so that packing never tokenises again. The number
 of groups follows the number of pieces; a packing task streams its sorted group and
 holds open windows only. Hot sources do not matter, as groups are dealt by digest.
 
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, long_rows
 
 WINDOW = 2048
 END = 1
@@ -145,7 +145,7 @@ def cut(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
         return pa.RecordBatch.from_arrays([pa.array(list(col), kind) for col, kind in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
+    return long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
 
 
 def pack_pieces(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:

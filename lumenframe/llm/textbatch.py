@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .common import long_rows
+
 #: Bytes of text handled together; a longer text makes a chunk of its own.
 CHUNK = 1 << 18
 
@@ -139,4 +141,4 @@ def with_columns(df: DataFrame, text_col: str, added: StructType, make: Callable
             columns = [batch.column(i) for i in kept] + [x if isinstance(x, pa.Array) else pa.array(x) for x in work(batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return long_rows(df).mapInArrow(run, schema)
