@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, keep_row, small_side, unpack, word_count
+from .common import durable, small_side, unpack, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -41,15 +41,14 @@ def size_class(size: Column) -> Column:
     return digits * 100 + lead
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    size = word_count(F.col(f"_row.`{text_col}`"))
-    ident = F.col(f"_row.`{id_col}`")
+def _keyed(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    col = lambda name: docs[f"`{name}`"]
     return docs.select(
-        "_row",
-        F.col(f"_row.`{source_col}`").alias("_source"),
-        size.alias("_size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(ident.cast("string"), F.lit("?"))).cast("binary")).alias("_key"),
-        F.xxhash64(F.col(f"_row.`{text_col}`")).alias("_tie"),
+        F.struct(*[col(c).alias(c) for c in carry]).alias("_row"),
+        col(source_col).alias("_source"),
+        word_count(col(text_col)).alias("_size"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(col(id_col).cast("string"), F.lit("?"))).cast("binary")).alias("_key"),
+        F.xxhash64(col(text_col)).alias("_tie"),
     ).withColumn("_class", size_class(F.col("_size")))
 
 
@@ -77,8 +76,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return table.select("_source", "source_size", F.when(full, F.col("_cap")).otherwise(level * F.col("_w")).alias("target"))
 
 
-def _with_copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: float, seed: str) -> DataFrame:
-    rows = _keyed(keep_row(docs), id_col, text_col, source_col, seed)
+def _with_copies(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: float, seed: str) -> DataFrame:
+    rows = _keyed(docs, carry, id_col, text_col, source_col, seed)
     sizes = durable(rows.select("_source", "_class", "_key", "_size"))
     hexes = max(1, math.ceil(math.log(max(sizes.count(), 1), 16) / 2))
     block = F.substring("_key", 1, hexes)
@@ -107,15 +106,16 @@ def _with_copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, w
     return rows.withColumn("_copies", mark(F.col("_rank")) - mark(F.col("_rank") - 1))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """All rows with size, source_size, target, copies and taken (= copies * size) added."""
-    rows = _with_copies(docs, id_col, text_col, source_col, weights, share, cap, seed)
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """All rows with size, source_size, target, copies and taken (= copies * size) added; of their own columns those in ``carry`` (all) are kept."""
+    carry = docs.columns if carry is None else carry
+    rows = _with_copies(docs, carry, id_col, text_col, source_col, weights, share, cap, seed)
     added = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size")}
-    return unpack(rows, docs.columns, added)
+    return unpack(rows, carry, added)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each document as often as it was drawn, with its own columns."""
-    rows = _with_copies(docs, id_col, text_col, source_col, weights, share, cap, seed).where("_copies > 0")
+    rows = _with_copies(docs, docs.columns, id_col, text_col, source_col, weights, share, cap, seed).where("_copies > 0")
     rows = rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
     return unpack(rows, docs.columns, {})

@@ -29,7 +29,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan_mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
