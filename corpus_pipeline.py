@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm import jaccard, mixing, packing, quality, rules
 from lumenframe.llm.common import durable, read
 
+#: Near copies; the defaults of ``jaccard`` are those of its own query.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from labelled ones outside its held-out fold."""
@@ -28,8 +31,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard.keep_one(docs)
+    """One document of each group of near copies: Jaccard similarity of at least 0.8 over shingles of five words."""
+    return jaccard.keep_one(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

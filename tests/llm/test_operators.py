@@ -485,6 +485,22 @@ def test_jaccard_edge_cases(spark, docs, rows, none):
 # Pipeline
 
 
+def test_pipeline_drops_copies_at_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = copies(6)
+    for _ in range(10):  # copies with a header or a footer: similarity 0.8 to 0.9
+        base = [f"x{k}" for k in rng.integers(0, 10**6, 100)]
+        more = [f"y{k}" for k in rng.integers(0, 10**6, int(rng.integers(12, 30)))]
+        for own in (base, base + more, more + base):
+            texts[len(texts)] = " ".join(own)
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, data, "").collect()}
+    want = {v for _, v in brute_components(texts, 80, 5).values()}
+    assert got == want != {v for _, v in brute_components(texts, 90, 3).values()}
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
