@@ -283,6 +283,16 @@ def test_rules_ratio_equals_brute_force(spark):
         assert np.isclose(got[k], sum(share(good, g) - share(raw, g) for g in x) / len(x))
 
 
+def test_rules_see_the_order_of_words(spark):
+    rng = np.random.default_rng(12)
+    phrases = [" ".join(f"{a}{k}" for a in "abcdef") for k in range(40)]
+    prose = [" ".join(rng.permutation(phrases)[:20]) for _ in range(60)]
+    shuffled = [" ".join(rng.permutation(x.split())) for x in prose[30:]]
+    data = spark.createDataFrame(list(enumerate(prose + shuffled)), "doc_id long, text string")
+    out = rules.rate(data, data.where("doc_id < 30").select("doc_id")).toPandas().set_index("doc_id").sort_index()
+    assert not out.base_failed.any() and out.llr.loc[:59].min() > out.llr.loc[60:].max()
+
+
 def test_rules_edge_cases(spark, docs, none):
     nobody = spark.createDataFrame([], "doc_id long")
     assert {r["llr"] for r in rules.rate(docs, nobody).collect()} == {0.0}
