@@ -14,8 +14,9 @@ sum of the decisions' costs is the text's bits; divided by its bytes, bits per b
 
 The base score is a smoothed unigram model over the same tokens.
 
-Scale: one pass counts tokens and followers of the training texts, combined by batch
-and task before the shuffle, so that what is gathered grows with the corpus. Bit
+Scale: one pass counts tokens and one followers of the training texts. Pairs of a
+context and its follower are combined a bounded number at a time in a task, shuffled in
+packed blocks, and summed over the corpus before any is compared or dropped. Bit
 counts come from the distinct tokens alone. Context tables, candidates, and the most
 frequent token of each of 2**SLOT_BITS slots have fixed sizes; they are collected and
 broadcast. Base counts of tokens that hold no slot are joined exactly. In the scoring
@@ -50,6 +51,8 @@ FOLLOW_BITS = 18
 CONTEXTS = (("two", 2, 18), ("three", 3, 20), ("five", 5, 21), ("all", 255, 22))
 OFFSETS = np.cumsum([0] + [1 << b for _, _, b in CONTEXTS])
 BLOCK = 1024
+#: Follower slots are dealt out in 2**PART_BITS parts; a task combines about so many pairs before it hands them on.
+PART_BITS, PAIRS = 12, 1 << 20
 TUNING, TUNING_CHARS = 250, 10_000
 PRIOR = 0.4
 SCALE = 12.0
@@ -223,7 +226,7 @@ def log_odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 
 def gathered(docs: DataFrame, tuning: set[int]) -> DataFrame:
-    """Tokens (kind 0: key hash, word, n in all, m outside the tuning texts) and followers (kind 1: key slot, word the follower's hash, n hits)."""
+    """Tokens: key hash, word, n in all, m outside the tuning texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,21 +238,60 @@ def gathered(docs: DataFrame, tuning: set[int]) -> DataFrame:
                 m = np.bincount(where, counted, len(found)).astype(np.int64)
                 data = low.data.tobytes()
                 words = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-                yield rows(0, found, words, n, m)
-                slots = before(h, text)[counted]
-                pair = np.stack([slots.view(np.uint64), h[counted]], 1)
-                pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-                edge = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(1), [True]])) if len(pair) else np.zeros(1, int)
-                hits, pair = np.diff(edge), pair[edge[:-1]]
-                some = hits > 1
-                yield rows(1, pair[some, 0], [x.tobytes() for x in pair[some, 1]], hits[some], hits[some])
+                columns = [pa.array(found.view(np.int64)), pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(m)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "n", "m"])
 
-    def rows(kind: int, key: np.ndarray, word: list[bytes], n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(word, pa.binary()), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "word", "n", "m"])
+    found = docs.select("id", "text").mapInArrow(run, "key long, word binary, n long, m long")
+    return durable(found.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
-    found = docs.select("id", "text").mapInArrow(run, "kind int, key long, word binary, n long, m long")
-    return durable(found.groupBy("kind", "key", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+def summed(slot: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (slot, word) in order, and the sums of n."""
+    order = np.lexsort((word, slot))
+    slot, word, n = slot[order], word[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (word[1:] != word[:-1])])[: len(slot)])
+    return slot[first], word[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def followed(docs: DataFrame, tuning: set[int]) -> DataFrame:
+    """Of each follower slot outside the tuning texts: key slot, word the commonest follower's hash, n its hits, m the hits of all. Every pair counts, however batches fall."""
+    within = FOLLOW_BITS - PART_BITS
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        slot, word = (np.concatenate(x) for x in zip(*held))
+        slot, word, n = summed(slot, word, np.ones(len(slot), np.int64))
+        part = slot >> within
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        bounds = np.append(cuts, len(slot))
+        blob = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        columns = [pa.array(part[cuts]), blob((slot & ((1 << within) - 1)).astype(np.uint8)), blob(word), blob(n.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "slot", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for c in chunks(batch.column(1).to_pylist(), CHUNK_BYTES):
+                _, _, _, h, text = tokens(c)
+                counted = np.array([i not in tuning for i in ids[c.first : c.first + len(c.start)]], bool)[text]
+                held.append((before(h, text)[counted], h[counted]))
+                size += len(held[-1][1])
+                if size >= PAIRS:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def best(rows: pa.Table) -> pa.Table:
+        whole = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
+        slot, word, n = summed(whole("slot", np.uint8), whole("word", np.uint64), whole("n", np.uint32).astype(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        top = np.lexsort((word.byteswap(), n, slot))[np.append(first[1:], len(slot)) - 1]
+        key = (rows["part"][0].as_py() << within) | slot[first].astype(np.int64)
+        return pa.table({"key": key, "word": word[top].view(np.int64), "n": n[top], "m": np.add.reduceat(n, first)})
+
+    pairs = docs.select("id", "text").mapInArrow(run, "part long, slot binary, word binary, n binary")
+    return durable(pairs.groupBy("part").applyInArrow(best, "key long, word long, n long, m long"))
 
 
 def add_counts(cells: np.ndarray, words: list[bytes], n: np.ndarray) -> None:
@@ -322,17 +364,12 @@ def dense(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def follower_tables(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of each slot the commonest follower's hash, and the log odds that it follows."""
-    best = found.groupBy("key").agg(F.max(F.struct("n", "word")).alias("best"), F.sum("n").alias("all"))
-    # eight bytes, the lowest first, as a signed number
-    byte = lambda k: F.conv(F.hex(F.substring("best.word", k + 1, 1)), 16, 10).cast("long")
-    number = byte(0)
-    for k in range(1, 8):
-        number = number.bitwiseOR(F.shiftleft(byte(k), 8 * k))
+    """Of each slot the commonest follower's hash, if it was seen more than once in all, and the log odds that it follows."""
+    best = found.where("n > 1")
     # both counts in one number, each capped
     capped = lambda n: F.least(n, F.lit((1 << 31) - 1)).cast("long")
-    both = F.shiftleft(capped(F.col("all")), 32).bitwiseOR(capped(F.col("best.n")))
-    followers, packed = dense(best.select(F.col("key").alias("slot"), number.alias("a"), both.alias("b")), 1 << FOLLOW_BITS)
+    both = F.shiftleft(capped(F.col("m")), 32).bitwiseOR(capped(F.col("n")))
+    followers, packed = dense(best.select(F.col("key").alias("slot"), F.col("word").alias("a"), both.alias("b")), 1 << FOLLOW_BITS)
     n = (packed & 0xFFFFFFFF).astype(float)
     return followers.view(np.uint64), np.where(packed > 0, log_odds(n, (packed >> 32) - n), 0).astype(np.int8)
 
@@ -408,12 +445,12 @@ def fit(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     """The model of the (id, text) rows where ``learn`` holds, and their (key, word, n): tokens' hashes, bytes and counts."""
     taught = docs.where(learn)
     tuned = taught.where(F.length("text") <= TUNING_CHARS).orderBy(F.xxhash64("id"), "id").limit(TUNING).collect()
-    found = gathered(taught, {r["id"] for r in tuned})
-    vocabulary = found.where("kind = 0")
+    aside = {r["id"] for r in tuned}
+    vocabulary = gathered(taught, aside)
     contexts = len(CONTEXTS)
     weights = np.full((contexts + 1, GATES), 1.0 / contexts, np.float32)
     weights[-1] = 0
-    model = Model(bit_table(vocabulary), *follower_tables(found.where("kind = 1")), weights, np.array([1.0, 0.0]))
+    model = Model(bit_table(vocabulary), *follower_tables(followed(taught, aside)), weights, np.array([1.0, 0.0]))
     learn_weights(model, [r["text"] or "" for r in tuned])
     return model, vocabulary.select("key", "word", "n")
 

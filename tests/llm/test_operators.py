@@ -366,6 +366,21 @@ def test_model_learns_what_follows(spark):
     assert out.bits_per_byte[1000] < 0.7 < 2 < out.bits_per_byte[1001]
 
 
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_followers_are_counted_over_all_chunks(spark, rows, docs, monkeypatch, limit):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", limit)
+    monkeypatch.setattr(lm, "PAIRS", limit)
+    pairs = Counter()
+    for c in textbatch.chunks([r[1] for r in rows], 1 << 40):
+        _, _, _, h, text = lm.tokens(c)
+        pairs.update(zip(lm.before(h, text).tolist(), (x.tobytes() for x in h)))
+    want = defaultdict(lambda: ((0, b""), 0))
+    for (slot, word), n in pairs.items():
+        want[slot] = max(want[slot][0], (n, word)), want[slot][1] + n
+    got = {r["key"]: ((r["n"], r["word"].to_bytes(8, "little", signed=True)), r["m"]) for r in lm.followed(docs.withColumnRenamed("doc_id", "id"), set()).collect()}
+    assert got == want
+
+
 def test_model_without_training_or_documents(spark, docs, none):
     out = lm.score(docs, docs.doc_id < 0).toPandas()
     assert (out.train_tokens == 0).all() and (out.n_known == 0).all() and np.isfinite(out.score).all()
