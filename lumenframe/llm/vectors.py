@@ -7,14 +7,15 @@ precision, so that every link is verified and only recall is approximate.
 
 The trees are learned on the driver from at most ``sample`` vectors, those with the
 least digests, and every vector is sent down them. A leaf of more than ``leaf_rows``
-vectors is split on in its task, in the same way.
+vectors is split on in its task, in the same way, before any are compared; the parts
+are the places where vectors meet.
 
 Scale: equal vectors are one class, with its number of copies, before anything else.
-A routed row carries the leaves that its vector visits, so that a pair is counted in
-the first leaf where it meets and in no other: leaves return a count and a local
+A compared row carries the places that its vector visits, so that a pair is counted in
+the first place where it meets and in no other: places return a count and a local
 component for each vector, never pairs, however dense a ball of near vectors is. A
 leaf's memory is bounded by blocks of rows. Components are formed from one edge a
-vector and leaf.
+vector and place.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite values link
 with nothing, as do vectors of different lengths; rows of a null id link with
@@ -105,37 +106,26 @@ def visit(tree: Tree, rows: np.ndarray, gap: float) -> Iterator[tuple[int, np.nd
         todo += [(tree.children[k][0], own[at <= tree.cuts[k] + gap]), (tree.children[k][1], own[at > tree.cuts[k] - gap])]
 
 
-def links_in_leaf(rows: np.ndarray, sizes: np.ndarray, copies: np.ndarray, names: np.ndarray, visited: list[list[int]], code: int, cosine: float, leaf_rows: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector of a leaf: copies of those that it links with and meets here first, and the least name of its component here."""
+def links_in_leaf(rows: np.ndarray, sizes: np.ndarray, copies: np.ndarray, names: np.ndarray, visited: list[list[int]], place: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of a place: copies of those that it links with and meets here first, and the least name of its component here."""
     n = len(rows)
     norms = np.linalg.norm(rows, axis=1)
     counts, root = np.zeros(n, np.int64), np.arange(n)
-    parts, within = [(0, np.arange(n))], [[0]] * n
-    if n > leaf_rows:
-        units = unit(rows)
-        parts = sorted(visit(grow(units, 1.0, leaf_rows, gap, np.random.default_rng([SEED, code & 0x7FFFFFFF])), units, gap), key=lambda x: x[0])
-        within = [[] for _ in range(n)]
-        for k, own in parts:
-            for i in own:
-                within[i].append(k)
-    for k, own in parts:
-        for a in range(0, len(own), BLOCK):
-            for b in range(a, len(own), BLOCK):
-                x, y = own[a : a + BLOCK], own[b : b + BLOCK]
-                near = ((rows[x] @ rows[y].T) >= cosine * np.outer(norms[x], norms[y])) & (sizes[x][:, None] == sizes[y][None])
-                if a == b:
-                    np.fill_diagonal(near, False)
-                left, right = near.any(1), near.any(0)
-                if not left.any():
-                    continue
-                x, y, near = x[left], y[right], near[np.ix_(left, right)]
-                unite(root, x, y, near)
-                near &= ~met_before(visited, x, y, code)
-                if len(parts) > 1:
-                    near &= ~met_before(within, x, y, k)
-                counts[x] += near @ copies[y]
-                if a != b:
-                    counts[y] += near.T @ copies[x]
+    for a in range(0, n, BLOCK):
+        for b in range(a, n, BLOCK):
+            x, y = np.arange(a, min(a + BLOCK, n)), np.arange(b, min(b + BLOCK, n))
+            near = ((rows[x] @ rows[y].T) >= cosine * np.outer(norms[x], norms[y])) & (sizes[x][:, None] == sizes[y][None])
+            if a == b:
+                np.fill_diagonal(near, False)
+            left, right = near.any(1), near.any(0)
+            if not left.any():
+                continue
+            x, y, near = x[left], y[right], near[np.ix_(left, right)]
+            unite(root, x, y, near)
+            near &= ~met_before(visited, x, y, place)
+            counts[x] += near @ copies[y]
+            if a != b:
+                counts[y] += near.T @ copies[x]
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, root, names)
     return counts, least[root]
@@ -195,7 +185,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                vectors = unit(matrix(batch.column(2))[0])
+                vectors = unit(matrix(batch.column(1))[0])
                 who, codes = [], []
                 for t, tree in enumerate(forest.value):
                     for leaf, own in visit(tree, vectors, gap):
@@ -204,25 +194,34 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 if not who:
                     continue
                 who, codes = np.concatenate(who), np.concatenate(codes)
-                order = np.lexsort((codes, who))
-                who, codes = who[order], codes[order]
-                start = np.searchsorted(who, np.arange(batch.num_rows))
-                nth = np.arange(len(who)) - start[who]
-                visited = [codes[s : s + k + 1] for s, k in zip(start[who], nth)]
                 take = batch.take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([pa.array(codes), take.column(0), take.column(1), take.column(2), pa.array(visited, pa.list_(pa.int64()))], names=["code", "rep", "copies", "v", "visited"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes), take.column(0), take.column(1)], names=["code", "rep", "v"])
+
+    def split(leaf: pa.Table) -> pa.Table:
+        """The places of a leaf: itself, or the leaves of a tree of its own if it holds too many."""
+        leaf = leaf.combine_chunks().sort_by("rep")
+        names, code = leaf["rep"].to_numpy(), leaf["code"][0].as_py()
+        parts = [(0, np.arange(len(names)))]
+        if len(names) > leaf_rows:
+            units = unit(matrix(leaf["v"])[0])
+            parts = list(visit(grow(units, 1.0, leaf_rows, gap, np.random.default_rng([SEED, code & 0x7FFFFFFF])), units, gap))
+        own = np.concatenate([x for _, x in parts])
+        return pa.table({"rep": names[own], "place": np.repeat([code << LEAF_BITS | k for k, _ in parts], [len(x) for _, x in parts])})
 
     def compare(leaf: pa.Table) -> pa.Table:
         leaf = leaf.combine_chunks().sort_by("rep")
         vectors, sizes = matrix(leaf["v"])
-        names, code = leaf["rep"].to_numpy(), leaf["code"][0].as_py()
-        counts, least = links_in_leaf(vectors, sizes, leaf["copies"].to_numpy(), names, leaf["visited"].to_pylist(), code, cosine, leaf_rows, gap)
+        names, place = leaf["rep"].to_numpy(), leaf["place"][0].as_py()
+        counts, least = links_in_leaf(vectors, sizes, leaf["copies"].to_numpy(), names, leaf["visited"].to_pylist(), place, cosine)
         some = np.flatnonzero((counts > 0) | (least != names))
         return pa.table({"rep": names[some], "links": counts[some], "least": least[some]}, schema=pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("least", pa.int64())]))
 
     kind = classes.schema["v"].dataType.simpleString()
-    routed = classes.select("rep", "copies", "v").mapInArrow(route, f"code long, rep long, copies long, v {kind}, visited array<long>")
-    found = durable(routed.groupBy("code").applyInArrow(compare, "rep long, links long, least long"))
+    routed = classes.select("rep", "v").mapInArrow(route, f"code long, rep long, v {kind}")
+    visits = routed.groupBy("code").applyInArrow(split, "rep long, place long").groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    each = classes.select("rep", "copies", "v").join(visits, "rep").select("rep", "copies", "v", "places", F.posexplode("places").alias("at", "place"))
+    each = each.select("place", "rep", "copies", "v", F.slice("places", F.lit(1), F.col("at") + 1).alias("visited"))
+    found = durable(each.groupBy("place").applyInArrow(compare, "rep long, links long, least long"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     per_class = (

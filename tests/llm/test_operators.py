@@ -433,6 +433,17 @@ def test_vectors_equal_brute_force(spark):
     assert out[out.vec_id == 9006].component_id.iloc[0] == 0 and (out.kept == (out.vec_id == out.component_id)).all()
 
 
+def test_links_of_later_trees_count_where_leaves_are_split(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(60, 16))
+    m = np.array([centres[k % 60] + 0.12 * rng.normal(size=16) for k in range(1200)])
+    data = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    got = {t: vectors.near_duplicates(data, leaf_rows=32, sample=20, trees=t, spill=0.1).toPandas().n_links.sum() for t in (1, 10)}
+    u = vectors.unit(m)
+    want = (u @ u.T >= 0.95).sum() - len(u)
+    assert got[1] < 0.8 * want and 0.97 * want <= got[10] <= want
+
+
 def test_equal_and_dense_vectors(spark):
     rng = np.random.default_rng(3)
     dense = [(k, (np.ones(8) + 1e-4 * rng.normal(size=8)).tolist()) for k in range(700)] + [(k, [1.0] + [0.0] * 7) for k in range(1000, 1300)]
