@@ -9,7 +9,9 @@ chains are strung together from stretches of texts in different languages. A tex
 language is the one with the largest sum of word posteriors.
 
 Scale: the model, of fixed size, is learned on the driver from at most ``sample``
-labelled rows of at most ``sample_chars`` characters, those with the least digests.
+labelled texts, all different, of at most ``sample_chars`` characters, those with the
+least digests, and ``LEAST_EACH`` of every language where that is more. What the driver
+holds grows with the number of languages.
 Labelling is a narrow pass over whole texts in Arrow batches. Chains are lines, cut
 every ``STEP`` words, and run in step, so that memory and time are linear in the
 text, however long its lines.
@@ -26,10 +28,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from .common import durable, small_side
 from .textbatch import _SPACE, Chunk, chunks, segment_sums, with_columns
 
 BITS = 16
@@ -37,6 +40,8 @@ GRAMS = (2, 3, 4)
 STEP = 48
 SAMPLE = 480
 SAMPLE_CHARS = 4_000
+#: Texts that each language has in the sample at least, if there are so many.
+LEAST_EACH = 3
 ROUNDS = 25
 RATE = 0.3
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.6
@@ -156,8 +161,8 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, place: np.ndarray, t
         if t + 1 < len(alive):
             m = alive[t + 1]
             carried = back[:m] * emit[rows[:m] + 1]
-            pair = ahead[rows[:m]][:, :, None] * step[None] * carried[:, None, :]
-            moves += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            here = ahead[rows[:m]]
+            moves += step * ((here / ((here @ step) * carried).sum(1, keepdims=True)).T @ carried)
             back[:m] = carried @ step.T
             back[:m] /= back[:m].sum(1, keepdims=True)
         here = ahead[rows] * back[:n]
@@ -233,14 +238,15 @@ def train(texts: list[str], names: list[str], bits: int = BITS, rounds: int = RO
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, **settings) -> Model:
-    """Learn from a bounded sample of the labelled rows given, spread over languages."""
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_lang").isNotNull() & (F.length("_text") <= sample_chars) & F.col("_text").rlike("\\p{L}"))
-    rows = rows.withColumn("_digest", F.xxhash64("_text"))
-    shares = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(64).collect()}
-    each = max(1, sample // max(1, len(shares)))
-    found = []
-    for lang in sorted(shares):
-        found += rows.where(F.col("_lang") == lang).orderBy("_digest", "_text").limit(each).collect()
+    """Learn from a bounded sample of the labelled texts given, spread over all languages: the short ones with the least digests, then pieces of long ones."""
+    text = F.col(text_col)
+    rows = docs.select(F.substring(text, 1, sample_chars).alias("_text"), F.col(lang_col).alias("_lang"), (F.length(text) > sample_chars).alias("_long"))
+    rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").rlike("\\p{L}")).withColumn("_digest", F.xxhash64("_text"))
+    distinct = rows.groupBy("_lang", "_digest").agg(F.min("_long").alias("_long"))
+    each = max(LEAST_EACH, sample // max(1, distinct.select("_lang").distinct().count()))
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_long", "_digest"))
+    chosen = distinct.withColumn("_nth", nth).where(F.col("_nth") <= each).select("_lang", "_digest")
+    found = rows.join(small_side(durable(chosen)), ["_lang", "_digest"]).groupBy("_lang", "_digest").agg(F.min("_text").alias("_text")).orderBy("_lang", "_digest").collect()
     return train([r["_text"] for r in found], [r["_lang"] for r in found], **settings)
 
 

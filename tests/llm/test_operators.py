@@ -186,6 +186,17 @@ def test_language_without_training_rows_or_documents(spark, docs, none):
     assert langid.label(none, model).columns == [c for c in none.columns if c != "score"] + ["lang_pred", "score"]
 
 
+def test_every_language_is_learned_from_different_texts(spark, monkeypatch):
+    few = [(f"w{k} {chr(97 + k % 26) * 3} t{n}", f"l{k:03}") for k in range(70) for n in range(2)]
+    copied = [("the same text", "en")] * 300 + [(f"other text {k}", "en") for k in range(300)]
+    data = spark.createDataFrame([*few, *copied, ("long words " * 1000, "xx")], "text string, lang string")
+    monkeypatch.setattr(langid, "train", lambda texts, names: (texts, names))
+    texts, names = langid.fit(data)
+    count = Counter(names)
+    assert len(set(zip(texts, names))) == len(texts) and max(map(len, texts)) == langid.SAMPLE_CHARS
+    assert count == {**{x: 2 for _, x in few}, "en": langid.SAMPLE // 72, "xx": 1}
+
+
 # 3 Mixing
 
 
