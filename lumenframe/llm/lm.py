@@ -1,4 +1,4 @@
-"""Language-model scoring by online logistic context mixing.
+"""Language-model scoring by logistic context mixing.
 
 A text is its words (ASCII lower case) and one end token. Each token is coded in binary
 decisions. First, where the hash of the two tokens before it has a candidate (the
@@ -7,7 +7,8 @@ bytes follow, each along the path of a Huffman tree, so that frequent bytes take
 decisions. Every decision is predicted by several hashed contexts inside the token
 (the last one, two and four bytes, and all of them), each with the log odds of the
 bits counted there; a weight set, gated by which contexts have been seen and whether
-the token begins, mixes them in the logistic domain. Weights are learned online. The
+the token begins, mixes them in the logistic domain. Weights are learned by online steps over the tuning
+texts and stay as they are while texts are scored. The
 mix is refined adaptively: sharper and flatter variants of it, and eight even bits a
 byte, compete as experts whose posterior weights follow the text block by block. The
 sum of the decisions' costs is the text's bits; divided by its bytes, bits per byte.
