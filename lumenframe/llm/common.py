@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: ASCII white space: the six characters that separate words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Rows up to which a narrow table may be broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table may be broadcast; beyond it Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
 ARROW_ROWS = 500
 
 
@@ -21,15 +23,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that driver and executors share.
+    """Checkpoint into the folder that driver and executors share; the rows are counted on the way, for ``small_side``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set, a temporary
+    one will do on one machine (as in tests); on a cluster it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenframe-ckpt-"))
-    return df.checkpoint(eager=True)
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenframe-ckpt-"))
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    out._rows = seen.get["rows"]
+    return out
 
 
 def long_rows(df: DataFrame) -> DataFrame:
@@ -40,9 +48,33 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count shows at most ``max_rows`` rows; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _row_bytes(kind: DataType, value: Column) -> Column | int:
+    """About how many bytes a value takes; a plain number where that is the same for all."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        each = _row_bytes(kind.elementType, F.lit(None).cast(kind.elementType))
+        if isinstance(each, int):
+            return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * each + 16
+        own = F.transform(value, lambda x: F.lit(0).cast("long") + _row_bytes(kind.elementType, x))
+        return F.coalesce(F.aggregate(own, F.lit(16).cast("long"), lambda acc, x: acc + x), F.lit(16))
+    if isinstance(kind, StructType):
+        return sum((_row_bytes(f.dataType, value[f.name]) for f in kind), 8)
+    return 8
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (checkpointed first unless it is a checkpoint), with a broadcast hint if its measured size allows; otherwise the join is left to Spark."""
+    if not hasattr(df, "_rows"):
+        df = durable(df)
+    size = _row_bytes(df.schema, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    if isinstance(size, int):
+        size *= df._rows
+    elif 16 * df._rows <= max_bytes:
+        size = df.agg(F.sum(size)).head()[0] or 0
+    else:
+        return df
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

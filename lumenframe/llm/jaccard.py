@@ -34,11 +34,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import durable, long_rows, small_side
+from .common import durable, keep_row, long_rows, small_side, unpack
 from .components import components
 from .textbatch import Chunk, chunks, mix
 
@@ -179,11 +179,10 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
     return by_document(docs, id_col, text_col, words, "id long, shingles array<long>", make)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Those of the (a, b) whose whole sets are similar enough."""
-    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("_needed")).distinct())
-    some = docs.join(small_side(needed), docs[id_col] == F.col("_needed"), "left_semi")
-    sets = durable(sets_of(some, id_col, text_col, words))
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the (a, b) whose whole sets are similar enough; ``docs``: id, text."""
+    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = durable(sets_of(docs.join(small_side(needed), "id", "left_semi"), "id", "text", words))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = left.join(small_side(pairs), "a").join(right, "b")
@@ -192,58 +191,80 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     return durable(alike.select("a", "b").distinct())
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, cell_bits: int = CELL_BITS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
-    rows = durable(prefixes(docs, sketch(docs, id_col, text_col, words, cell_bits), id_col, text_col, words, percent))
-    classes = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = durable(classes.select("n", "s1", "s2", "rep", "prefix", F.xxhash64("n", "prefix").alias("grp")))
-    joint = durable(classes.groupBy("n", "grp").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1"))
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Sizes, and what can precede and follow a shared shingle (one of the first COMMON), allow the similarity of two postings."""
+    nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & ((F.least(nx - px, ny - py) + COMMON - 1) * (100 + percent) >= (nx + ny) * percent)
+
+
+def enough(most: Column, percent: int) -> Column:
+    """Equal shingles that a pair needs among its prefixes; ``most``: the larger size."""
+    return F.least(F.lit(COMMON), F.floor((most * percent + 99) / 100))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shared_postings(classes: DataFrame, joint: DataFrame, percent: int) -> DataFrame:
+    """(token, pos, n, grp, head) of the groups, for the prefix shingles that may link two classes."""
     groups = classes.join(small_side(joint), ["n", "grp"], "left").where("head is null or head = rep")
     postings = groups.select("n", "grp", F.col("rep").alias("head"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("prefix").alias("pos", "token"))
     met = postings.groupBy("token").agg(F.sum("members").alias("members"), F.count("*").alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("left"))
     fits = (F.col("least") * 100 >= F.col("most") * percent) & ((F.col("left") + COMMON - 1) * (100 + percent) >= F.col("both") * percent)
-    shared = durable(met.where((F.col("members") > 1) & ((F.col("groups") != 2) | (F.col("members") > 2) | fits)).select("token"))
-    postings = durable(postings.join(small_side(shared), "token").select("token", "pos", "n", "grp", "head"))
-
-    def may_link(x: str, y: str):
-        """Sizes, and what can precede and follow a shared shingle (one of the first COMMON), allow the similarity."""
-        nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & ((F.least(nx - px, ny - py) + COMMON - 1) * (100 + percent) >= (nx + ny) * percent)
-
-    # equal shingles that a pair needs among its prefixes
-    enough = lambda nx, ny: F.least(F.lit(COMMON), F.floor((F.greatest(nx, ny) * percent + 99) / 100))
-    leaders = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "head")).alias("lead"))
-    leaders = leaders.select("token", F.col("lead.pos").alias("pos"), F.col("lead.n").alias("n"), F.col("lead.head").alias("head"))
-    near = (F.col("x.token") == F.col("y.token")) & may_link("x", "y") & (F.col("x.head") != F.col("y.head"))
-    star = postings.alias("x").join(leaders.alias("y"), near).groupBy(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
-    star = star.agg(F.count("*").alias("met"), F.max(F.struct(F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))).alias("n")).where(F.col("met") >= enough(F.col("n.nx"), F.col("n.ny"))).select("a", "b")
-    inner = classes.join(small_side(joint), ["n", "grp"]).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = durable(ordered(star.union(inner)))
-    links = verified(first, docs, id_col, text_col, words, percent)
+    shared = met.where((F.col("members") > 1) & ((F.col("groups") != 2) | (F.col("members") > 2) | fits)).select("token")
+    return durable(postings.join(small_side(shared), "token").select("token", "pos", "n", "grp", "head"))
 
-    known = components(links)
-    members = durable(classes.select("n", "grp", "rep").join(known, F.col("rep") == F.col("node"), "left").select("n", "grp", "rep", F.coalesce("component", "rep").alias("comp")))
-    met = postings.join(members.select("n", "grp", "comp").distinct(), ["n", "grp"]).select("token", "pos", "n", "grp", "comp")
-    open_tokens = durable(met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token"))
-    met = durable(met.join(small_side(open_tokens), "token"))
-    sides = met.groupBy("token", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("groups"))
-    # the side with fewer groups comes first, and is spelled out first
-    smaller = (F.col("x.groups") < F.col("y.groups")) | ((F.col("x.groups") == F.col("y.groups")) & (F.col("x.comp") < F.col("y.comp")))
+
+def led_pairs(postings: DataFrame, classes: DataFrame, joint: DataFrame, percent: int) -> DataFrame:
+    """First round: (a, b) of groups with the leaders of their postings, and of members with their group's head."""
+    leaders = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "head")).alias("lead")).select("token", "lead.pos", "lead.n", "lead.head")
+    near = (F.col("x.token") == F.col("y.token")) & may_link("x", "y", percent) & (F.col("x.head") != F.col("y.head"))
+    star = postings.alias("x").join(leaders.alias("y"), near).select(F.col("x.head").alias("a"), F.col("y.head").alias("b"), F.greatest("x.n", "y.n").alias("most"))
+    star = star.groupBy("a", "b", "most").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("most"), percent)).select("a", "b")
+    inner = classes.join(small_side(joint), ["n", "grp"]).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    return durable(ordered(star.union(inner)))
+
+
+def open_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Second round: (a, b) of classes that still lie in different components and share enough. ``members``: n, grp, rep, comp."""
+    # a part: the members of a group that lie in one component; part is the least of them
+    parts = durable(members.groupBy("n", "grp", "comp").agg(F.min("rep").alias("part")))
+    met = postings.join(parts, ["n", "grp"]).select("token", "pos", "n", "comp", "part")
+    unlinked = met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+    met = durable(met.join(small_side(unlinked), "token"))
+    sides = met.groupBy("token", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    # the side with fewer parts comes first, and is spelled out first
+    smaller = (F.col("x.parts") < F.col("y.parts")) | ((F.col("x.parts") == F.col("y.parts")) & (F.col("x.comp") < F.col("y.comp")))
     reach = (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
     early = ((F.least(F.col("x.most") - F.col("x.pos"), F.col("y.most") - F.col("y.pos")) + COMMON - 1) * (100 + percent)) >= (F.col("x.least") + F.col("y.least")) * percent
     sides = sides.alias("x").join(sides.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & smaller & reach & early)
-    sides = sides.select("x.token", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2"))
-    x, y = met.alias("x"), met.alias("y")
-    cross = sides.alias("s").join(x, (F.col("s.token") == F.col("x.token")) & (F.col("s.c1") == F.col("x.comp")))
-    cross = cross.join(y, (F.col("s.token") == F.col("y.token")) & (F.col("s.c2") == F.col("y.comp")) & may_link("x", "y"))
-    pair = [F.struct(F.col(f"{k}.comp").alias("c"), F.col(f"{k}.n").alias("n"), F.col(f"{k}.grp").alias("g")) for k in "xy"]
-    cross = cross.select(F.least(*pair).alias("p"), F.greatest(*pair).alias("q")).select(*[F.col(f"{k}.{f}").alias(f"{f}{i}") for i, k in ((1, "p"), (2, "q")) for f in "ngc"])
-    cross = cross.groupBy(*cross.columns).agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("n1"), F.col("n2"))).drop("met")
-    one = members.select(F.col("n").alias("n1"), F.col("grp").alias("g1"), F.col("comp").alias("c1"), F.col("rep").alias("a"))
-    two = members.select(F.col("n").alias("n2"), F.col("grp").alias("g2"), F.col("comp").alias("c2"), F.col("rep").alias("b"))
-    rest = durable(ordered(cross.join(one, ["n1", "g1", "c1"]).join(two, ["n2", "g2", "c2"]).select("a", "b")).join(first, ["a", "b"], "left_anti"))
-    more = verified(rest, docs, id_col, text_col, words, percent)
+    sides = durable(sides.select("x.token", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
+    x = met.select("token", F.col("comp").alias("c1"), "pos", "n", "part")
+    y = met.select("token", F.col("comp").alias("c2"), "pos", "n", "part")
+    spelled = sides.join(x, ["token", "c1"])
+    cross = spelled.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c2") == F.col("y.c2")) & may_link("x", "y", percent))
+    cross = cross.select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), F.greatest("x.n", "y.n").alias("most"))
+    cross = durable(cross.groupBy("p", "q", "most").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("most"), percent)).select("p", "q"))
+    of_part = durable(members.join(parts, ["n", "grp", "comp"]).select("part", "rep"))
+    one, two = of_part.toDF("p", "a"), of_part.toDF("q", "b")
+    return ordered(cross.join(one, "p").join(two, "q").select("a", "b"))
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, cell_bits: int = CELL_BITS) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = durable(prefixes(docs, sketch(docs, "id", "text", words, cell_bits), "id", "text", words, percent))
+    classes = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = durable(classes.select("n", "s1", "s2", "rep", "prefix", F.xxhash64("n", "prefix").alias("grp")))
+    joint = durable(classes.groupBy("n", "grp").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1"))
+    postings = shared_postings(classes, joint, percent)
+    first = led_pairs(postings, classes, joint, percent)
+
+    known = components(verified(first, docs, words, percent))
+    members = durable(classes.select("n", "grp", "rep").join(known, F.col("rep") == F.col("node"), "left").select("n", "grp", "rep", F.coalesce("component", "rep").alias("comp")))
+    rest = durable(open_pairs(postings, members, percent).join(first, ["a", "b"], "left_anti"))
+    more = verified(rest, docs, words, percent)
 
     # what the second round links are components of the first
     comp_of = lambda side: members.select(F.col("rep").alias(side), F.col("comp").alias(f"comp_{side}"))
@@ -254,12 +275,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the least id; of rows that repeat an id, one; all rows of a null id."""
-    found = durable(link_components(docs, id_col, text_col, words, percent))
-    gone = durable(found.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct())
-    again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id")
-    kept = docs.join(small_side(gone), docs[id_col] == F.col("_id"), "left_anti")
-    if again.isEmpty():
-        return kept
-    again = small_side(durable(again))
-    once = kept.join(again, kept[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == F.col("_id"), "left_anti").unionByName(once)
+    found = durable(link_components(docs, id_col, text_col, words, percent).select(F.col("doc_id").alias("_id"), "component_id"))
+    gone = small_side(found.where("component_id != _id").select("_id").distinct())
+    again = small_side(found.where("component_id = _id").groupBy("_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id"))
+    rows = keep_row(docs).select("_row", F.col(f"_row.`{id_col}`").cast("long").alias("_id"))
+    kept = rows.join(gone, "_id", "left_anti")
+    once = kept.join(again, "_id", "left_semi").dropDuplicates(["_id"])
+    return unpack(kept.join(again, "_id", "left_anti").unionByName(once), docs.columns, {})
