@@ -1,30 +1,40 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
 A text is its words (ASCII lower case) and one end token. Each token is coded in binary
 decisions. First, where the hash of the two tokens before it has a candidate (the
 token that followed it most), one decision says whether that is it. If not, its
 bytes follow, each along the path of a Huffman tree, so that frequent bytes take few
-decisions. Every decision is predicted by several hashed contexts inside the token
+decisions. Every byte decision is predicted by several hashed contexts inside the token
 (the last one, two and four bytes, and all of them), each with the log odds of the
 bits counted there; a weight set, gated by which contexts have been seen and whether
-the token begins, mixes them in the logistic domain. Weights are learned by online steps over the tuning
-texts and stay as they are while texts are scored. The
-mix is refined adaptively: sharper and flatter variants of it, and eight even bits a
-byte, compete as experts whose posterior weights follow the text block by block. The
-sum of the decisions' costs is the text's bits; divided by its bytes, bits per byte.
+the token begins, mixes them in the logistic domain. The candidate's decision is
+predicted by the odds of its slot, under weights gated by how often that was seen.
+
+What is learned online: the candidate's weights take a gradient step after every block
+of TOKENS_A_BLOCK tokens of a text, each text from the shared start. Experts compete with
+posterior weights that follow the text block by block: sharper and flatter variants
+of the mix, the unigram model with the rest spelled out where a token holds no slot,
+both behind the candidate's decision, the unigram model without it, and eight even
+bits a byte. The weight sets of byte decisions stay as learned while a text is scored,
+so that each distinct token is spelled once a batch.
+
+The start is learned by online steps over a held-out share of the training texts: those
+whose digest falls into one of FOLD parts, whatever their length, equal rows once. They are
+dealt into groups of about GROUP_TEXTS; each group learns for itself, against
+counts of the other texts, and weights are averaged by use. After that, tables count
+all training texts. The sum of the decisions' costs is the text's bits; divided by its
+bytes, bits per byte.
 
 The base score is a smoothed unigram model over the same tokens.
 
 Scale: one pass counts tokens and one followers of the training texts. Pairs of a
 context and its follower are combined a bounded number at a time in a task, shuffled in
-packed blocks, and summed over the corpus before any is compared or dropped. Bit
-counts come from the distinct tokens alone. Context tables, candidates, and the most
-frequent token of each of 2**SLOT_BITS slots have fixed sizes; they are collected and
-broadcast. Base counts of tokens that hold no slot are joined exactly. In the scoring
-pass tokens that hold a slot are looked up, and each other distinct token of a batch is
-coded once. Weights are learned on the driver
-from at most ``TUNING`` training texts of at most ``TUNING_CHARS`` characters, which
-bit counts and candidates leave out.
+packed blocks, and summed over the corpus before any is compared or dropped, in parts
+whose number grows with the tokens. Bit counts come from the distinct tokens alone.
+Context tables, candidates, and the most frequent token of each of 2**SLOT_BITS slots
+have fixed sizes; they are collected and broadcast. Base counts of tokens that hold no
+slot are joined exactly. No text reaches the driver. Batches, chunks and partitions
+change sums in their last digits only.
 
 Edge cases: null and empty texts are one end token; without training texts counts are
 0 and every decision costs about one bit; texts of null id are scored, and learned from
@@ -54,13 +64,15 @@ OFFSETS = np.cumsum([0] + [1 << b for _, _, b in CONTEXTS])
 BLOCK = 1024
 #: Follower slots are dealt out in 2**PART_BITS parts; a task combines about so many pairs before it hands them on.
 PART_BITS, PAIRS = 12, 1 << 20
-TUNING, TUNING_CHARS = 250, 10_000
+#: One of FOLD parts of the training texts teaches the weights, in groups of about so many texts.
+FOLD, GROUP_TEXTS = 24, 250
 PRIOR = 0.4
 SCALE = 12.0
 TEMPERATURES = (0.75, 1.0, 1.3)
 SHARE = 0.02
 TOKENS_A_BLOCK = 64
-COARSE = 128
+#: Step of the candidate's weights after a block, and what is added to the decisions that it is divided by.
+STEP, CALM = 0.5, 4.0
 CHUNK_BYTES = 1 << 20
 END = np.uint64(0x5DEECE66D1234567)
 
@@ -166,8 +178,9 @@ def slot_values(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return (level << 8) | (log_odds(ones, zeros).astype(np.int16) & 255)
 
 
-def looked_up(table: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found = table[np.stack(slots)]
+def looked_up(table: np.ndarray, slots: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and levels as ``slot_values`` packed them."""
+    found = table[np.asarray(slots)]
     return (found & 255).astype(np.uint8).view(np.int8).astype(np.float32) / np.float32(SCALE), (found >> 8).astype(np.int64)
 
 
@@ -196,29 +209,52 @@ class Model:
         by_token = segment_sums(cost, bounds[:-1], bounds[1:]) / np.log(2)
         return np.concatenate([by_token, 8.0 * np.diff(bounds)[:, None]], 1)
 
-    def follow_logit(self, slots: np.ndarray) -> np.ndarray:
-        odds = self.follow_odds[slots].astype(np.float32) / np.float32(SCALE)
-        return self.follow_weights[0] * odds + self.follow_weights[1]
-
-
-def blockwise(bits: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Bits of each text (tokens start:end) under experts whose posterior weights are updated block by block."""
-    experts = bits.shape[1]
-    sums = np.concatenate([np.zeros((1, experts)), np.cumsum(bits, 0)])
+    def candidates(self, h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: whether its slot has a candidate, whether that is it, the slot's log odds and its weight set."""
+        slots = before(h, text)
+        guess = self.followers[slots]
+        odds, level = looked_up(self.follow_odds, slots)
+        return guess != 0, (guess != 0) & (guess == h), odds.astype(np.float64), level
+
+
+def blockwise(spelled: np.ndarray, base: np.ndarray, flags: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bits of each text (tokens start:end, at least one).
+
+    ``spelled``: bits of each token by spelling expert, the last one even bits; ``base``:
+    bits under the unigram model, with what it leaves to spelling; ``flags``: ``candidates``.
+    Experts' posterior weights and each text's candidate weights move after every block.
+    """
+    there, hit, odds, level = flags
+    plain, sets = np.stack([spelled[:, -1], base], 1), len(weights)
+    behind = np.concatenate([spelled[:, :-1], base[:, None]], 1)
+    experts = plain.shape[1] + behind.shape[1]
     blocks = -(-(end - start) // TOKENS_A_BLOCK)
     order = np.argsort(-blocks, kind="stable")
     weight = np.full((len(start), experts), -np.log2(experts))
+    own = np.repeat(weights[None], len(start), 0)
     total = np.zeros(len(start))
     for j in range(int(blocks.max(initial=0))):
         who = order[: int(np.searchsorted(-blocks[order], -j, "left"))]
         lo = start[who] + j * TOKENS_A_BLOCK
-        hi = np.minimum(lo + TOKENS_A_BLOCK, end[who])
-        joint = weight[who] - (sums[hi] - sums[lo])
+        length = np.minimum(lo + TOKENS_A_BLOCK, end[who]) - lo
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(lo - first, length)
+        doc = np.repeat(who, length)
+        z = own[doc, level[at], 0] * odds[at] + own[doc, level[at], 1]
+        flag = np.where(there[at], np.logaddexp(0, np.where(hit[at], -z, z)) / np.log(2), 0)
+        cost = np.concatenate([flag[:, None] + np.where(hit[at][:, None], 0, behind[at]), plain[at]], 1)
+        joint = weight[who] - np.add.reduceat(cost, first, axis=0)
         top = joint.max(1, keepdims=True)
         each = np.exp2(joint - top)
         whole = each.sum(1, keepdims=True)
         total[who] -= (top + np.log2(whole))[:, 0]
         weight[who] = np.log2((1 - SHARE) * each / whole + SHARE / experts)
+        if j + 1 < blocks.max():
+            cell = doc * sets + level[at]
+            gap = np.where(there[at], hit[at] - 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0)
+            calm = STEP / (np.bincount(cell, there[at], len(start) * sets) + CALM)
+            own[..., 0] += (calm * np.bincount(cell, gap * odds[at], len(start) * sets)).reshape(-1, sets)
+            own[..., 1] += (calm * np.bincount(cell, gap, len(start) * sets)).reshape(-1, sets)
     return total
 
 
@@ -226,73 +262,79 @@ def log_odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(SCALE * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
 
 
-def gathered(docs: DataFrame, tuning: set[int]) -> DataFrame:
-    """Tokens: key hash, word, n in all, m outside the tuning texts."""
+def gathered(docs: DataFrame) -> DataFrame:
+    """(text, held) rows -> tokens: key hash, word, n in all, m in texts that aren't held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for c in chunks(batch.column(1).to_pylist(), CHUNK_BYTES):
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for c in chunks(batch.column(0).to_pylist(), CHUNK_BYTES):
                 low, starts, ends, h, text = tokens(c)
-                counted = np.array([i not in tuning for i in ids[c.first : c.first + len(c.start)]], bool)[text]
                 found, at, where, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                m = np.bincount(where, counted, len(found)).astype(np.int64)
+                m = np.bincount(where, ~held[c.first + text], len(found)).astype(np.int64)
                 data = low.data.tobytes()
                 words = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
                 columns = [pa.array(found.view(np.int64)), pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(m)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "n", "m"])
 
-    found = docs.select("id", "text").mapInArrow(run, "key long, word binary, n long, m long")
+    found = docs.select("text", "held").mapInArrow(run, "key long, word binary, n long, m long")
     return durable(found.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
 
-def summed(slot: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (slot, word) in order, and the sums of n."""
+def summed(slot: np.ndarray, word: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct (slot, word) in order, and the sums of the counts."""
     order = np.lexsort((word, slot))
-    slot, word, n = slot[order], word[order], n[order]
+    slot, word = slot[order], word[order]
     first = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (word[1:] != word[:-1])])[: len(slot)])
-    return slot[first], word[first], np.add.reduceat(n, first) if len(first) else n
+    return slot[first], word[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
 
 
-def followed(docs: DataFrame, tuning: set[int]) -> DataFrame:
-    """Of each follower slot outside the tuning texts: key slot, word the commonest follower's hash, n its hits, m the hits of all. Every pair counts, however batches fall."""
-    within = FOLLOW_BITS - PART_BITS
+def followed(docs: DataFrame, in_all: int) -> DataFrame:
+    """Of each follower slot: key slot, word the commonest follower's hash, n its hits, m the hits of all; word0, n0 and m0 the same without the texts held out (``held``).
 
-    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        slot, word = (np.concatenate(x) for x in zip(*held))
-        slot, word, n = summed(slot, word, np.ones(len(slot), np.int64))
+    Every pair counts, however batches fall. ``in_all``: tokens of the corpus, from which
+    the number of parts follows, so that a part holds about PAIRS of them, down to one slot.
+    """
+    part_bits = min(FOLLOW_BITS, max(PART_BITS, int(in_all // PAIRS).bit_length()))
+    within = FOLLOW_BITS - part_bits
+
+    def packed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        slot, word, n, m = summed(*(np.concatenate(x) for x in zip(*((s, w, np.ones(len(s), np.int64), (~x).astype(np.int64)) for s, w, x in pairs))))
         part = slot >> within
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
         bounds = np.append(cuts, len(slot))
         blob = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-        columns = [pa.array(part[cuts]), blob((slot & ((1 << within) - 1)).astype(np.uint8)), blob(word), blob(n.astype(np.uint32))]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "slot", "word", "n"])
+        columns = [pa.array(part[cuts]), blob((slot & ((1 << within) - 1)).astype(np.uint8)), blob(word), blob(n.astype(np.uint32)), blob(m.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "slot", "word", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        pairs, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for c in chunks(batch.column(1).to_pylist(), CHUNK_BYTES):
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for c in chunks(batch.column(0).to_pylist(), CHUNK_BYTES):
                 _, _, _, h, text = tokens(c)
-                counted = np.array([i not in tuning for i in ids[c.first : c.first + len(c.start)]], bool)[text]
-                held.append((before(h, text)[counted], h[counted]))
-                size += len(held[-1][1])
+                pairs.append((before(h, text), h, held[c.first + text]))
+                size += len(h)
                 if size >= PAIRS:
-                    yield packed(held)
-                    held, size = [], 0
+                    yield packed(pairs)
+                    pairs, size = [], 0
         if size:
-            yield packed(held)
+            yield packed(pairs)
+
+    def commonest(slot: np.ndarray, word: np.ndarray, n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Of each slot the word of most hits (then of the greater hash as text), its hits and all."""
+        top = np.lexsort((word.byteswap(), n, slot))[np.append(first[1:], len(slot)) - 1]
+        return [word[top].view(np.int64), n[top], np.add.reduceat(n, first)]
 
     def best(rows: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-        slot, word, n = summed(whole("slot", np.uint8), whole("word", np.uint64), whole("n", np.uint32).astype(np.int64))
+        slot, word, n, m = summed(whole("slot", np.uint8), whole("word", np.uint64), *(whole(x, np.uint32).astype(np.int64) for x in "nm"))
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        top = np.lexsort((word.byteswap(), n, slot))[np.append(first[1:], len(slot)) - 1]
         key = (rows["part"][0].as_py() << within) | slot[first].astype(np.int64)
-        return pa.table({"key": key, "word": word[top].view(np.int64), "n": n[top], "m": np.add.reduceat(n, first)})
+        return pa.Table.from_arrays([pa.array(x) for x in (key, *commonest(slot, word, n, first), *commonest(slot, word, m, first))], names=["key", "word", "n", "m", "word0", "n0", "m0"])
 
-    pairs = docs.select("id", "text").mapInArrow(run, "part long, slot binary, word binary, n binary")
-    return durable(pairs.groupBy("part").applyInArrow(best, "key long, word long, n long, m long"))
+    pairs = docs.select("text", "held").mapInArrow(run, "part long, slot binary, word binary, n binary, m binary")
+    return durable(pairs.groupBy("part").applyInArrow(best, "key long, word long, n long, m long, word0 long, n0 long, m0 long"))
 
 
 def add_counts(cells: np.ndarray, words: list[bytes], n: np.ndarray) -> None:
@@ -300,18 +342,18 @@ def add_counts(cells: np.ndarray, words: list[bytes], n: np.ndarray) -> None:
     length = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(length + 1) - 1
     data, bounds = stream(np.frombuffer(b" ".join(words) + b" ", np.uint8), ends - length, ends)
-    each = np.repeat(n.astype(np.float32), np.diff(bounds))
+    each = np.repeat(n.astype(np.float64), np.diff(bounds))
     for place, slots, bits in Decisions(data, bounds):
         for s in slots:
             np.add.at(cells, 2 * s + bits, each[place])
 
 
-def bit_table(vocabulary: DataFrame) -> np.ndarray:
-    """Log odds of the bits counted in every slot of the context tables."""
+def bit_table(vocabulary: DataFrame, count_col: str) -> np.ndarray:
+    """Log odds of the bits counted in every slot of the context tables, from (word, ``count_col``)."""
     size = int(OFFSETS[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((size, 2), np.float32)
+        cells = np.zeros((size, 2))
         for whole in batches:
             for at in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(at, 50_000)
@@ -326,13 +368,13 @@ def bit_table(vocabulary: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.float32).astype(np.float64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.float64)
         if sums:
             cells = [slot_values(x[1::2], x[::2]).tobytes() for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(cells, pa.binary())], names=["block", "cells"])
 
     few = vocabulary.sparkSession.sparkContext.defaultParallelism
-    rows = vocabulary.where("m > 0").select("word", "m").coalesce(few).mapInArrow(count, "block int, cells binary")
+    rows = vocabulary.where(F.col(count_col) > 0).select("word", count_col).coalesce(few).mapInArrow(count, "block int, cells binary")
     table = np.zeros((size // BLOCK, BLOCK), np.int16)
     for row in rows.repartition("block").mapInArrow(total, "block int, cells binary").toLocalIterator():
         table[row["block"]] = np.frombuffer(row["cells"], np.int16)
@@ -365,52 +407,77 @@ def dense(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def follower_tables(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of each slot the commonest follower's hash, if it was seen more than once in all, and the log odds that it follows."""
+    """Of each slot (key, word, n, m) the commonest follower's hash, if it was seen more than once in all, and as ``slot_values`` how often it follows."""
     best = found.where("n > 1")
     # both counts in one number, each capped
     capped = lambda n: F.least(n, F.lit((1 << 31) - 1)).cast("long")
     both = F.shiftleft(capped(F.col("m")), 32).bitwiseOR(capped(F.col("n")))
     followers, packed = dense(best.select(F.col("key").alias("slot"), F.col("word").alias("a"), both.alias("b")), 1 << FOLLOW_BITS)
     n = (packed & 0xFFFFFFFF).astype(float)
-    return followers.view(np.uint64), np.where(packed > 0, log_odds(n, (packed >> 32) - n), 0).astype(np.int8)
+    return followers.view(np.uint64), slot_values(n, (packed >> 32) - n)
+
+
+def sgd(w: np.ndarray, power: np.ndarray, x: np.ndarray, s: np.ndarray, y: np.ndarray, rate: float) -> None:
+    """One step of the weight sets ``w`` (inputs by sets) over decisions: inputs x, set s, bit y."""
+    gap = y - 1 / (1 + np.exp(-np.clip((w[:, s] * x).sum(0), -30, 30)))
+    slope = np.stack([np.bincount(s, gap * x[d], w.shape[1]) for d in range(len(w))])
+    power += slope * slope
+    w += rate * slope / np.sqrt(power)
 
 
-def learn_weights(model: Model, texts: list[str], rounds: int = 3, rate: float = 0.05, step: int = 512, chunk_bytes: int = 1 << 17) -> None:
-    """Online gradient steps over the decisions of the tuning texts, a chunk of them at a time."""
+def learned(model: Model, texts: list[str], rounds: int = 2, rate: float = 0.05, step: int = 512, chunk_bytes: int = 1 << 17) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights after online gradient steps over the texts, a chunk of them at a time, and how often each set was used: of byte decisions and of candidates."""
     rng = np.random.default_rng(7)
-    w, sets = model.weights, model.weights.shape[1]
-    power = np.full(w.shape, 1e-3, np.float32)
-    hits = [np.zeros((2, 0))]
+    w, a = model.weights.astype(np.float64), model.follow_weights.T.copy()
+    power, follow_power = np.full(w.shape, 1e-3), np.full(a.shape, 1e-3)
+    used, follow_used = np.zeros(w.shape[1], np.int64), np.zeros(a.shape[1], np.int64)
     for r in range(rounds):
         for c in chunks(texts, chunk_bytes):
             low, starts, ends, h, text = tokens(c)
-            slots = before(h, text)
-            guess = model.followers[slots]
-            some = guess != 0
-            if r == 0:
-                hits.append(np.stack([model.follow_odds[slots[some]] / SCALE, guess[some] == h[some]]))
-            spelled = np.flatnonzero(guess != h)
+            there, hit, x, level = model.candidates(h, text)
+            some = np.flatnonzero(there)
+            for k in np.split(some, range(step, len(some), step)) if len(some) else ():
+                sgd(a, follow_power, np.stack([x[k], np.ones(len(k))]), level[k], hit[k], rate)
+            spelled = np.flatnonzero(~hit)
             decisions = Decisions(*stream(low.data, starts[spelled], ends[spelled]))
             odds, gates, bits = [np.zeros((len(CONTEXTS), 0), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
             for at, where, bit in decisions:
-                found, level = looked_up(model.table, where)
+                found, seen = looked_up(model.table, where)
                 odds.append(found)
-                gates.append(gate(level, decisions.first[at]))
+                gates.append(gate(seen, decisions.first[at]))
                 bits.append(bit)
-            o, g, y = np.concatenate(odds, 1), np.concatenate(gates), np.concatenate(bits).astype(np.float32)
+            o, g, y = np.concatenate(odds, 1), np.concatenate(gates), np.concatenate(bits).astype(np.float64)
+            if not r:
+                used += np.bincount(g, minlength=len(used))
+                follow_used += np.bincount(level[some], minlength=len(follow_used))
             order = rng.permutation(len(g))
-            for i in range(0, len(order), step):
-                k = order[i : i + step]
-                x, s = np.concatenate([o[:, k], np.ones((1, len(k)), np.float32)]), g[k]
-                gap = y[k] - 1 / (1 + np.exp(-np.clip((w[:, s] * x).sum(0), -30, 30)))
-                slope = np.stack([np.bincount(s, gap * x[d], sets) for d in range(len(w))]).astype(np.float32)
-                power += slope * slope
-                w += rate * slope / np.sqrt(power)
-    x, y = np.concatenate(hits, 1)
-    a = model.follow_weights
-    for _ in range(200 if len(x) else 0):
-        gap = y - 1 / (1 + np.exp(-(a[0] * x + a[1])))
-        a += 0.5 * np.array([np.mean(gap * x), np.mean(gap)])
+            for k in np.split(order, range(step, len(order), step)) if len(order) else ():
+                sgd(w, power, np.concatenate([o[:, k], np.ones((1, len(k)), np.float32)]), g[k], y[k], rate)
+    return [(w, used), (a, follow_used)]
+
+
+def learn_weights(model: Model, texts: DataFrame) -> None:
+    """Set the start weights of ``model`` from the (text, digest) rows held out: groups learn apart, their weights are averaged by use."""
+    groups = max(1, -(-texts.count() // GROUP_TEXTS))
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("digest", "ascending")])
+        out = [np.concatenate([(w * used).ravel(), used.astype(float)]) for w, used in learned(shared.value, group["text"].to_pylist())]
+        flat = np.concatenate(out)
+        return pa.table({"k": np.arange(len(flat)), "v": flat})
+
+    dealt = texts.select(F.coalesce("text", F.lit("")).alias("text"), "digest", F.pmod(F.shiftrightunsigned("digest", 8), F.lit(groups)).alias("part"))
+    found = dealt.groupBy("part").applyInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    shared.destroy()
+    if not found:
+        return
+    flat = np.zeros(len(found))
+    flat[[r["k"] for r in found]] = [r["v"] for r in found]
+    cut = model.weights.size + model.weights.shape[1]
+    for part, start in ((flat[:cut], model.weights), (flat[cut:], model.follow_weights.T)):
+        used = part[start.size :]
+        start[:, used > 0] = part[: start.size].reshape(start.shape)[:, used > 0] / used[used > 0]
 
 
 @dataclass
@@ -444,16 +511,18 @@ def slot_table(vocabulary: DataFrame, model: Model, bottom: float) -> Slots:
 
 def fit(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     """The model of the (id, text) rows where ``learn`` holds, and their (key, word, n): tokens' hashes, bytes and counts."""
-    taught = docs.where(learn)
-    tuned = taught.where(F.length("text") <= TUNING_CHARS).orderBy(F.xxhash64("id"), "id").limit(TUNING).collect()
-    aside = {r["id"] for r in tuned}
-    vocabulary = gathered(taught, aside)
+    digest = F.xxhash64("id", "text")
+    taught = docs.where(learn).select("text", digest.alias("digest"), (F.pmod(digest, F.lit(FOLD)) == 0).alias("held"))
+    vocabulary = gathered(taught)
+    in_all = vocabulary.agg(F.sum("n")).head()[0] or 0
+    pairs = followed(taught, in_all)
     contexts = len(CONTEXTS)
     weights = np.full((contexts + 1, GATES), 1.0 / contexts, np.float32)
     weights[-1] = 0
-    model = Model(bit_table(vocabulary), *follower_tables(followed(taught, aside)), weights, np.array([1.0, 0.0]))
-    learn_weights(model, [r["text"] or "" for r in tuned])
-    return model, vocabulary.select("key", "word", "n")
+    without = pairs.select("key", F.col("word0").alias("word"), F.col("n0").alias("n"), F.col("m0").alias("m"))
+    model = Model(bit_table(vocabulary, "m"), *follower_tables(without), weights, np.tile([1.0, 0.0], (len(SEEN) + 1, 1)))
+    learn_weights(model, taught.where("held").select("text", "digest").dropDuplicates(["digest"]))
+    return Model(bit_table(vocabulary, "n"), *follower_tables(pairs), model.weights, model.follow_weights), vocabulary.select("key", "word", "n")
 
 
 def score(table: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -478,14 +547,9 @@ def score(table: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 own = top.keys[at_slot] == found.view(np.int64)
                 spelled = top.bits[at_slot].astype(np.float64)
                 spelled[~own] = mine.token_bits(low.data, starts[at[~own]], ends[at[~own]])
-                bits = spelled[where]
-                slots = before(h, text)
-                guess = mine.followers[slots]
-                some = np.flatnonzero(guess != 0)
-                z, hit = mine.follow_logit(slots[some]), guess[some] == h[some]
-                flag = np.logaddexp(0, np.where(hit, -z, z)) / np.log(2)
-                bits[some, :-1] = flag[:, None] + np.where(hit[:, None], 0, bits[some, :-1])
-                total = blockwise(bits, lo, hi)
+                new = np.log2(bottom / 0.5) + spelled[:, 1]
+                base = np.where(own, -top.base[at_slot] * np.log2(10), new)
+                total = blockwise(spelled[where], base[where], mine.candidates(h, text), mine.follow_weights, lo, hi)
                 known = own[where]
                 sure = segment_sums(np.where(known, top.base[at_slot][where], 0.0), lo, hi)
                 n_sure = segment_sums(known.astype(np.float64), lo, hi)

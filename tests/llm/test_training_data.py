@@ -388,10 +388,63 @@ def test_followers_are_counted_over_all_chunks(spark, rows, docs, monkeypatch, l
     want = defaultdict(lambda: ((0, b""), 0))
     for (slot, word), n in pairs.items():
         want[slot] = max(want[slot][0], (n, word)), want[slot][1] + n
-    got = {r["key"]: ((r["n"], r["word"].to_bytes(8, "little", signed=True)), r["m"]) for r in lm.followed(docs.withColumnRenamed("doc_id", "id"), set()).collect()}
+    got = {r["key"]: ((r["n"], r["word"].to_bytes(8, "little", signed=True)), r["m"]) for r in lm.followed(docs.select("text", (F.col("doc_id") < 20).alias("held")).na.fill(False), limit).collect()}
     assert got == want
 
 
+def test_followers_are_counted_without_the_texts_held_out(spark, docs):
+    own = lambda df: {r["key"]: (r["n"], r["m"]) for r in lm.followed(df, 1 << 40).collect()}
+    rest = own(docs.where("doc_id >= 20").select("text", F.lit(False).alias("held")))
+    both = lm.followed(docs.where("doc_id is not null").select("text", (F.col("doc_id") < 20).alias("held")), 1 << 40).where("m0 > 0").collect()
+    assert {r["key"]: (r["n0"], r["m0"]) for r in both} == rest
+
+
+def brute_blocks(spelled, base, flags, weights):
+    """One text, token after token."""
+    there, hit, odds, level = flags
+    own, experts = weights.copy(), spelled.shape[1] + 2
+    share, total = [1 / experts] * experts, 0.0
+    for j in range(0, len(base), lm.TOKENS_A_BLOCK):
+        cost, steps, count = [0.0] * experts, np.zeros_like(own), [0] * len(own)
+        for t in range(j, min(j + lm.TOKENS_A_BLOCK, len(base))):
+            flag = 0.0
+            if there[t]:
+                p = 1 / (1 + math.exp(-(own[level[t]][0] * odds[t] + own[level[t]][1])))
+                flag = -math.log2(p if hit[t] else 1 - p)
+                steps[level[t]] += (hit[t] - p) * np.array([odds[t], 1])
+                count[level[t]] += 1
+            for k, bits in enumerate([*spelled[t][:-1], base[t]]):
+                cost[k] += flag + (0 if hit[t] else bits)
+            for k, bits in enumerate([spelled[t][-1], base[t]]):
+                cost[experts - 2 + k] += bits
+        joint = [w * 2.0**-c for w, c in zip(share, cost)]
+        total -= math.log2(sum(joint))
+        share = [(1 - lm.SHARE) * x / sum(joint) + lm.SHARE / experts for x in joint]
+        for g in range(len(own)):
+            own[g] += lm.STEP * steps[g] / (count[g] + lm.CALM)
+    return total
+
+
+def test_blocks_equal_coding_token_by_token():
+    rng = np.random.default_rng(13)
+    lengths = np.array([1, 300, 64, 65, 2, 500])
+    n, end = lengths.sum(), np.cumsum(lengths)
+    there = rng.random(n) < 0.7
+    flags = there, there & (rng.random(n) < 0.5), rng.normal(size=n), rng.integers(0, 6, n)
+    spelled, base, weights = rng.random((n, 4)) * 3, rng.random(n) * 3, rng.normal(size=(6, 2))
+    got = lm.blockwise(spelled, base, flags, weights, end - lengths, end)
+    want = [brute_blocks(spelled[a:b], base[a:b], [x[a:b] for x in flags], weights) for a, b in zip(end - lengths, end)]
+    assert np.allclose(got, want)
+
+
+def test_scores_do_not_depend_on_partitions(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(lm, "FOLD", 3)
+    monkeypatch.setattr(lm, "GROUP_TEXTS", 10)
+    got = [sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(docs.repartition(k), F.lit(True)).collect()) for k in (1, 5)]
+    assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and np.allclose([x[2] for x in got[0]], [x[2] for x in got[1]], rtol=1e-9)
+    assert lm.score(docs, F.lit(True)).where("score > 0 or score is null or isnan(score)").count() == 0
+
+
 def test_model_without_training_or_documents(spark, docs, none):
     out = lm.score(docs, docs.doc_id < 0).toPandas()
     assert (out.train_tokens == 0).all() and (out.n_known == 0).all() and np.isfinite(out.score).all()
