@@ -12,19 +12,20 @@ Scale: the model, of fixed size, is learned on the driver from at most ``sample`
 labelled texts, all different, of at most ``sample_chars`` characters, those with the
 least digests, and ``LEAST_EACH`` of every language where that is more. What the driver
 holds grows with the number of languages.
-Labelling is a narrow pass over whole texts in Arrow batches. Chains are lines, cut
-every ``STEP`` words, and run in step, so that memory and time are linear in the
-text, however long its lines.
+Labelling is a narrow pass over whole texts in Arrow batches. Chains are lines. Those of
+a batch run in step, in stretches of ``STRETCH`` words; what a stretch passes on is a small
+matrix, so that messages cross its bounds exactly, while memory and time are linear in
+the text, however long its lines.
 
-Edge cases: texts that are null or without a letter are ``und`` with score 0.0; words
-without a letter have no say; without labelled rows everything is ``und``; ties go
+Edge cases: texts that are null or without a letter (of Unicode category L) are ``und``
+with score 0.0; words without a letter have no say; without labelled rows everything is ``und``; ties go
 to the first language by name; repeated rows get equal results; extra columns pass
 through, and those named like an added column are replaced.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,7 @@ from .textbatch import _SPACE, Chunk, chunks, segment_sums, with_columns
 
 BITS = 16
 GRAMS = (2, 3, 4)
-STEP = 48
+STRETCH = 128
 SAMPLE = 480
 SAMPLE_CHARS = 4_000
 #: Texts that each language has in the sample at least, if there are so many.
@@ -46,7 +47,6 @@ ROUNDS = 25
 RATE = 0.3
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.6
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def folded(chunk: Chunk) -> Chunk:
@@ -58,6 +58,27 @@ def folded(chunk: Chunk) -> Chunk:
     return Chunk(chunk.first, data, chunk.start, chunk.end)
 
 
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool)
+
+
+def letter_starts(data: np.ndarray) -> np.ndarray:
+    """Of each byte of UTF-8, whether a letter begins there."""
+    out = (data | 0x20) - np.uint8(97) < 26
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x3F >> more)
+        for k in (1, 2, 3):
+            there = more >= k
+            code[there] = code[there] << 6 | (data[lead[there] + k] & 0x3F)
+        out[lead] = letters()[code]
+    return out
+
+
 class Words:
     """The words of a chunk: where they are, their hashes, chains and features."""
 
@@ -68,17 +89,15 @@ class Words:
         self.count = len(self.starts)
         self.hash = self.hashes.of(self.starts, self.ends)
         self._numbers = None
-        letters = np.concatenate([[0], np.cumsum((self.data >= 0x80) | ((self.data >= 97) & (self.data <= 122)))])
-        self.lettered = letters[self.ends] > letters[self.starts]
+        found = np.concatenate([[0], np.cumsum(letter_starts(self.data))])
+        self.lettered = found[self.ends] > found[self.starts]
 
-    def chains(self, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each word, its chain and its place there: lines, cut every ``step`` words."""
+    def places(self) -> np.ndarray:
+        """The place of each word in its chain, which is a line."""
         breaks = np.concatenate([[0], np.cumsum(self.data == 10)])[self.starts]
         fresh = np.concatenate([[True], breaks[1:] != breaks[:-1]])[: self.count]
         at = np.arange(self.count)
-        place = at - np.maximum.accumulate(np.where(fresh, at, 0))
-        place %= step
-        return np.cumsum(place == 0) - 1, place
+        return at - np.maximum.accumulate(np.where(fresh, at, 0))
 
     def emissions(self, table: np.ndarray) -> np.ndarray:
         """Sums of the rows of ``table`` over each word's hashed features."""
@@ -129,45 +148,66 @@ class Model:
         return out * words.lettered[:, None]
 
     def posteriors(self, words: Words) -> np.ndarray:
-        return forward_backward(self.word_scores(words), *words.chains(STEP), self.transition, self.opening)[0]
+        return forward_backward(self.word_scores(words), words.places(), self.transition, self.opening)[0]
+
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row (or matrix) by its sum, with a floor against underflow."""
+    x = x + 1e-300
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
 
-def forward_backward(scores: np.ndarray, chain: np.ndarray, place: np.ndarray, transition: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of all words, expected transitions and expected openings; chains run in step."""
+
+def messages(emit: np.ndarray, step: np.ndarray, opening: np.ndarray, first: np.ndarray, alive: list[int], fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each stretch from before (without its first word's emission) and from behind; stretches in order of length, ``fresh``: begins a line."""
+    count, k = len(first), len(step)
+    before, behind = np.tile(opening, (count, 1)), np.ones((count, k))
+    if fresh.all():
+        return before, behind
+    across = np.eye(k) * emit[first][:, None]  # from what reaches a stretch to what its last word holds
+    for t in range(1, len(alive)):
+        n = alive[t]
+        across[:n] = scaled((across[:n] @ step) * emit[first[:n] + t][:, None])
+    text_order = np.argsort(first)
+    nth = np.arange(count) - np.maximum.accumulate(np.where(fresh[text_order], np.arange(count), 0))
+    turns = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1])
+    for prior, now in zip([x - 1 for x in turns[1:]], turns[1:]):
+        p, q = text_order[prior], text_order[now]
+        before[q] = scaled(np.einsum("si,sij->sj", before[p], across[p]) @ step)
+    for prior, now in zip([x - 1 for x in turns[:0:-1]], turns[:0:-1]):
+        p, q = text_order[prior], text_order[now]
+        behind[p] = scaled(np.einsum("sij,sj->si", across[q], behind[q]) @ step.T)
+    return before, behind
+
+
+def forward_backward(scores: np.ndarray, place: np.ndarray, transition: np.ndarray, opening: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of all words, expected transitions and expected openings; ``place``: of a word in its chain."""
     count, k = scores.shape
     if not count:
         return np.zeros((0, k)), np.zeros((k, k)), np.zeros(k)
-    first = np.flatnonzero(place == 0)
+    first = np.flatnonzero(place % stretch == 0)
     length = np.diff(np.append(first, count))
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
-    alive = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]  # chains of more than t words
+    alive = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]  # stretches of more than t words
     emit = np.exp(scores - scores.max(1, keepdims=True))
     step = np.exp(transition - transition.max())
-    ahead = np.empty_like(emit)
-    now = emit[first] * np.exp(opening - opening.max())
-    now /= now.sum(1, keepdims=True)
-    ahead[first] = now
+    before, back = messages(emit, step, np.exp(opening - opening.max()), first, alive, place[first] == 0)
+    ahead, behind = np.empty_like(emit), np.empty_like(emit)
+    ahead[first] = now = scaled(before * emit[first])
     for t in range(1, len(alive)):
         rows = first[: alive[t]] + t
-        now = (now[: alive[t]] @ step) * emit[rows] + 1e-300
-        now /= now.sum(1, keepdims=True)
-        ahead[rows] = now
-    post, moves = np.empty_like(emit), np.zeros((k, k))
-    back = np.ones((len(first), k))
+        ahead[rows] = now = scaled((now[: alive[t]] @ step) * emit[rows])
     for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        rows = first[:n] + t
+        rows = first[: alive[t]] + t
         if t + 1 < len(alive):
             m = alive[t + 1]
-            carried = back[:m] * emit[rows[:m] + 1]
-            here = ahead[rows[:m]]
-            moves += step * ((here / ((here @ step) * carried).sum(1, keepdims=True)).T @ carried)
-            back[:m] = carried @ step.T
-            back[:m] /= back[:m].sum(1, keepdims=True)
-        here = ahead[rows] * back[:n]
-        post[rows] = here / here.sum(1, keepdims=True)
-    return post, moves, post[first].sum(0)
+            back[:m] = scaled((back[:m] * emit[rows[:m] + 1]) @ step.T)
+        behind[rows] = back[: alive[t]]
+    post = scaled(ahead * behind)
+    later = np.flatnonzero(place > 0)
+    here, carried = ahead[later - 1], emit[later] * behind[later]
+    moves = step * ((here / np.maximum(((here @ step) * carried).sum(1, keepdims=True), 1e-300)).T @ carried)
+    return post, moves, post[place == 0].sum(0)
 
 
 def strung(texts: list[str], labels: np.ndarray, seed: int) -> tuple[str, list[int]]:
@@ -214,7 +254,7 @@ def train(texts: list[str], names: list[str], bits: int = BITS, rounds: int = RO
     who, what = who[order], what[order]
     cuts = np.flatnonzero(np.concatenate([[True], what[1:] != what[:-1]]))
     used = what[cuts]
-    chain, place = words.chains(STEP)
+    place = words.places()
     wanted = np.zeros((words.count, k))
     wanted[np.arange(words.count), truth] = 1
     within = np.flatnonzero(place > 0)
@@ -223,7 +263,7 @@ def train(texts: list[str], names: list[str], bits: int = BITS, rounds: int = RO
     opened = np.bincount(truth[place == 0], minlength=k).astype(float)
     power = [np.full((len(used), k), 1e-6), np.full((k, k), 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)]
     for _ in range(rounds):
-        post, moves, opens = forward_backward(model.word_scores(words), chain, place, model.transition, model.opening)
+        post, moves, opens = forward_backward(model.word_scores(words), place, model.transition, model.opening)
         gap = (wanted - post) * words.lettered[:, None]
         grads = [np.add.reduceat(gap[who], cuts, axis=0) - 0.1 * model.table[used], np.zeros((k, k)), moved - moves - 0.1 * model.transition, opened - opens - 0.1 * model.opening]
         for lang in range(k):
@@ -271,8 +311,7 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
                 best, all_votes = votes.argmax(1), votes.sum(1)
                 for j in np.flatnonzero(all_votes > 0):
                     i = c.first + j
-                    if LETTER.search(texts[i]):
-                        pred[i], score[i] = model.langs[best[j]], min(1.0, votes[j, best[j]] / all_votes[j])
+                    pred[i], score[i] = model.langs[best[j]], min(1.0, votes[j, best[j]] / all_votes[j])
                     if spans:
                         own = post[lo[j] : hi[j]].argmax(1)
                         cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))

@@ -1,13 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is a bag of hashed features: its words, the byte n-grams of its words (with
-their edges), and a mark for each word that repeats the one before. Each feature has
-a learned vector; the mean of a text's vectors goes through a softmax over the two
+A text is a bag of features: its words and the character n-grams of its words (with
+their edges), hashed, and a mark for each word that repeats the one before. Each feature
+has a learned vector; the mean of a text's vectors goes through a softmax over the two
 labels. Vectors and output weights are learned together by stochastic gradient
 descent in numpy.
 
-Scale: the model is learned on the driver from at most ``sample`` labelled rows of at
-most ``sample_chars`` characters, those with the least digests of their ids. Its size
+Scale: the model is learned in one task from at most ``sample`` labelled rows, those with
+the least digests of their ids, on whole texts; the driver gets the model alone. Its size
 is fixed. Since the output is linear in the mean, scoring needs one number a feature:
 a narrow pass over whole texts, in Arrow batches, without a shuffle.
 
@@ -19,20 +19,22 @@ columns pass through, and those named like an added column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import long_rows
 from .textbatch import _SPACE, Chunk, chunks, segment_sums, with_columns
 
 BITS = 17
 DIM = 8
 GRAMS = (3, 4, 5)
 SAMPLE = 3000
-SAMPLE_CHARS = 40_000
 EPOCHS = 8
 LEAST_STEPS = 20_000
 RATE = 0.4
@@ -47,19 +49,20 @@ def folds(id_col: Column, n: int) -> Column:
 
 
 def features(chunk: Chunk, bits: int = BITS) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Feature numbers and the positions that they begin at, by kind."""
+    """Feature numbers and the positions that they begin at, by kind; the mark has the number after all hashes."""
     data, hashes, shift = chunk.data, chunk.hashes(), np.uint64(64 - bits)
     starts, ends, text = chunk.words()
     h = hashes.of(starts, ends)
     twice = np.flatnonzero((h[1:] == h[:-1]) & (text[1:] == text[:-1])) + 1
-    numbers, places = [(h >> shift).astype(np.int32), np.zeros(len(twice), np.int32)], [starts, starts[twice]]
+    numbers, places = [(h >> shift).astype(np.int32), np.full(len(twice), 1 << bits, np.int32)], [starts, starts[twice]]
     blank = np.concatenate([[0], np.cumsum(_SPACE[data])])
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     for n in GRAMS:
-        at = np.arange(len(data) - n + 1)
-        inner = blank[at + n - 1] == blank[at + 1]  # only the first and the last byte may be an edge
-        at = np.flatnonzero(inner)
-        numbers.append((hashes.grams(n)[at] >> shift).astype(np.int32))
-        places.append(at)
+        lo, hi = chars[:-n], chars[n:]
+        inner = blank[chars[n - 1 : -1]] == blank[chars[1 : len(lo) + 1]]  # only the first and the last character may be an edge
+        lo, hi = lo[inner], hi[inner]
+        numbers.append((hashes.of(lo, hi) >> shift).astype(np.int32))
+        places.append(lo)
     return numbers, places
 
 
@@ -88,14 +91,14 @@ def train(texts: list[str], labels: np.ndarray, bits: int = BITS, dim: int = DIM
     texts are passed more often, for ``LEAST_STEPS`` steps at least.
     """
     if not len(texts):
-        return Model(np.zeros(1 << bits, np.float32), 0.0)
+        return Model(np.zeros((1 << bits) + 1, np.float32), 0.0)
     bags = []
     for text in texts:
         numbers = np.concatenate([x for c in chunks([text]) for x in features(c, bits)[0]])
         found, counts = np.unique(numbers, return_counts=True)
         bags.append((found, (counts / max(1, counts.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << bits) + 1, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.log(np.bincount(labels, minlength=2) + 1.0).astype(np.float32)
     epochs = max(epochs, -(-LEAST_STEPS // len(texts)))
     steps, done = epochs * len(texts), 0
@@ -116,13 +119,24 @@ def train(texts: list[str], labels: np.ndarray, bits: int = BITS, dim: int = DIM
     return Model(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, **settings) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, **settings) -> Model:
     """Learn from a bounded sample of the labelled rows given."""
-    rows = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
+    rows = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("long").alias("_label"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= sample_chars)
-    found = texts.join(F.broadcast(rows), "_id").orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(sample).toPandas()
-    return train(list(found["_text"]), found["_label"].to_numpy(np.int64), **settings)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    found = texts.join(F.broadcast(rows), "_id").orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(sample).select("_text", "_label")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        model = train(texts, np.array(marks, np.int64), **settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.worth.tobytes()], pa.binary()), pa.array([model.bias])], names=["worth", "bias"])
+
+    # coalesce: an empty sample has no partition
+    model = long_rows(found).coalesce(1).mapInArrow(learn, "worth binary, bias double").head()
+    return Model(np.frombuffer(model["worth"], np.float32), model["bias"]) if model else train([], np.zeros(0, np.int64), **settings)
 
 
 def rate(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:

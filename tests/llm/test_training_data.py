@@ -159,7 +159,9 @@ def test_forward_backward_equals_enumeration():
 
     rng = np.random.default_rng(5)
     scores, step, opening = rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    post, moves, opens = langid.forward_backward(scores, np.zeros(4, int), np.arange(4), step, opening)
+    post, moves, opens = langid.forward_backward(scores, np.arange(4), step, opening)
+    cut = langid.forward_backward(scores, np.arange(4), step, opening, stretch=2)
+    assert all(np.allclose(x, y) for x, y in zip(cut, (post, moves, opens)))
     want, weights = np.zeros((4, 3)), []
     for path in product(range(3), repeat=4):
         w = math.exp(opening[path[0]] + sum(scores[i, x] for i, x in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:])))
@@ -169,10 +171,41 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post, want / sum(weights)) and np.isclose(moves.sum(), 3) and np.allclose(opens, post[0])
 
 
+def test_chains_pass_messages_over_any_length():
+    rng = np.random.default_rng(15)
+    step, opening = 2 * rng.normal(size=(3, 3)), rng.normal(size=3)
+    lengths = [1, 400, 128, 129, 7, 1000]
+    scores = rng.normal(size=(sum(lengths), 3)) / 4
+    got, moves, opens = langid.forward_backward(scores, np.concatenate([np.arange(n) for n in lengths]), step, opening)
+    want, at = np.zeros((3, 3)), 0
+    for n in lengths:
+        own = np.exp(scores[at : at + n])
+        ahead, back = [np.exp(opening) * own[0]], [np.ones(3)]
+        for x in own[1:]:
+            ahead.append(ahead[-1] / ahead[-1].sum() @ np.exp(step) * x)
+        for x in own[:0:-1]:
+            back.insert(0, np.exp(step) @ (x * back[0] / back[0].sum()))
+        post = np.array(ahead) * np.array(back)
+        assert np.allclose(got[at : at + n], post / post.sum(1, keepdims=True))
+        for a, b, x in zip(ahead, back[1:], own[1:]):
+            pair = a[:, None] * np.exp(step) * (x * b)
+            want += pair / pair.sum()
+        at += n
+    assert np.allclose(moves, want) and np.isclose(opens.sum(), len(lengths))
+
+
+def test_letters_are_those_of_unicode():
+    text = "aZ \u00bd\u00b2 \u00e9 \u2014\u2026 \u6f22 \U0001f600 \U00020000 _9 \u0660 \u2160 \u05d0 \u02b0"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    assert langid.letter_starts(data)[starts].tolist() == [c.isalpha() for c in text]
+    assert langid.letter_starts(data).sum() == sum(map(str.isalpha, text))
+
+
 def test_language_of_texts_and_of_words(spark, langs):
     text, rows = langs
     model = langid.train(*map(list, zip(*rows)), rounds=15)
-    held = [(k, text(x, 30), x) for k, x in enumerate(["en", "de", "es"] * 10)] + [(50, None, None), (51, "", None), (52, "123 $$", None), (53, text("en", 25) + " " + text("es", 25), None)]
+    held = [(k, text(x, 30), x) for k, x in enumerate(["en", "de", "es"] * 10)] + [(50, None, None), (51, "", None), (52, "123 $$ \u00bd \u00b2 \u00b3 \u2014", None), (53, text("en", 25) + " " + text("es", 25), None)]
     out = langid.label(spark.createDataFrame(held, "doc_id long, text string, score string"), model, spans=True).toPandas().set_index("doc_id")
     assert sum(out.lang_pred[k] == x for k, _, x in held[:30]) >= 29
     assert [out.lang_pred[k] for k in (50, 51, 52)] == ["und"] * 3 and out.score[50] == 0
@@ -250,6 +283,27 @@ def test_quality_learns_junk(spark):
     assert (out.predicted == out.quality).mean() >= 0.98
 
 
+def test_quality_scores_equal_brute_force(spark, docs, rows):
+    rng = np.random.default_rng(14)
+    model = quality.Model(rng.normal(size=(1 << 17) + 1).astype(np.float32), 0.3)
+
+    def number(part):
+        data = np.frombuffer(part.encode(), np.uint8)
+        return int(textbatch.Hashes(data).of(np.array([0]), np.array([len(data)]))[0] >> np.uint64(64 - 17))
+
+    def brute(text):
+        words = WORD.findall(text or "")
+        line = "\n" + (text or "") + "\n"
+        found = [number(w) for w in words] + [1 << 17 for a, b in zip(words, words[1:]) if a == b]
+        for n in quality.GRAMS:
+            found += [number(line[i : i + n]) for i in range(len(line) - n + 1) if not re.search("[\x20\x09-\x0d]", line[i + 1 : i + n - 1])]
+        return 1 / (1 + math.exp(-(sum(float(model.worth[k]) for k in found) / max(1, len(found)) + model.bias)))
+
+    some = [r for r in rows if len(r[1] or "") < 3000]
+    out = quality.rate(spark.createDataFrame(some, SCHEMA), model).collect()
+    assert len(out) == len(some) and all(math.isclose(r["score"], brute(r["text"]), rel_tol=1e-5) and r["predicted"] == (r["score"] >= 0.3) for r in out)
+
+
 def test_quality_edge_cases(spark, docs, none):
     model = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 5), (None, 1), (4, None)], "doc_id long, quality int"))
     out = quality.rate(docs, model).toPandas()
