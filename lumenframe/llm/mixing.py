@@ -41,11 +41,17 @@ def size_class(size: Column) -> Column:
     return digits * 100 + lead
 
 
+def _coded(source: Column) -> Column:
+    """A source as a key that is never null, so that windows and joins can share one partitioning."""
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
 def _keyed(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     col = lambda name: docs[f"`{name}`"]
     return docs.select(
         F.struct(*[col(c).alias(c) for c in carry]).alias("_row"),
         col(source_col).alias("_source"),
+        _coded(col(source_col)).alias("_skey"),
         word_count(col(text_col)).alias("_size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(col(id_col).cast("string"), F.lit("?"))).cast("binary")).alias("_key"),
         F.xxhash64(col(text_col)).alias("_tie"),
@@ -78,27 +84,25 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 def _with_copies(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: float, seed: str) -> DataFrame:
     rows = _keyed(docs, carry, id_col, text_col, source_col, seed)
-    sizes = durable(rows.select("_source", "_class", "_key", "_size"))
+    sizes = durable(rows.select("_source", "_skey", "_class", "_key", "_size"))
     hexes = max(1, math.ceil(math.log(max(sizes.count(), 1), 16) / 2))
     block = F.substring("_key", 1, hexes)
 
-    blocks = sizes.groupBy("_source", "_class", block.alias("_block")).agg(F.count("*").alias("_rows"))
-    classes = blocks.groupBy("_source", "_class").agg(F.sum("_rows").alias("_rows"))
+    blocks = sizes.groupBy("_skey", "_class", block.alias("_block")).agg(F.count("*").alias("_rows"))
+    classes = blocks.groupBy("_skey", "_class").agg(F.sum("_rows").alias("_rows"))
     up_to = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    classes = classes.select("_source", "_class", F.coalesce(F.sum("_rows").over(up_to("_source", "_class")), zero).alias("_base"))
-    targets = source_targets(sizes, weights, share, cap)
-    per_class = classes.alias("c").join(small_side(targets).alias("t"), F.col("c._source").eqNullSafe(F.col("t._source"))).select("c.*", "source_size", "target")
-    blocks = blocks.withColumn("_base2", F.coalesce(F.sum("_rows").over(up_to("_source", "_class", "_block")), zero))
-    starts = (
-        blocks.alias("b").join(per_class.alias("p"), F.col("b._source").eqNullSafe(F.col("p._source")) & (F.col("b._class") == F.col("p._class")))
-        .select("b._source", "b._class", "b._block", (F.col("_base") + F.col("_base2")).alias("_start"), "source_size", "target")
-    )
-
+    classes = classes.select("_skey", "_class", F.coalesce(F.sum("_rows").over(up_to("_skey", "_class")), zero).alias("_base"))
+    targets = source_targets(sizes, weights, share, cap).withColumn("_skey", _coded(F.col("_source"))).drop("_source")
+    per_class = classes.join(small_side(targets), "_skey")
+    blocks = blocks.withColumn("_base2", F.coalesce(F.sum("_rows").over(up_to("_skey", "_class", "_block")), zero))
+    starts = blocks.join(per_class, ["_skey", "_class"]).select("_skey", "_class", "_block", (F.col("_base") + F.col("_base2")).alias("_start"), "source_size", "target")
+
+    # the window and the join have the same keys: rows are shuffled once
+    keys = ["_skey", "_class", "_block"]
     rows = rows.withColumn("_block", block)
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_source", "_class", "_block").orderBy("_key", "_tie")))
-    same = F.col("r._source").eqNullSafe(F.col("s._source")) & (F.col("r._class") == F.col("s._class")) & (F.col("r._block") == F.col("s._block"))
-    rows = rows.alias("r").join(starts.alias("s"), same).select("r.*", (F.col("_start") + F.col("_nth")).alias("_rank"), "source_size", "target")
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy("_key", "_tie")))
+    rows = rows.join(starts, keys).withColumn("_rank", F.col("_start") + F.col("_nth"))
 
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("_source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
