@@ -69,5 +69,15 @@ FROM (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) LEFT JOI
 """
 
 
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING, "op6_urls": URLS, "op8_licences": licences_sql(), "op10_jaccard": JACCARD}
+    return {"op3_mixing": MIXING, "op6_urls": URLS, "op8_licences": licences_sql(), "op9_vectors": VECTORS, "op10_jaccard": JACCARD}
