@@ -1,12 +1,15 @@
 """The persistent catalog: versioned Parquet tables with last-write-wins upserts.
 
-A table is a directory of versions and a pointer file that names the current one. A
-write makes a new version and then moves the pointer, so that readers never see half
-a write and a table is never overwritten while it is read.
+A table is a directory of versions and numbered pointer files; the one of the highest
+number names the current version. A write makes a new version, then a pointer of the next
+number by one rename, and only then removes older pointers. So readers never see half
+a write, a crash at any point leaves the old or the new table, and of two writers at
+once one fails.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -20,7 +23,6 @@ SCHEMAS = {
     "directory_cache": "directory_path string, scan_timestamp string, file_count long, last_modified double",
 }
 KEYS = {"file_records": ["sha256_hash"], "exif_cache": ["file_path", "file_mtime"], "directory_cache": ["directory_path"]}
-REQUIRED = ("source_path", "sha256_hash", "file_size", "file_mtime", "created_date", "processed_date", "operation_type")
 STATUSES = ("completed", "failed", "pending")
 OPERATIONS = ("raw_backup", "organized", "both")
 
@@ -37,11 +39,6 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = N
     return old.join(rows.select(*key), key, "left_anti").select(*old.columns).unionByName(rows)
 
 
-def valid_records(rows: DataFrame) -> DataFrame:
-    """Rows that hold all required fields."""
-    return rows.where(" and ".join(f"{c} is not null" for c in REQUIRED))
-
-
 def record(files: DataFrame) -> DataFrame:
     """Catalog rows of processed files, with the defaults of missing fields."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in files.columns else F.lit("")
@@ -102,15 +99,18 @@ class Catalog:
     spark: SparkSession
     root: str
 
-    def _pointer(self, table: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_current")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _pointers(self, table: str):
+        """The table's file system and folder, and its pointers by number."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return fs, folder, {int(p.getName()[9:]): p for p in paths if re.fullmatch(r"_current\.\d+", p.getName())}
 
     def version(self, table: str) -> str | None:
-        fs, path = self._pointer(table)
-        if not fs.exists(path):
+        fs, _, pointers = self._pointers(table)
+        if not pointers:
             return None
-        stream = fs.open(path)
+        stream = fs.open(pointers[max(pointers)])
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
@@ -127,13 +127,16 @@ class Catalog:
         version = uuid.uuid4().hex
         out = rows.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in SCHEMAS[table].split(", ")])
         out.repartition(*KEYS[table]).sortWithinPartitions(*KEYS[table]).write.parquet(f"{self.root}/{table}/{version}")
-        fs, path = self._pointer(table)
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{version}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs, folder, pointers = self._pointers(table)
+        fresh = path(folder, f"_writing.{version}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        if not fs.rename(fresh, path(folder, f"_current.{max(pointers, default=0) + 1}")):
+            raise RuntimeError(f"{table} was written by someone else at the same time")
+        for old in pointers.values():
+            fs.delete(old, False)
 
     def put(self, table: str, rows: DataFrame, order: str | None = None) -> None:
         if not rows.isEmpty():

@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     for flag in ("--json", "--peek", "--exif-only", "--summary"):
         a.add_argument(flag, action="store_true")
     a.add_argument("--samples", type=int, default=5)
+    a.add_argument("--exiftool", action="store_true", help="read tags with the external tool where it is installed")
     a.add_argument("--workers", type=int, default=4)
     a.add_argument("--detailed", action=argparse.BooleanOptionalAction, default=True)
     a.add_argument("--basic", dest="detailed", action="store_false")
@@ -52,7 +53,7 @@ def analyze(args: argparse.Namespace) -> int:
     from .pipeline import analyse
 
     if args.peek and args.exif_only:
-        return _fail("Cannot specify both --peek and --exif-only")
+        return _fail("--peek and --exif-only exclude each other")
     good, why = check_source(args.folder)
     if not good:
         return _fail(why)
@@ -63,11 +64,11 @@ def analyze(args: argparse.Namespace) -> int:
         except ConfigurationError as e:
             if not args.quiet:
                 print(f"Settings ignored: {e}", file=sys.stderr)
-    row = analyse(_spark(args.workers), args.folder, types, args.detailed).head()
+    row = analyse(_spark(args.workers), args.folder, types, args.detailed, args.exiftool).head()
     if args.peek and not args.quiet:
         print("Visual analysis is not available", file=sys.stderr)
     print(report.as_json(row) if args.json else report.one_line(row) if args.summary else report.human_readable(row, args.detailed) if args.verbose else report.plain(row))
-    return 0 if row["total_files"] else _fail("No supported photo files found in the specified directory.")
+    return 0 if row["total_files"] else _fail("no file here is of a supported type")
 
 
 def ingest(args: argparse.Namespace) -> int:
@@ -75,7 +76,7 @@ def ingest(args: argparse.Namespace) -> int:
     from .pipeline import ingest as run
 
     if args.raw_only and args.organized_only:
-        return _fail("Cannot specify both --raw-only and --organized-only")
+        return _fail("--raw-only and --organized-only exclude each other")
     try:
         config = IngestConfig(args.archive, raw_backup=RawBackupConfig(enabled=True, backup_root=f"{args.archive}/backup")) if args.archive and not args.config else load(args.config)
     except ConfigurationError as e:

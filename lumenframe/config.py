@@ -13,7 +13,7 @@ from typing import Any
 RAW = ["nef", "cr3", "cr2", "arw", "dng", "orf", "raf", "rw2"]
 JPEG = ["jpg", "jpeg", "heic", "heif"]
 VIDEO = ["mp4", "mov", "avi", "mkv"]
-SEARCHED = ("./ingest.yaml", "~/.photo-ingest.yaml")
+SEARCHED = ("./ingest.yaml", "~/.lumenframe.yaml")
 
 
 class ConfigurationError(Exception):
@@ -164,9 +164,9 @@ def write_example(path: str | Path) -> None:
     import yaml
 
     devices = DeviceMapping(
-        {"NIKON Z 6": "Z6", "NIKON Z 6_2": "Z6II", "DJI AIR 2S": "Drone"},
-        {"Z6": {"Make": "NIKON CORPORATION", "Model": "NIKON Z 6"}, "Drone": {"Make": "DJI", "Model": "FC3582"}},
-        ["Z6II", "Z6", "Drone"],
+        {"PENTAX K-3": "Studio", "RICOH GR III": "Pocket"},
+        {"Studio": {"Make": "RICOH IMAGING", "Model": "PENTAX K-3"}, "Helmet": {"Make": "GoPro"}},
+        ["Studio", "Pocket", "Helmet"],
     )
     values = _plain(IngestConfig("archive", devices=devices)) | {"archive_root": "${HOME}/Photos/Archive"}
     values["raw_backup"]["backup_root"] = "${HOME}/Photos/RawBackups"

@@ -134,4 +134,5 @@ def report(files: DataFrame, meta: DataFrame, detailed: bool = True) -> DataFram
         one = one.join(F.broadcast(part))
     none = F.col("_images") == 0
     zero = {c: F.when(none, F.lit(0)).otherwise(F.col(c)) for c in ("total_files", "total_size", "directories_scanned", "image_files_analyzed")}
-    return one.withColumns(zero).drop("_images")
+    rate = F.when(none, F.lit(0.0)).otherwise(F.col("image_files_analyzed") * 100 / F.col("_images"))
+    return one.withColumn("success_rate", rate).withColumns(zero).drop("_images")

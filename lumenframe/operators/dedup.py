@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import let
+
 SIMILAR_SCORE = 0.9
 BANDS = 4
 
@@ -18,16 +19,18 @@ def fingerprints(files: DataFrame, content: str = "content") -> DataFrame:
 def average_hash(pixels: Column) -> Column:
     """Hex text of the bits of 64 grey values, each 1 where it exceeds the mean; null unless there are 64."""
     grey = F.transform(pixels, lambda x: x.cast("double"))
-    mean = F.aggregate(grey, F.lit(0.0), lambda acc, x: acc + x) / 64
-    bits = F.array_join(F.transform(grey, lambda x: F.when(x > mean, "1").otherwise("0")), "")
-    half = lambda at: F.lpad(F.lower(F.conv(F.substring(bits, at, 32), 2, 16)), 8, "0")
-    return F.when(F.size(pixels) == 64, F.concat(half(1), half(33)))
+    mean = lambda own: F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x) / 64
+    marks = let(grey, lambda own: let(mean(own), lambda m: F.array_join(F.transform(own, lambda x: F.when(x > m, "1").otherwise("0")), "")))
+    half = lambda bits, at: F.lpad(F.lower(F.conv(F.substring(bits, at, 32), 2, 16)), 8, "0")
+    return F.when(F.size(pixels) == 64, let(marks, lambda bits: F.concat(half(bits, 1), half(bits, 33))))
 
 
 def within_batch(files: DataFrame) -> DataFrame:
-    """status and existing_file by content alone: the first of equal files is new."""
-    same = W.partitionBy("sha256").orderBy("seq")
-    return files.withColumns({"status": F.when(F.row_number().over(same) == 1, "new").otherwise("duplicate"), "existing_file": F.when(F.row_number().over(same) > 1, F.first("path").over(same))})
+    """status and existing_file by content alone: the first of equal files is new. Copies are aggregated, never gathered."""
+    first = files.groupBy("sha256").agg(F.min_by("path", "seq").alias("_path"), F.min("seq").alias("_seq"))
+    rows = files.join(first, files["sha256"].eqNullSafe(first["sha256"])).drop(first["sha256"])
+    is_new = F.col("seq") == F.col("_seq")
+    return rows.withColumns({"status": F.when(is_new, "new").otherwise("duplicate"), "existing_file": F.when(~is_new, F.col("_path"))}).drop("_path", "_seq")
 
 
 def against_catalog(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -58,30 +61,50 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
+def bits64(text: Column) -> Column:
+    """16 hex digits as a 64-bit number."""
+    half = lambda at: F.conv(F.substring(text, at, 8), 16, 10).cast("bigint")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def hamming(a: Column, b: Column) -> Column:
-    """Bits that differ between two 16-digit hex hashes; halves keep within signed numbers."""
-    half = lambda x, at: F.conv(F.substring(x, at, 8), 16, 10).cast("bigint")
-    return F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
+    """Bits that differ between two 16-digit hex hashes."""
+    return F.bit_count(bits64(a).bitwiseXOR(bits64(b)))
 
 
-def hamming_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
-    """(a, b, distance) of pairs within ``distance`` bits.
+def hamming_groups(hashes: DataFrame, distance: int = 3, hash_col: str = "hash") -> DataFrame:
+    """(x, y, distance) of pairs of different hash values, as 64-bit numbers, within ``distance`` bits, x < y.
 
     The 64 bits are cut into more bands than bits may differ, so that a pair agrees on
     one band at least: an equi-join on (band, bits), each pair taken at the first band
-    that it agrees on. Equal hashes are joined by their groups first.
+    that it agrees on. Values are made distinct and parsed to numbers first, so that
+    copies cost nothing and a candidate is one exclusive or. A band has 64 / (distance + 1)
+    bits: beyond a distance of about 4, bands are so narrow that the work nears that of
+    comparing all pairs of values.
     """
     bands = max(BANDS, distance + 1)
     edges = [64 * k // bands for k in range(bands + 1)]
-    text = F.concat(*[F.lpad(F.conv(F.substring(hash_col, 4 * k + 1, 4), 16, 2), 16, "0") for k in range(4)])
-    cut = lambda bits: F.array(*[F.substring(bits, lo + 1, hi - lo) for lo, hi in zip(edges, edges[1:])])
-    rows = hashes.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash"), cut(text).alias("bands"))
-    posted = rows.select("id", "hash", "bands", F.posexplode("bands").alias("k", "part"))
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
+    values = hashes.where(F.length(hash_col) == 16).select(bits64(F.col(hash_col)).alias("h")).distinct()
+    posted = values.select("h", F.posexplode(F.transform(signed, lambda m: F.col("h").bitwiseAND(m))))
     x, y = posted.alias("x"), posted.alias("y")
-    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.k") + 1
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & first)
-    found = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.hash"), F.col("y.hash")).cast("int").alias("distance"))
-    return found.where(F.col("distance") <= distance)
+    apart = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    earlier = F.exists(F.slice(signed, F.lit(1), F.col("x.pos")), lambda m: apart.bitwiseAND(m) == 0)
+    same = (F.col("x.pos") == F.col("y.pos")) & (F.col("x.col") == F.col("y.col")) & (F.col("x.h") < F.col("y.h"))
+    return x.join(y, same & (F.bit_count(apart) <= distance) & ~earlier).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"), F.bit_count(apart).cast("int").alias("distance"))
+
+
+def hamming_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
+    """(a, b, distance) of all pairs of rows within ``distance`` bits, a < b: ``hamming_groups`` with its members spelled out.
+
+    Equal hashes make pairs quadratic in their number; where that matters, take the groups.
+    """
+    rows = hashes.where(F.length(hash_col) == 16).select(F.col(id_col).alias("id"), bits64(F.col(hash_col)).alias("h"))
+    left, right = rows.toDF("i", "x"), rows.toDF("j", "y")
+    near = hamming_groups(hashes, distance, hash_col).join(left, "x").join(right, "y").select("i", "j", "distance")
+    equal = left.join(right, (F.col("x") == F.col("y")) & (F.col("i") < F.col("j"))).select("i", "j", F.lit(0).alias("distance"))
+    return near.union(equal).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
 
 
 def statistics(catalog: DataFrame) -> DataFrame:

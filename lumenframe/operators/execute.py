@@ -2,7 +2,8 @@
 
 A file is copied under a temporary name, verified, and renamed; one that is already
 there intact is left alone, so that a repeated task does no harm. Moves remove the
-source only after the copy is verified.
+source only after the copy is verified; where a repeated move finds no source, a target
+of the size and digest that the plan carries is that earlier copy.
 """
 
 from __future__ import annotations
@@ -36,6 +37,19 @@ def intact(source: str | Path, dest: str | Path) -> bool:
         return False
 
 
+def arrived(target: str, size: object, sha256: object) -> bool:
+    """Whether the target is the file that the plan describes."""
+    if not isinstance(sha256, str) or size is None or pd.isna(size):
+        return False
+    try:
+        if os.path.getsize(target) != int(size):
+            return False
+        with open(target, "rb") as file:
+            return hashlib.file_digest(file, "sha256").hexdigest() == sha256
+    except OSError:
+        return False
+
+
 def put(source: str, target: str) -> str:
     """Copy one file; the error's text, or empty."""
     try:
@@ -53,25 +67,30 @@ def put(source: str, target: str) -> str:
 
 
 def execute(ops: DataFrame, copy: bool = True, backup_enabled: bool = True) -> DataFrame:
-    """One row a transfer. Backups come before the organised copy of a file, and a source goes last."""
+    """One row a transfer. Backups come before the organised copy of a file, and a source goes last.
+
+    ``ops`` may carry ``size`` and ``sha256`` of the sources; with them a repeated move reports what the first did.
+    """
+    known = [F.col(c).cast(kind) if c in ops.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("size", "long"), ("sha256", "string"))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for op in frame.itertuples(index=False):
-                size = os.path.getsize(op.source_path) if os.path.exists(op.source_path) else None
+                there = os.path.exists(op.source_path)
+                size = os.path.getsize(op.source_path) if there else None if pd.isna(op.size) else int(op.size)
                 wanted = [(op.raw_backup_path, "backup")] if op.raw_backup_path else []
                 wanted += [(op.dest_path, "organized")] if op.dest_path else []
                 errors = []
                 for target, kind in wanted:
-                    error = "Raw backup is disabled" if kind == "backup" and not backup_enabled else put(op.source_path, target)
+                    error = "Raw backup is disabled" if kind == "backup" and not backup_enabled else "" if not copy and not there and arrived(target, op.size, op.sha256) else put(op.source_path, target)
                     errors.append(error)
                     rows.append((op.source_path, target, kind, size, not error, error or None))
                 if not copy and wanted and not any(errors) and os.path.exists(op.source_path):
                     os.unlink(op.source_path)
             yield pd.DataFrame(rows, columns=["source_path", "target", "kind", "size", "done", "error"])
 
-    return ops.select("source_path", "dest_path", "raw_backup_path").mapInPandas(run, SCHEMA)
+    return ops.select("source_path", "dest_path", "raw_backup_path", *known).mapInPandas(run, SCHEMA)
 
 
 def outcome(transfers: DataFrame, copy: bool = True) -> DataFrame:

@@ -13,9 +13,13 @@ from .sources.exif import with_tags
 from .sources.media import scan as scan_directory
 
 
+#: Groups of tags, in the order in which they are asked.
+GROUPS = ("EXIF:", "Composite:", "File:", "MakerNotes:", "XMP:", "IPTC:", "QuickTime:")
+
+
 def typed(rows: DataFrame) -> DataFrame:
-    """Raw tags as metadata columns."""
-    tag = lambda name: F.try_element_at("tags", F.lit(name))
+    """Raw tags, bare or with the group that an external reader puts before them, as metadata columns."""
+    tag = lambda name: F.coalesce(*[F.try_element_at("tags", F.lit(group + name)) for group in ("", *GROUPS)])
     text = {k: tag(k) for k in ("Make", "Model", "LensModel", "LensMake", "Software", "Artist", "Copyright", "ExposureTime")}
     number = {k: safe_float(tag(k)) for k in ("FNumber", "FocalLength", "GPSLatitude", "GPSLongitude")}
     whole = {k: safe_int(tag(k)).cast("int") for k in ("ISO", "ImageWidth", "ImageHeight")}
@@ -38,16 +42,18 @@ def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, c
     files = with_tags(files, detailed=False)
     hashed = files.mapInPandas(_digests, files.drop("tags").schema.add("sha256", "string").add("tags", files.schema["tags"].dataType)).where("sha256 is not null").withColumn("perceptual", F.lit(None).cast("string"))
     known = catalog.read("file_records")
-    checked = dedup.against_catalog(dedup.within_batch(hashed).withColumnRenamed("status", "batch").drop("existing_file"), known)
+    checked = dedup.against_catalog(dedup.within_batch(hashed).withColumnsRenamed({"status": "batch", "existing_file": "_first"}), known)
     status = F.when(F.col("batch") == "duplicate", "duplicate").otherwise(F.col("status"))
-    rows = checked.withColumn("status", status).withColumns({"device_code": device.detect(F.col("tags"), config.devices)["device_code"], "taken": F.coalesce(*[F.try_element_at("tags", F.lit(k)) for k in ("DateTimeOriginal", "DateTime")])})
+    rows = checked.withColumns({"status": status, "existing_file": F.coalesce("existing_file", "_first")}).drop("_first")
+    rows = rows.withColumns({"device_code": device.detect(F.col("tags"), config.devices)["device_code"], "taken": F.coalesce(*[F.try_element_at("tags", F.lit(k)) for k in ("DateTimeOriginal", "DateTime")])})
     rows = rows.cache()
     root = F.lit(plan.common_root(rows).head()["root"]) if not rows.isEmpty() else None
     kinds = {"raw_only": raw_only, "organized_only": organized_only}
     ops = plan.plan(rows, rows.select("path", "status"), F.lit(event), config.archive_root, backup, root=root, preserve=config.raw_backup.preserve_structure, **kinds)
     if dry_run:
         return ops, plan.dry_run(ops, rows, copy)
-    done = execute.execute(ops, copy, config.raw_backup.enabled or raw_only).cache()
+    described = ops.join(rows.select(F.col("path").alias("source_path"), "size", "sha256"), "source_path")
+    done = execute.execute(described, copy, config.raw_backup.enabled or raw_only).cache()
     outcome = execute.outcome(done, copy)
     outcome = spark.createDataFrame(outcome.collect(), outcome.schema)
     moved = done.where("done").select(F.col("source_path").alias("path")).distinct()

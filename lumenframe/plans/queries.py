@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as c
 from .. import functions as fn
+from ..config import DeviceMapping
 from ..operators import analysis, dedup, device, metadata, plan, scan
 from . import views as v
 
@@ -400,7 +401,9 @@ def detect_device(spark, sf):
 
 @query("SELECT DISTINCT c_mktsegment AS device FROM customer UNION SELECT r_name FROM region")
 def supported_devices(spark, sf):
-    return v.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("device")).union(v.table(spark, sf, "region").select("r_name")).distinct()
+    names = lambda name, col: [r[0] for r in v.table(spark, sf, name).select(col).distinct().collect()]
+    config = DeviceMapping({f"model {x}": x for x in names("customer", "c_mktsegment")}, {x: {"Make": x} for x in names("region", "r_name")})
+    return spark.createDataFrame([(x,) for x in device.supported_devices(config)], "device string")
 
 
 @query("SELECT * FROM (VALUES ('unknown priority', 'Nowhere')) t(issue, subject)")
@@ -479,5 +482,4 @@ def exif_fallback(spark, sf):
     files = v.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.lit(1).cast("long").alias("mtime"), F.floor(F.abs("c_acctbal")).cast("long").alias("size"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modified_time"))
     cache = v.exif_cache(spark, sf).groupBy("file_path").agg(F.max("exif_data").alias("exif_data")).withColumn("file_mtime", F.lit(1).cast("long"))
     rows = metadata.cached(files, cache).withColumn("path", F.concat(F.lit("/"), "path", F.lit(".JPG")))
-    meta = F.when(F.size("tags") > 0, metadata.normalise(F.col("tags"))).otherwise(metadata.from_file(F.col("modified_time"), F.col("size"), F.col("path")))
-    return rows.select("path", meta.alias("m")).select("path", "m.FileType", "m.FileSize", "m.DateTime")
+    return rows.select("path", metadata.chosen(F.col("tags")).alias("m")).select("path", "m.FileType", "m.FileSize", "m.DateTime")

@@ -7,6 +7,7 @@ installed and asked for, one process a batch.
 
 from __future__ import annotations
 
+import functools
 import json
 import shutil
 import struct
@@ -109,6 +110,7 @@ def read_tags(content: bytes) -> dict[str, str]:
         return {}
 
 
+@functools.lru_cache(maxsize=1)
 def has_exiftool(timeout: float = 5) -> bool:
     if shutil.which("exiftool") is None:
         return False
@@ -130,7 +132,7 @@ def with_tags(files: DataFrame, exiftool: bool = False, detailed: bool = True) -
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            outside = _external(list(frame["path"])) if exiftool and len(frame) else {}
+            outside = _external(list(frame["path"])) if exiftool and len(frame) and has_exiftool() else {}
             found = []
             for path in frame["path"]:
                 tags = outside.get(path, {})

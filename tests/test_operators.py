@@ -117,6 +117,58 @@ def test_transfers_can_be_repeated(spark, tmp_path):
     assert "Raw backup is disabled" in execute.outcome(execute.execute(ops, backup_enabled=False)).head()["errors"]
 
 
+def test_a_repeated_move_reports_what_the_first_did(spark, tmp_path):
+    import hashlib
+
+    rows = []
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jpg").write_bytes(name.encode() * 100)
+        rows.append((str(tmp_path / f"{name}.jpg"), str(tmp_path / "out" / f"{name}.jpg"), None, 100, hashlib.sha256(name.encode() * 100).hexdigest()))
+    ops = spark.createDataFrame(rows, "source_path string, dest_path string, raw_backup_path string, size long, sha256 string")
+    first = execute.execute(ops, copy=False).collect()
+    assert not (tmp_path / "a.jpg").exists() and execute.execute(ops, copy=False).collect() == first and all(r["done"] for r in first)
+    (tmp_path / "out/b.jpg").write_bytes(b"x" * 100)
+    again = {r["source_path"][-5:]: r["done"] for r in execute.execute(ops, copy=False).collect()}
+    assert again == {"a.jpg": True, "b.jpg": False}
+
+
+def test_a_crash_between_the_steps_of_a_write_keeps_a_table(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    rows = lambda n: spark.createDataFrame([(f"/d{n}", "2024-01-01T00:00:00", n, 1.0)], "directory_path string, scan_timestamp string, file_count long, last_modified double")
+    catalog.put("directory_cache", rows(1))
+    folder = tmp_path / "directory_cache"
+    first = next(folder.glob("_current.*")).read_text()
+    (folder / "_writing.half").write_text("half")  # written, not renamed
+    assert catalog.version("directory_cache") == first
+    catalog.put("directory_cache", rows(2))
+    (folder / "_current.1").write_text(first)  # renamed, the older one not yet removed
+    assert {r["directory_path"] for r in catalog.read("directory_cache").collect()} == {"/d1", "/d2"}
+    catalog.put("directory_cache", rows(3))
+    assert catalog.read("directory_cache").count() == 3 and [p.name for p in folder.glob("_current.*")] == ["_current.3"]
+
+
+def test_tags_with_groups_are_those_without(spark):
+    from lumenframe.pipeline import typed
+
+    bare = {"Make": "A", "Model": "B", "ISO": "100", "FNumber": "2.8", "ImageWidth": "10", "DateTimeOriginal": "2024:01:02 03:04:05"}
+    grouped = {("File:" if k.startswith("Image") else "EXIF:") + k: x for k, x in bare.items()}
+    a, b = typed(spark.createDataFrame([(bare,), (grouped,)], "tags map<string,string>")).drop("tags").collect()
+    assert a == b and a["Make"] == "A" and a["ImageWidth"] == 10
+
+
+def test_copies_of_a_hash_cost_nothing(spark):
+    rows = [(k, "00000000000000ff") for k in range(3000)] + [(5000, "00000000000000fe"), (5001, "ffffffffffffffff"), (5002, None)]
+    data = spark.createDataFrame(rows, "id long, hash string")
+    assert {tuple(r) for r in dedup.hamming_groups(data).collect()} == {(0xFE, 0xFF, 1)}
+    assert dedup.hamming_pairs(data).count() == 3000 * 2999 // 2 + 3000
+
+
+def test_within_batch_takes_the_first(spark):
+    rows = [(3, "c", "x"), (1, "a", "x"), (2, "b", "y"), (4, "d", None), (5, "e", None)]
+    out = {r["path"]: (r["status"], r["existing_file"]) for r in dedup.within_batch(spark.createDataFrame(rows, "seq long, path string, sha256 string")).collect()}
+    assert out == {"a": ("new", None), "b": ("new", None), "c": ("duplicate", "a"), "d": ("new", None), "e": ("duplicate", "d")}
+
+
 def test_filters_are_inclusive(spark):
     rows = spark.createDataFrame([(100, "a"), (1000, "b"), (10000, "c")], "size long, path string")
     assert scan.by_size(rows, 500).count() == 2 and scan.by_size(rows, 500, 5000).count() == 1 and scan.by_size(rows, 100, 10000).count() == 3
@@ -250,7 +302,7 @@ def test_configuration(tmp_path, monkeypatch):
     path = tmp_path / "c.yaml"
     config.write_example(path)
     monkeypatch.setenv("HOME", "/home/x")
-    assert config.load(path).archive_root == "/home/x/Photos/Archive" and config.load(path).devices.priority_rules == ["Z6II", "Z6", "Drone"]
+    assert config.load(path).archive_root == "/home/x/Photos/Archive" and config.load(path).devices.priority_rules and set(config.load(path).devices.priority_rules) == set(device.supported_devices(config.load(path).devices))
     assert config.expand("${PHOTOS}/$PHOTOS/${NOT_SET}") == "/photos//photos/${NOT_SET}"
     for bad in ({"llm": {"provider": "x"}}, {"peek": {"sample_count": 0}}, {"peek": {"max_resolution": 100}}, {"performance": {"batch_size": 0}}, {"file_types": {"raw": []}}, {"peek": {"include_visual_analysis": True}}, {"devices": {"exif_identifiers": {"A": {}}}}):
         with pytest.raises(ValueError):
