@@ -43,14 +43,21 @@ FROM p LEFT JOIN g USING (page_id)
 
 
 def licences_sql() -> str:
-    rows = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{x}'" for x in b)) for n, b in licences.template_bigrams(licences.TEMPLATES))
+    rows = ", ".join("('{}', [{}], {}, {})".format(n, ", ".join(f"'{x}'" for x in b), w - 1, licences.block(w)) for n, b, w in licences.template_bigrams(licences.TEMPLATES))
+    split = f"string_split(trim(regexp_replace(translate(unit, '{licences.UPPER}', '{licences.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
-WITH t(name, grams) AS (VALUES {rows}),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT doc_id, row_number() OVER () AS unit_id, string_split(trim(regexp_replace(translate(unit, '{licences.UPPER}', '{licences.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
-b AS (SELECT doc_id, unit_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w),
-d AS (SELECT doc_id, unit_id, name, 2.0::DOUBLE * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) AS dice FROM b JOIN t ON list_has_any(b.grams, t.grams)),
-g AS (SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(DISTINCT unit_id) AS n_matches FROM d WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id)
+WITH t(name, grams, width, block) AS (VALUES {rows}),
+whole AS (SELECT doc_id, {pairs} AS p FROM (SELECT doc_id, {split} AS w FROM (SELECT doc_id, text AS unit FROM documents))),
+line AS (SELECT doc_id, {pairs} AS p FROM (SELECT doc_id, {split} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents))),
+spot AS (SELECT doc_id, unnest(p) AS gram, generate_subscripts(p, 1) - 1 AS i FROM whole),
+known AS (SELECT name, unnest(grams) AS gram, width, block FROM t),
+start AS (SELECT doc_id, name, any_value(width) AS width, min(i) AS i FROM spot JOIN known USING (gram) GROUP BY doc_id, name, i // block),
+unit AS (SELECT doc_id, name, p[i + 1 : i + width] AS p FROM start JOIN whole USING (doc_id)
+         UNION ALL SELECT doc_id, name, p FROM (FROM whole UNION ALL FROM line), t WHERE list_has_any(p, grams)),
+d AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(list_distinct(p), grams)) / (len(list_distinct(p)) + len(grams)) AS dice FROM unit JOIN t USING (name)),
+m AS (SELECT doc_id, name, max(dice) AS dice FROM d WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, name),
+g AS (SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(*) AS n_matches FROM m GROUP BY doc_id)
 SELECT doc_id, licence, dice, coalesce(n_matches, 0)::BIGINT AS n_matches FROM documents LEFT JOIN g USING (doc_id)
 """
 

@@ -509,21 +509,35 @@ def test_model_without_training_or_documents(spark, docs, none):
 
 
 def brute_licence(text):
-    known = licences.template_bigrams(licences.TEMPLATES)
-    lines = (text or "").split("\n")
-    best, matches = [], 0
-    for unit in lines + ([text] if len(lines) > 1 else []):
-        w = re.sub("[^a-z0-9]+", " ", low(unit)).strip().split(" ")
-        grams = {f"{a} {b}" for a, b in zip(w, w[1:])}
-        dice = [(-2 * len(grams & set(b)) / (len(grams) + len(b)), n) for n, b in known]
-        matches += min(dice)[0] <= -0.8
-        best.append(min(dice))
-    d, name = min(best)
-    return (name, -d, matches) if d <= -0.8 else (None, None, 0)
+    split = lambda unit: re.sub("[^a-z0-9]+", " ", low(unit)).strip().split(" ")
+    grams = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    pairs = grams(split(text or ""))
+    lines = [grams(split(line)) for line in (text or "").split("\n")]
+    best = {}
+    for name, b, words in licences.template_bigrams(licences.TEMPLATES):
+        step, seen, units = max(1, words // 8), set(), [pairs, *lines]
+        for i, x in enumerate(pairs):
+            if x in b and i // step not in seen:
+                seen.add(i // step)
+                units.append(pairs[i : i + words - 1])
+        dice = max(2 * len(set(u) & set(b)) / (len(set(u)) + len(b)) for u in units)
+        if dice >= 0.8:
+            best[name] = dice
+    d, name = min(((-d, n) for n, d in best.items()), default=(None, None))
+    return name, d and -d, len(best)
+
+
+def wrapped(text, width=8):
+    w = text.split(" ")
+    return "\n".join("# " + " ".join(w[k : k + width]) for k in range(0, len(w), width))
 
 
 def test_licences_equal_brute_force(spark, docs, rows, none):
-    extra = ["x\nLicensed under cc by-nc 4.0!\ny", "Released under the MIT License", "released under the mit", licences.TEMPLATES["gpl-3.0-header"] + " ok", "Licensed under the Apache License Version 2.0\nReleased under the MIT License.", "MIT"]
+    known = licences.TEMPLATES
+    extra = [
+        "x\nLicensed under cc by-nc 4.0!\ny", "Released under the MIT License", "released under the mit", known["gpl-3.0-header"] + " ok", "Licensed under the Apache License Version 2.0\nReleased under the MIT License.", "MIT",
+        "Copyright 2020 X. All rights reserved. Released under the MIT License. And more prose of the same line.", "of the software " * 400, (known["mit-text"] + " of the ") * 20,
+    ]
     data = docs.select("doc_id", "text", "size").unionByName(spark.createDataFrame([(500 + k, t, "") for k, t in enumerate(extra)], "doc_id long, text string, size string"))
     for r in licences.scan(data).collect():
         name, dice, n = brute_licence(r["text"])
@@ -531,6 +545,21 @@ def test_licences_equal_brute_force(spark, docs, rows, none):
     assert licences.scan(none).count() == 0
 
 
+def test_notices_are_found_anywhere_in_a_document(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join(rng.choice("the of this software is in a wind over sea under hill copy".split(), n))
+    data = []
+    for name, text in licences.TEMPLATES.items():
+        data += [(name, prose(150) + "\n" + wrapped(text) + "\n" + prose(150)), (name, prose(90) + " " + text + " " + prose(90)), (None, " ".join(reversed(text.split(" "))) + " " + prose(80))]
+    found = licences.scan(spark.createDataFrame(data, "name string, text string")).collect()
+    for r in found:
+        got = brute_licence(r["text"])
+        assert (r["licence"], r["n_matches"]) == (got[0], got[2])
+        assert r["n_matches"] >= 1 if r["name"] else r["licence"] is None
+    part = {("apache-2.0-header", "apache-2.0"), ("mit-text", "mit-permission")}  # a shorter notice within a longer one may score higher
+    assert all(r["licence"] == r["name"] or (r["name"], r["licence"]) in part for r in found)
+
+
 # 9 Vectors
 
 
