@@ -53,6 +53,20 @@ def cached(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(known, ["path", "mtime"], "left")
 
 
+def tagged(files: DataFrame, cache: DataFrame, reader: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All columns of ``files`` and ``tags``: from the cache where it knows the file at that time, else from ``reader``, which opens only the rest."""
+    rows, names = cached(files, cache), files.columns
+    known = rows.where("tags is not null").select(*names, "tags")
+    return known.unionByName(reader(rows.where("tags is null").select(*names)).select(*names, "tags"))
+
+
+def cache_rows(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """Cache entries of the rows (path, mtime, tags) that have tags and aren't in the cache as they are."""
+    found = rows.where(F.size("tags") > 0).select(F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"), F.to_json("tags").alias("exif_data"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_date")
+    return found.join(cache.select("file_path", "file_mtime", "exif_data"), found.columns, "left_anti").select("*", now)
+
+
 def chosen(tags: Column) -> Column:
     """The metadata of a file (path, size, modified_time): from its tags, else from the file system."""
     return F.when(F.size(tags) > 0, normalise(tags)).otherwise(from_file(F.col("modified_time"), F.col("size"), F.col("path")))

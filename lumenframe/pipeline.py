@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import Catalog, record
 from .config import FileTypes, IngestConfig
 from .functions import decode, exif_timestamp, bias_label, safe_float, safe_int
-from .operators import analysis, dedup, device, execute, plan, scan
+from .operators import analysis, dedup, device, execute, metadata, plan, scan
 from .sources.exif import with_tags
 from .sources.media import scan as scan_directory
 
@@ -36,10 +36,12 @@ def analyse(spark: SparkSession, path: str, types: FileTypes = FileTypes(), deta
 
 
 def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, catalog_root: str, backup: str, dry_run: bool = False, copy: bool = True, raw_only: bool = False, organized_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(operations, outcome): scan, fingerprint, classify, plan, and unless it is a dry run carry out and record."""
+    """(operations, outcome): scan, fingerprint, classify, plan, and unless it is a dry run carry out and record. Tags come from the catalog's cache where the settings allow it; a dry run fills the cache, too."""
     catalog = Catalog(spark, catalog_root)
-    files = scan_directory(spark, source, config.file_types).where("error is null")
-    files = with_tags(files, detailed=False)
+    files = scan_directory(spark, source, config.file_types).where("error is null").cache()
+    read = lambda rows: with_tags(rows, detailed=False)
+    tags = catalog.read("exif_cache")
+    files = metadata.tagged(files, tags, read) if config.performance.cache_exif else read(files)
     hashed = files.mapInPandas(_digests, files.drop("tags").schema.add("sha256", "string").add("tags", files.schema["tags"].dataType)).where("sha256 is not null").withColumn("perceptual", F.lit(None).cast("string"))
     known = catalog.read("file_records")
     checked = dedup.against_catalog(dedup.within_batch(hashed).withColumnsRenamed({"status": "batch", "existing_file": "_first"}), known)
@@ -47,6 +49,8 @@ def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, c
     rows = checked.withColumns({"status": status, "existing_file": F.coalesce("existing_file", "_first")}).drop("_first")
     rows = rows.withColumns({"device_code": device.detect(F.col("tags"), config.devices)["device_code"], "taken": F.coalesce(*[F.try_element_at("tags", F.lit(k)) for k in ("DateTimeOriginal", "DateTime")])})
     rows = rows.cache()
+    if config.performance.cache_exif:
+        catalog.put("exif_cache", metadata.cache_rows(rows, tags))
     root = F.lit(plan.common_root(rows).head()["root"]) if not rows.isEmpty() else None
     kinds = {"raw_only": raw_only, "organized_only": organized_only}
     ops = plan.plan(rows, rows.select("path", "status"), F.lit(event), config.archive_root, backup, root=root, preserve=config.raw_backup.preserve_structure, **kinds)

@@ -103,6 +103,21 @@ def test_ingest_plans_copies_and_records(spark, tree, tmp_path):
     assert ops.count() == 0
 
 
+def test_ingest_takes_tags_from_the_cache(spark, tree, tmp_path):
+    devices = config.DeviceMapping({}, {"Z6": {"Model": "nikon z 6"}, "OTHER": {"Model": "from the cache"}}, [])
+    catalog, a = Catalog(spark, str(tmp_path / "catalog")), tree / "A.JPG"
+    codes = lambda **k: {r["source_path"]: r["device_code"] for r in ingest(spark, str(tree), "Trip", config.IngestConfig(str(tmp_path / "archive"), devices=devices, **k), catalog.root, str(tmp_path / "backup"), dry_run=True)[0].collect()}
+    assert codes()[str(a)] == "Z6"
+    first = {r["file_path"]: r for r in catalog.read("exif_cache").collect()}
+    assert first[str(a)]["file_mtime"] == int(a.stat().st_mtime) and "nikon z 6" in first[str(a)]["exif_data"].lower()
+    version = catalog.version("exif_cache")
+    assert codes()[str(a)] == "Z6" and catalog.version("exif_cache") == version
+    entry = [(str(a), int(a.stat().st_mtime), '{"Model": "from the cache"}', "2024-01-01T00:00:00")]
+    catalog.put("exif_cache", spark.createDataFrame(entry, catalog.read("exif_cache").schema))
+    assert codes()[str(a)] == "OTHER"
+    assert codes(performance=config.PerformanceConfig(cache_exif=False))[str(a)] == "Z6"
+
+
 def test_transfers_can_be_repeated(spark, tmp_path):
     a, b = tmp_path / "a.jpg", tmp_path / "out/b.jpg"
     a.write_bytes(b"x" * 100)
