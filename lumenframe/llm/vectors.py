@@ -6,16 +6,22 @@ tree, but hardly in all. Within a leaf all pairs are compared by cosine in doubl
 precision, so that every link is verified and only recall is approximate.
 
 The trees are learned on the driver from at most ``sample`` vectors, those with the
-least digests, and every vector is sent down them. A leaf of more than ``leaf_rows``
-vectors is split on in its task, in the same way, before any are compared; the parts
-are the places where vectors meet.
+least digests, and every vector is sent down them. A leaf of more than ``unit_rows``
+vectors is dealt into blocks by a digest, and each pair of blocks is a unit of its own,
+so that all pairs of the leaf still meet and no task holds a whole hot leaf. A unit of
+more than ``leaf_rows`` vectors is split on in its task, in the same way as a tree, before
+any are compared; the parts are the places where vectors meet. A split is made only
+where it spares comparisons: within a dense ball most vectors lie near any cut, both
+sides would get nearly all of them, and the ball stays whole.
 
 Scale: equal vectors are one class, with its number of copies, before anything else.
 A compared row carries the places that its vector visits, so that a pair is counted in
 the first place where it meets and in no other: places return a count and a local
 component for each vector, never pairs, however dense a ball of near vectors is. A
-leaf's memory is bounded by blocks of rows. Components are formed from one edge a
-vector and place.
+task holds a unit, about ``unit_rows`` vectors, and compares it in blocks of rows; only
+beyond ``MOST_BLOCKS`` blocks (12.8 million distinct vectors in one leaf) do units grow. A
+ball that no cut divides costs the square of its distinct vectors in comparisons.
+Components are formed from one edge a vector and place.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite values link
 with nothing, as do vectors of different lengths; rows of a null id link with
@@ -44,7 +50,13 @@ SAMPLE = 20_000
 SAMPLE_VALUES = 4_000_000
 SEED = 3
 BLOCK = 1024
-LEAF_BITS = 24
+#: A unit has two blocks of a hot leaf.
+UNIT_ROWS = 50_000
+MOST_BLOCKS = 512
+#: A split must leave at most this share of the pairs to compare.
+GAIN = 0.8
+#: A place is its tree, leaf, unit and part, as bits of one number.
+LEAF_BITS, UNIT_BITS, PART_BITS = 20, 18, 19
 
 
 @dataclass
@@ -77,7 +89,7 @@ def grow(rows: np.ndarray, weight: float, leaf_rows: int, gap: float, rng: np.ra
             at = rows[own] @ direction
             cut = float(np.median(at))
             low, high = own[at <= cut + gap], own[at > cut - gap]
-            if max(len(low), len(high)) < 0.95 * len(own):
+            if len(low) ** 2 + len(high) ** 2 < GAIN * len(own) ** 2:
                 k = len(tree.cuts)
                 tree.directions.append(direction)
                 tree.cuts.append(cut)
@@ -106,6 +118,28 @@ def visit(tree: Tree, rows: np.ndarray, gap: float) -> Iterator[tuple[int, np.nd
         todo += [(tree.children[k][0], own[at <= tree.cuts[k] + gap]), (tree.children[k][1], own[at > tree.cuts[k] - gap])]
 
 
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, padded by zeros, and their lengths."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out, sizes
+
+
+def units(names: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(unit, indices of its vectors): one for each pair of blocks, or a single one."""
+    if blocks < 2:
+        yield 0, np.arange(len(names))
+        return
+    block = (names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % blocks
+    members = [np.flatnonzero(block == b) for b in range(blocks)]
+    for a in range(blocks):
+        for b in range(a + 1, blocks):
+            if len(own := np.concatenate([members[a], members[b]])):
+                yield a * blocks + b, own
+
+
 def links_in_leaf(rows: np.ndarray, sizes: np.ndarray, copies: np.ndarray, names: np.ndarray, visited: list[list[int]], place: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """For each vector of a place: copies of those that it links with and meets here first, and the least name of its component here."""
     n = len(rows)
@@ -160,7 +194,7 @@ def valid(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, sample: int = SAMPLE, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     every = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = every.select("vec_id", "v", (valid("v") & F.col("vec_id").isNotNull()).alias("ok"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("other"), "v").alias("h2"))
@@ -168,57 +202,68 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     facts = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).head()
     dim = facts["dim"] or 1
     most = max(1, min(sample, SAMPLE_VALUES // dim))
-    chosen = classes.orderBy("h1", "h2").limit(most).select("v").toPandas()["v"]
+    # Digests are uniform: the least ones lie below a bound, so that few rows leave each partition.
+    share = min(1.0, (2 * most + 1000) / max(1, facts["n"]))
+    low = classes if share == 1 else classes.where(F.col("h1") < int(share * 2**64) - 2**63)
+    chosen = low.orderBy("h1", "h2").limit(most).select("v").toPandas()["v"]
     gap = margin(cosine, spill, dim)
     known = unit(np.array([np.pad(np.asarray(v, float), (0, dim - len(v))) for v in chosen])) if len(chosen) else np.zeros((0, dim))
     rng = np.random.default_rng(SEED)
-    forest = table.sparkSession.sparkContext.broadcast([grow(known, facts["n"] / max(1, len(known)), leaf_rows, gap, rng) for _ in range(trees)])
-
-    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = column.to_pylist()
-        out = np.zeros((len(lists), dim))
-        for i, v in enumerate(lists):
-            out[i, : len(v)] = v
-        return out, np.array([len(v) for v in lists])
+    sc = table.sparkSession.sparkContext
+    forest = sc.broadcast([grow(known, facts["n"] / max(1, len(known)), leaf_rows, gap, rng) for _ in range(trees)])
+
+    def leaves(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        vectors = unit(matrix(batch.column(1), dim)[0])
+        for t, tree in enumerate(forest.value):
+            for leaf, own in visit(tree, vectors, gap):
+                yield t << LEAF_BITS | leaf, own
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            for code, own in leaves(batch):
+                found[code] = found.get(code, 0) + len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["code", "n"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                vectors = unit(matrix(batch.column(1))[0])
-                who, codes = [], []
-                for t, tree in enumerate(forest.value):
-                    for leaf, own in visit(tree, vectors, gap):
-                        who.append(own)
-                        codes.append(np.full(len(own), t << LEAF_BITS | leaf, np.int64))
-                if not who:
-                    continue
-                who, codes = np.concatenate(who), np.concatenate(codes)
-                take = batch.take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([pa.array(codes), take.column(0), take.column(1)], names=["code", "rep", "v"])
-
-    def split(leaf: pa.Table) -> pa.Table:
-        """The places of a leaf: itself, or the leaves of a tree of its own if it holds too many."""
-        leaf = leaf.combine_chunks().sort_by("rep")
-        names, code = leaf["rep"].to_numpy(), leaf["code"][0].as_py()
+                names, who, units_of = batch.column(0).to_numpy(), [], []
+                for code, own in leaves(batch):
+                    for k, part in units(names[own], blocks.value.get(code, 1)):
+                        who.append(own[part])
+                        units_of.append(np.full(len(part), code << UNIT_BITS | k, np.int64))
+                if who:
+                    take = batch.take(pa.array(np.concatenate(who)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(units_of)), take.column(0), take.column(1)], names=["unit", "rep", "v"])
+
+    def split(rows: pa.Table) -> pa.Table:
+        """The places of a unit: itself, or the leaves of a tree of its own if it holds too many."""
+        rows = rows.combine_chunks().sort_by("rep")
+        names, code = rows["rep"].to_numpy(), rows["unit"][0].as_py()
         parts = [(0, np.arange(len(names)))]
         if len(names) > leaf_rows:
-            units = unit(matrix(leaf["v"])[0])
-            parts = list(visit(grow(units, 1.0, leaf_rows, gap, np.random.default_rng([SEED, code & 0x7FFFFFFF])), units, gap))
+            vectors = unit(matrix(rows["v"], dim)[0])
+            parts = list(visit(grow(vectors, 1.0, leaf_rows, gap, np.random.default_rng([SEED, code])), vectors, gap))
         own = np.concatenate([x for _, x in parts])
-        return pa.table({"rep": names[own], "place": np.repeat([code << LEAF_BITS | k for k, _ in parts], [len(x) for _, x in parts])})
+        return pa.table({"rep": names[own], "place": np.repeat([code << PART_BITS | k for k, _ in parts], [len(x) for _, x in parts])})
 
     def compare(leaf: pa.Table) -> pa.Table:
         leaf = leaf.combine_chunks().sort_by("rep")
-        vectors, sizes = matrix(leaf["v"])
+        vectors, sizes = matrix(leaf["v"], dim)
         names, place = leaf["rep"].to_numpy(), leaf["place"][0].as_py()
         counts, least = links_in_leaf(vectors, sizes, leaf["copies"].to_numpy(), names, leaf["visited"].to_pylist(), place, cosine)
         some = np.flatnonzero((counts > 0) | (least != names))
         return pa.table({"rep": names[some], "links": counts[some], "least": least[some]}, schema=pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("least", pa.int64())]))
 
     kind = classes.schema["v"].dataType.simpleString()
-    routed = classes.select("rep", "v").mapInArrow(route, f"code long, rep long, v {kind}")
-    visits = routed.groupBy("code").applyInArrow(split, "rep long, place long").groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    narrow = classes.select("rep", "v")
+    # One row a leaf too large, and leaves are bounded by the sample; a forest learned from all vectors has none but dense ones.
+    large = narrow.mapInArrow(measure, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > unit_rows).collect()
+    blocks = sc.broadcast({r["code"]: min(MOST_BLOCKS, -(-2 * r["n"] // unit_rows)) for r in large})
+    routed = narrow.mapInArrow(route, f"unit long, rep long, v {kind}")
+    visits = routed.groupBy("unit").applyInArrow(split, "rep long, place long").groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places"))
     each = classes.select("rep", "copies", "v").join(visits, "rep").select("rep", "copies", "v", "places", F.posexplode("places").alias("at", "place"))
     each = each.select("place", "rep", "copies", "v", F.slice("places", F.lit(1), F.col("at") + 1).alias("visited"))
     found = durable(each.groupBy("place").applyInArrow(compare, "rep long, links long, least long"))

@@ -600,6 +600,29 @@ def test_equal_and_dense_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_units_of_a_hot_leaf_let_every_pair_meet():
+    names = np.arange(-300, 700) * 7919
+    for blocks in (1, 2, 7):
+        met = np.zeros((len(names), len(names)), bool)
+        for _, own in vectors.units(names, blocks):
+            met[np.ix_(own, own)] = True
+        assert met.all()
+
+
+def test_a_dense_ball_is_compared_whole_and_in_units(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=16)
+    m = np.array([centre + 0.14 * rng.normal(size=16) for _ in range(900)] + [rng.normal(size=16) for _ in range(900)])
+    u = vectors.unit(m)
+    tree = vectors.grow(u, 1.0, 50, vectors.margin(0.95, vectors.SPILL, 16), np.random.default_rng(1))
+    assert sum(len(own) for _, own in vectors.visit(tree, u, vectors.margin(0.95, vectors.SPILL, 16))) < 10 * len(u)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    data = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    for unit_rows in (vectors.UNIT_ROWS, 300):
+        got = vectors.near_duplicates(data, leaf_rows=50, unit_rows=unit_rows).toPandas().sort_values("vec_id").n_links.to_numpy()
+        assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 # 10 Jaccard
 
 
