@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import jaccard, langid, licences, lm, mixing, packing, quality, rules, urls, vectors
+from . import alignment, jaccard, langid, licences, lm, mixing, packing, quality, rules, toxicity, urls, vectors, whitening
 from .common import read
 
 
@@ -84,6 +84,27 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = whitening.whiten(table, whitening.fit(table))
+    return rows.select("vec_id", "n", "deviation", "identity_error", F.inline("components")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model")).drop("text")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = quality.folds(F.col("doc_id"), 5)
+    model = toxicity.fit(docs.where(fold != 0), read(spark, sf_dir, "labels").where(fold != 0))
+    return toxicity.rate(docs.select("doc_id", (fold == 0).alias("held_out"), "text"), model).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -96,5 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_vectors": op9_vectors,
         "op10_jaccard": op10_jaccard,
+        "op11_whitening": op11_whitening,
+        "op12_alignment": op12_alignment,
+        "op13_toxicity": op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
