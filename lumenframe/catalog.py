@@ -1,41 +1,89 @@
-"""The persistent catalog: versioned Parquet tables with last-write-wins upserts.
-
-A table is a directory of versions and numbered pointer files; the one of the highest
-number names the current version. A write makes a new version, then a pointer of the next
-number by one rename, and only then removes older pointers. So readers never see half
-a write, a crash at any point leaves the old or the new table, and of two writers at
-once one fails.
+"""The persistent catalog: bucketed Parquet tables with a log of commits and last-write-wins upserts.
+
+A table is a folder of data, whose files are bucketed by the table's key, and a log of numbered
+snapshots. A snapshot names a generation of the data and the commits in it that count, oldest first. A put writes its own rows
+alone, as one more commit of the generation, and then the next snapshot, which no other writer can have
+written: that file is renamed into place only if it isn't there. A writer that loses the race
+reads the new snapshot and tries again. A read takes the rows of the snapshot's commits and the last of each key; rows of
+commits that no snapshot names, such as those of a writer that died, don't count. After ``COMPACT_AFTER`` commits
+a put merges them into a new generation; the one before stays for those who still read it.
+
+Since all files of a generation are bucketed by key, neither the merge on read nor a join by key
+moves a row of the catalog. Snapshots carry the version of the schema that their data have; older ones are
+brought up to date as they are read (``STEPS``).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCHEMAS = {
     "file_records": "source_path string, dest_path string, raw_backup_path string, sha256_hash string, perceptual_hash string, file_size long, file_mtime long, created_date string, processed_date string, camera_model string, lens_model string, device_code string, operation_type string, processing_status string, id long",
+    "file_paths": "source_path string, file_mtime long, sha256_hash string",
     "exif_cache": "file_path string, file_mtime long, exif_data string, created_date string",
     "directory_cache": "directory_path string, scan_timestamp string, file_count long, last_modified double",
+    "directory_entries": "directory_path string, scan_timestamp string, files array<struct<path:string,size:long,modified_time:timestamp>>, folders array<string>",
 }
-KEYS = {"file_records": ["sha256_hash"], "exif_cache": ["file_path", "file_mtime"], "directory_cache": ["directory_path"]}
-STATUSES = ("completed", "failed", "pending")
-OPERATIONS = ("raw_backup", "organized", "both")
+KEYS = {"file_records": ["sha256_hash"], "file_paths": ["source_path", "file_mtime"], "exif_cache": ["file_path", "file_mtime"], "directory_cache": ["directory_path"], "directory_entries": ["directory_path"]}
+COMPACT_AFTER = 20
+BUCKETS = 16
+ATTEMPTS = 20
+#: Snapshots that stay in the log.
+KEPT = 100
+
+
+@dataclass(frozen=True)
+class Step:
+    """How a table's schema came from the version before: columns that got another name (old to new); those that are new are null in older data."""
+
+    renamed: dict[str, str] = field(default_factory=dict)
+
+
+#: By table, the steps to version 2, 3 and so on; ``SCHEMAS`` are those of the last.
+STEPS: dict[str, list[Step]] = {}
+
 
+@dataclass(frozen=True)
+class Snapshot:
+    version: int = 0
+    data: str = ""
+    commits: tuple[str, ...] = ()
+    buckets: int = BUCKETS
+    schema: int = 1
+    columns: str = ""
+    superseded: str = ""
 
-def last_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_last", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))).where("_last = 1").drop("_last")
+
+def columns_of(ddl: str) -> list[tuple[str, str]]:
+    """(name, type) of the columns of a schema."""
+    return [tuple(part.strip().split(" ", 1)) for part in re.split(r",(?![^<]*>)", ddl)]
+
+
+def conform(rows: DataFrame, ddl: str) -> DataFrame:
+    """The columns of a schema in its order; those that ``rows`` lacks are null."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns_of(ddl)])
+
+
+def last_of(rows: DataFrame, key: list[str], order: str | Column) -> DataFrame:
+    """The last row of each key; of equal last ones that with the greatest digest of its columns."""
+    order = F.col(order) if isinstance(order, str) else order
+    digest = F.xxhash64(*[F.col(c) for c in rows.columns])
+    return rows.withColumn("_last", F.row_number().over(W.partitionBy(*key).orderBy(order.desc(), digest.desc()))).where("_last = 1").drop("_last")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their keys; of several new ones the last counts."""
-    rows = last_of(new, key, order) if order else new.dropDuplicates(key)
-    rows = rows.select(*old.columns)
+    rows = last_of(new, key, order or F.lit(0)).select(*old.columns)
     return old.join(rows.select(*key), key, "left_anti").select(*old.columns).unionByName(rows)
 
 
@@ -56,20 +104,21 @@ def size_range(records: DataFrame, least: int, most: int) -> DataFrame:
     return records.where(F.col("file_size").between(least, most)).select("source_path", "sha256_hash", "perceptual_hash", "file_size", "file_mtime")
 
 
-def by_hash(records: DataFrame, digest: str) -> DataFrame:
-    return records.where(F.col("sha256_hash") == digest).orderBy("id").limit(1)
+def by_hash(records: DataFrame, digests: DataFrame) -> DataFrame:
+    """For each of the digests (sha256) that a record has, the record: the first by id, should several have it."""
+    wanted = digests.select(F.col("sha256").alias("sha256_hash")).distinct()
+    names = [c for c in records.columns if c != "sha256_hash"]
+    first = records.join(wanted, "sha256_hash", "left_semi").groupBy("sha256_hash").agg(F.min_by(F.struct(*names), "id").alias("_first"))
+    return first.select("sha256_hash", *[F.col("_first")[c].alias(c) for c in names])
 
 
 def by_path(records: DataFrame, path: str, mtime: int) -> DataFrame:
     return records.where((F.col("source_path") == path) & (F.col("file_mtime") == mtime)).orderBy("id").limit(1)
 
 
-def is_unchanged(records: DataFrame, path: str, mtime: int) -> bool:
-    return not by_path(records, path, mtime).isEmpty()
-
-
-def by_perceptual(records: DataFrame, look: str) -> DataFrame:
-    return records.where(F.col("perceptual_hash") == look)
+def by_perceptual(records: DataFrame, looks: DataFrame) -> DataFrame:
+    """All records with one of the perceptual hashes (perceptual)."""
+    return records.join(looks.select(F.col("perceptual").alias("perceptual_hash")).distinct(), "perceptual_hash", "left_semi")
 
 
 def directory_changed(directories: DataFrame, cache: DataFrame) -> DataFrame:
@@ -94,54 +143,160 @@ def counts(records: DataFrame, exif: DataFrame, directories: DataFrame) -> DataF
 
 @dataclass
 class Catalog:
-    """Tables below ``root``; any file system that Spark reads."""
+    """Tables below ``root``; any file system that Spark reads. New tables get ``buckets`` buckets: as many as a large join has partitions."""
 
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
+
+    # files
 
-    def _pointers(self, table: str):
-        """The table's file system and folder, and its pointers by number."""
+    def _folder(self, table: str):
+        """The table's file system and folder."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        paths = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-        return fs, folder, {int(p.getName()[9:]): p for p in paths if re.fullmatch(r"_current\.\d+", p.getName())}
-
-    def version(self, table: str) -> str | None:
-        fs, _, pointers = self._pointers(table)
-        if not pointers:
+        return fs, fs.makeQualified(folder)
+
+    def _path(self, parent, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(parent, name)
+
+    def _log(self, table: str) -> dict:
+        """The snapshots' files by number."""
+        fs, folder = self._folder(table)
+        log = self._path(folder, "_log")
+        paths = [x.getPath() for x in fs.listStatus(log)] if fs.exists(log) else []
+        return {int(p.getName()[:-5]): p for p in paths if re.fullmatch(r"\d{20}\.json", p.getName())}
+
+    def snapshot(self, table: str) -> Snapshot | None:
+        """The last one; None where nothing was ever put."""
+        found = self._log(table)
+        if not found:
             return None
-        stream = fs.open(pointers[max(pointers)])
+        stream = self._folder(table)[0].open(found[max(found)])
         try:
-            return bytes(stream.readAllBytes()).decode()
+            read = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
+        return Snapshot(**read | {"commits": tuple(read["commits"])})
 
-    def read(self, table: str) -> DataFrame:
-        schema, version = SCHEMAS[table], self.version(table)
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{version}")
+    def version(self, table: str) -> int | None:
+        found = self._log(table)
+        return max(found) if found else None
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Write ``rows`` as the new version; files are sorted by key, so that statistics prune lookups."""
-        version = uuid.uuid4().hex
-        out = rows.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in SCHEMAS[table].split(", ")])
-        out.repartition(*KEYS[table]).sortWithinPartitions(*KEYS[table]).write.parquet(f"{self.root}/{table}/{version}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs, folder, pointers = self._pointers(table)
-        fresh = path(folder, f"_writing.{version}")
+    def _commit(self, table: str, snapshot: Snapshot) -> bool:
+        """Write the snapshot under its number; False if there is one of that number."""
+        jvm, (fs, folder) = self.spark._jvm, self._folder(table)
+        log = self._path(folder, "_log")
+        fresh = self._path(log, f".{uuid.uuid4().hex}")
         stream = fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps(asdict(snapshot)).encode()))
         stream.close()
-        if not fs.rename(fresh, path(folder, f"_current.{max(pointers, default=0) + 1}")):
-            raise RuntimeError(f"{table} was written by someone else at the same time")
-        for old in pointers.values():
-            fs.delete(old, False)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(log.toUri(), self.spark._jsc.hadoopConfiguration())
+        unless_there = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(fresh, self._path(log, f"{snapshot.version:020d}.json"), unless_there)
+        except Py4JJavaError as e:
+            fs.delete(fresh, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        for number, path in self._log(table).items():
+            if number <= snapshot.version - KEPT:
+                fs.delete(path, False)
+        return True
+
+    # data
+
+    def _bucketed(self, table: str, location: str, ddl: str, buckets: int) -> str:
+        """The name of a table over ``location`` in this session, which knows that its files are bucketed by key."""
+        name = "lumenframe_" + hashlib.md5(f"{location} {ddl}".encode()).hexdigest()
+        key = ", ".join(f"`{c}`" for c in self._old_names(table, ddl))
+        place = location.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}, _commit string) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'")
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def _old_names(self, table: str, ddl: str) -> list[str]:
+        """The key's columns as the schema ``ddl`` names them."""
+        before = {new: old for step in STEPS.get(table, []) for old, new in step.renamed.items()}
+        there = {c for c, _ in columns_of(ddl)}
+        return [c if c in there else before[c] for c in KEYS[table]]
+
+    def _write(self, table: str, rows: DataFrame, data: str, commit: str, buckets: int) -> int:
+        """Add the rows to a generation as files of a commit that doesn't count yet; how many they are."""
+        fs, folder = self._folder(table)
+        ddl, seen = SCHEMAS[table], Observation()
+        stage, target = self._path(folder, f"_put-{commit}"), self._path(folder, data)
+        name = self._bucketed(table, stage.toString(), ddl, buckets)
+        out = conform(rows, ddl).withColumn("_commit", F.lit(commit)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        try:
+            out.repartition(buckets, *KEYS[table]).sortWithinPartitions(*KEYS[table]).write.insertInto(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+        fs.mkdirs(target)
+        for file in fs.listStatus(stage):
+            if not file.getPath().getName().startswith(("_", ".")):
+                fs.rename(file.getPath(), self._path(target, file.getPath().getName()))
+        fs.delete(stage, True)
+        return seen.get["rows"]
+
+    def _rows(self, table: str, snapshot: Snapshot | None) -> DataFrame:
+        if snapshot is None:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        location = self._path(self._folder(table)[1], snapshot.data).toString()
+        rows = self.spark.table(self._bucketed(table, location, snapshot.columns, snapshot.buckets)).where(F.col("_commit").isin(list(snapshot.commits)))
+        if len(snapshot.commits) > 1:
+            rows = last_of(rows, self._old_names(table, snapshot.columns), F.array_position(F.array(*map(F.lit, snapshot.commits)), F.col("_commit")))
+        for step in STEPS.get(table, [])[snapshot.schema - 1 :]:
+            rows = rows.withColumnsRenamed(step.renamed)
+        return conform(rows, SCHEMAS[table])
+
+    def read(self, table: str) -> DataFrame:
+        """The table as its last snapshot has it, whatever is written later."""
+        return self._rows(table, self.snapshot(table))
+
+    def rewrite(self, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """A new generation: what ``change`` makes of the rows, which keeps keys unique. Tried again if someone else wrote meanwhile."""
+        for _ in range(ATTEMPTS):
+            before = self.snapshot(table)
+            commit = uuid.uuid4().hex
+            after = Snapshot((before.version if before else 0) + 1, f"data-{commit}", (commit,), before.buckets if before else self.buckets, len(STEPS.get(table, [])) + 1, SCHEMAS[table], before.data if before else "")
+            self._write(table, change(self._rows(table, before)), after.data, commit, after.buckets)
+            fs, folder = self._folder(table)
+            if self._commit(table, after):
+                # the generation of the snapshot before stays for its readers, the one before that goes
+                if before and before.superseded:
+                    fs.delete(self._path(folder, before.superseded), True)
+                return
+            fs.delete(self._path(folder, after.data), True)
+        raise RuntimeError(f"{table} is written by others all the time")
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """All rows of a table anew; keys must be unique."""
+        self.rewrite(table, lambda _: rows)
+
+    def compact(self, table: str) -> None:
+        self.rewrite(table, lambda rows: rows)
 
     def put(self, table: str, rows: DataFrame, order: str | None = None) -> None:
-        if not rows.isEmpty():
-            self.replace(table, upsert(self.read(table), rows, KEYS[table], order))
+        """Upsert: write the rows alone (of several with one key the last by ``order``), as one more commit."""
+        commit, written = uuid.uuid4().hex, None
+        rows = last_of(rows, KEYS[table], order or F.lit(0))
+        for _ in range(ATTEMPTS):
+            before = self.snapshot(table)
+            if before is None or len(before.commits) >= COMPACT_AFTER or before.schema <= len(STEPS.get(table, [])):
+                if before is None and rows.isEmpty():
+                    return
+                return self.rewrite(table, lambda old: upsert(old, conform(rows, SCHEMAS[table]), KEYS[table]))
+            if written != before.data:
+                if not self._write(table, rows, before.data, commit, before.buckets):
+                    return
+                written = before.data
+            if self._commit(table, replace(before, version=before.version + 1, commits=(*before.commits, commit))):
+                return
+        raise RuntimeError(f"{table} is written by others all the time")
 
     def expire(self, days: int = 30) -> None:
-        self.replace("exif_cache", unexpired(self.read("exif_cache"), "created_date", days))
-        self.replace("directory_cache", unexpired(self.read("directory_cache"), "scan_timestamp", days))
+        for table, stamp in (("exif_cache", "created_date"), ("directory_cache", "scan_timestamp"), ("directory_entries", "scan_timestamp")):
+            if self.version(table) is not None:
+                self.rewrite(table, lambda rows, stamp=stamp: unexpired(rows, stamp, days))

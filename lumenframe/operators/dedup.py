@@ -33,26 +33,32 @@ def within_batch(files: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(is_new, "new").otherwise("duplicate"), "existing_file": F.when(~is_new, F.col("_path"))}).drop("_path", "_seq")
 
 
-def against_catalog(files: DataFrame, catalog: DataFrame) -> DataFrame:
+def against_catalog(files: DataFrame, catalog: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """status, existing_file and similarity_score of files (path, mtime, size, sha256, perceptual).
 
     The same path and time is a duplicate of its record; without a record of equal size
     a file is new; an equal digest of equal size is a duplicate; an equal perceptual
     hash (any size) is similar; the rest is new. ``catalog``: id, source_path,
-    file_mtime, file_size, sha256_hash (unique), perceptual_hash.
+    file_mtime, file_size, sha256_hash, perceptual_hash. ``paths``: source_path and file_mtime of all files ever
+    recorded, bucketed by both; without it, those of the catalog.
+
+    Joins are by one table's key each: of a catalog that is bucketed by digest and paths bucketed by path and
+    time, only distinct sizes and looks are shuffled.
     """
-    seen = catalog.select(F.col("source_path").alias("path"), F.col("file_mtime").alias("mtime"), F.col("source_path").alias("_seen")).dropDuplicates(["path", "mtime"])
+    seen = (catalog if paths is None else paths).groupBy(F.col("source_path").alias("path"), F.col("file_mtime").alias("mtime")).agg(F.first("source_path").alias("_seen"))
     sizes = catalog.select(F.col("file_size").alias("size"), F.lit(True).alias("_sized")).distinct()
-    digests = catalog.select(F.col("file_size").alias("size"), F.col("sha256_hash").alias("sha256"), F.col("source_path").alias("_same"))
+    # a digest has one size but for collisions, so this map is small
+    sized = catalog.groupBy(F.col("sha256_hash").alias("sha256"), F.col("file_size").alias("_size")).agg(F.min_by("source_path", "id").alias("_path"))
+    digests = sized.where("_size is not null").groupBy("sha256").agg(F.map_from_entries(F.collect_list(F.struct("_size", "_path"))).alias("_paths"))
     looks = catalog.where("perceptual_hash is not null").groupBy(F.col("perceptual_hash").alias("perceptual")).agg(F.min_by("source_path", "id").alias("_alike"))
-    rows = files.join(seen, ["path", "mtime"], "left").join(sizes, "size", "left").join(digests, ["size", "sha256"], "left").join(looks, "perceptual", "left")
+    rows = files.join(seen, ["path", "mtime"], "left").join(sizes, "size", "left").join(digests, "sha256", "left").join(looks, "perceptual", "left").withColumn("_same", F.try_element_at("_paths", F.col("size")))
     status = F.when(F.col("_seen").isNotNull(), "duplicate").when(F.col("_sized").isNull(), "new").when(F.col("_same").isNotNull(), "duplicate").when(F.col("_alike").isNotNull(), "similar").otherwise("new")
     existing = F.when(F.col("_seen").isNotNull(), F.col("_seen")).when(F.col("_sized").isNull(), None).otherwise(F.coalesce("_same", "_alike"))
-    return rows.withColumns({"status": status, "existing_file": existing, "similarity_score": F.when(status == "similar", F.lit(SIMILAR_SCORE))}).drop("_seen", "_sized", "_same", "_alike")
+    return rows.withColumns({"status": status, "existing_file": existing, "similarity_score": F.when(status == "similar", F.lit(SIMILAR_SCORE))}).drop("_seen", "_sized", "_same", "_alike", "_paths")
 
 
 def new_files(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Files that no record has with the same path and time."""
+    """Files that no record (or entry of the paths) has with the same path and time."""
     known = catalog.select(F.col("source_path").alias("path"), F.col("file_mtime").alias("mtime"))
     return files.join(known, ["path", "mtime"], "left_anti")
 

@@ -347,13 +347,15 @@ def catalog_size_range(spark, sf):
 
 @query(f"WITH {v.SQL_RECORDS} SELECT r.source_path, h.path FROM hashed h JOIN records r ON r.sha256_hash = h.sha256")
 def catalog_lookup_hash(spark, sf):
-    return v.hashed(spark, sf).join(v.records(spark, sf), F.col("sha256") == F.col("sha256_hash")).select("source_path", "path")
+    files = v.hashed(spark, sf)
+    found = c.by_hash(v.records(spark, sf), files.where("sha256 is not null"))
+    return files.join(found, F.col("sha256") == F.col("sha256_hash")).select("source_path", "path")
 
 
-@query(f"WITH {v.SQL_RECORDS} SELECT perceptual_hash, count(*) AS n, arg_min(source_path, id) AS first_path FROM records WHERE perceptual_hash IS NOT NULL GROUP BY perceptual_hash")
+@query(f"WITH {v.SQL_RECORDS} SELECT perceptual_hash, count(*) AS n, arg_min(source_path, id) AS first_path FROM records WHERE perceptual_hash IN (SELECT perceptual FROM hashed) GROUP BY perceptual_hash")
 def perceptual_lookup(spark, sf):
-    known = v.records(spark, sf).where("perceptual_hash is not null")
-    return known.groupBy("perceptual_hash").agg(F.count("*").alias("n"), F.min_by("source_path", "id").alias("first_path"))
+    found = c.by_perceptual(v.records(spark, sf), v.hashed(spark, sf))
+    return found.groupBy("perceptual_hash").agg(F.count("*").alias("n"), F.min_by("source_path", "id").alias("first_path"))
 
 
 @query(f"""WITH {v.SQL_RECORDS}, {v.SQL_CACHE} SELECT (SELECT count(*) FROM records) AS total_files, (SELECT count(DISTINCT device_code) FROM records) AS unique_devices, (SELECT count(*) FROM exif_cache) AS cached_exif_entries, (SELECT count(DISTINCT parent) FROM files) AS cached_directories""")

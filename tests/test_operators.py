@@ -147,21 +147,6 @@ def test_a_repeated_move_reports_what_the_first_did(spark, tmp_path):
     assert again == {"a.jpg": True, "b.jpg": False}
 
 
-def test_a_crash_between_the_steps_of_a_write_keeps_a_table(spark, tmp_path):
-    catalog = Catalog(spark, str(tmp_path))
-    rows = lambda n: spark.createDataFrame([(f"/d{n}", "2024-01-01T00:00:00", n, 1.0)], "directory_path string, scan_timestamp string, file_count long, last_modified double")
-    catalog.put("directory_cache", rows(1))
-    folder = tmp_path / "directory_cache"
-    first = next(folder.glob("_current.*")).read_text()
-    (folder / "_writing.half").write_text("half")  # written, not renamed
-    assert catalog.version("directory_cache") == first
-    catalog.put("directory_cache", rows(2))
-    (folder / "_current.1").write_text(first)  # renamed, the older one not yet removed
-    assert {r["directory_path"] for r in catalog.read("directory_cache").collect()} == {"/d1", "/d2"}
-    catalog.put("directory_cache", rows(3))
-    assert catalog.read("directory_cache").count() == 3 and [p.name for p in folder.glob("_current.*")] == ["_current.3"]
-
-
 def test_tags_with_groups_are_those_without(spark):
     from lumenframe.pipeline import typed
 
