@@ -13,8 +13,8 @@ the text is checked for each unit.
 The postings of a batch of documents, (A id, B id, document, multiplicity), are written once,
 a row for each A id and batch. Counts of pairs are summed from them, and both are shuffled by A id
 and sorted there: an A id's counts come first, which gives the most that any of its
-pairs has, then its postings stream past and become contributions to documents, which are added up
-by document.
+pairs has, then its postings stream past and become contributions to documents, which are shuffled by the batch
+that a document was in, and added up.
 
 Scale: counts are combined before their shuffle, and an A id has no more of them than B has ids. An A
 id of very many postings is dealt over several parts, each with all of its counts, so that no task gets a hot id
@@ -313,20 +313,33 @@ def alignments(docs: DataFrame, vocabulary: str, ranks: str | None, pattern: str
     return long_rows(docs).mapInArrow(run, out)
 
 
+def sums(number: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by number."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, number, values)
+    return out
+
+
+def by_row(table: pa.Table) -> pa.Table:
+    """The contributions of a batch's documents to (row, n_best, count_sum)."""
+    row, best, total = (np.concatenate([x.values.to_numpy() for x in table[c].combine_chunks()]) for c in ("row", "n_best", "count_sum"))
+    row, number = np.unique(row, return_inverse=True)
+    return pa.table({"row": row, "n_best": sums(number, best, len(row)), "count_sum": sums(number, total, len(row))})
+
+
 def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (a, part, base) to (row, n_best, count_sum); an id's counts have a null base and come first."""
+    """From rows sorted by (a, part, base) to (base, row, n_best, count_sum), arrays of a batch's documents; an id's counts have a null base and come first."""
     ids, counts, most, here = None, None, 0, None
     held, size = [], 0
 
     def give() -> pa.RecordBatch:
-        rows = np.concatenate([x[0] for x in held])
-        name, number = np.unique(rows, return_inverse=True)
-        sums = []
-        for k in (1, 2):
-            total = np.zeros(len(name), np.int64)
-            np.add.at(total, number, np.concatenate([x[k] for x in held]))
-            sums.append(total)
-        return pa.RecordBatch.from_arrays([pa.array(name), *map(pa.array, sums)], names=["row", "n_best", "count_sum"])
+        base, row, best, total = (np.concatenate([x[k] for x in held]) for k in range(4))
+        row, first, number = np.unique(row, return_index=True, return_inverse=True)
+        base = base[first]
+        start = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+        offsets = pa.array(np.append(start, len(row)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (row, sums(number, best, len(row)), sums(number, total, len(row)))]
+        return pa.RecordBatch.from_arrays([pa.array(base[start]), *lists], names=["base", "row", "n_best", "count_sum"])
 
     for batch in batches:
         a, part, base = batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("base").to_pylist()
@@ -342,7 +355,7 @@ def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = counts[np.searchsorted(ids, own)]
             count = np.repeat(count, docs[i].values.to_numpy())
             each = times[i].values.to_numpy().astype(np.int64)
-            held.append((base[i] + doc[i].values.to_numpy().astype(np.int64), np.where(count == most, each, 0), each * count))
+            held.append((np.full(len(each), base[i]), base[i] + doc[i].values.to_numpy().astype(np.int64), np.where(count == most, each, 0), each * count))
             size += len(each)
             if size >= HELD:
                 yield give()
@@ -369,7 +382,8 @@ def align(docs: DataFrame, vocabulary: str, ranks: str | None, pattern: str | No
     dealt = posted.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("base"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     each = by_id.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "b", "counts")
     both = dealt.unionByName(each, allowMissingColumns=True).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("base"))
-    found = both.mapInArrow(contribute, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = both.mapInArrow(contribute, "base long, row array<long>, n_best array<long>, count_sum array<long>")
+    found = given.groupBy("base").applyInArrow(by_row, "row long, n_best long, count_sum long")
 
     own = made.where("row is not null").join(found, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
