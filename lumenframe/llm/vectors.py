@@ -69,7 +69,13 @@ class Tree:
     leaves: int = 0
 
 
+def in_range(rows: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that no square of it is too large or too small for a double; cosines stay the same."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True, initial=0))[1])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = in_range(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -142,7 +148,7 @@ def units(names: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def links_in_leaf(rows: np.ndarray, sizes: np.ndarray, copies: np.ndarray, names: np.ndarray, visited: list[list[int]], place: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """For each vector of a place: copies of those that it links with and meets here first, and the least name of its component here."""
-    n = len(rows)
+    n, rows = len(rows), in_range(rows)
     norms = np.linalg.norm(rows, axis=1)
     counts, root = np.zeros(n, np.int64), np.arange(n)
     for a in range(0, n, BLOCK):
