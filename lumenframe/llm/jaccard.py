@@ -19,8 +19,9 @@ Scale: two narrow passes over the text (sketch, prefixes) that shuffle a fixed-s
 sketch and one row a document; postings that occur once are dropped before any join;
 only sets that have a candidate are formed again for verification. Large groups of
 exact copies are one class, large groups of near copies cost their number in the
-first round. Verification is a join and an array intersection; a hot leader is a
-skewed join side, which Spark splits.
+first round; sets that share a common shingle but too little else are told apart by size and position
+before any pair is spelled out (``open_pairs``). Verification is a join and an array intersection; a hot
+leader is a skewed join side, which Spark splits.
 
 Edge cases: texts with fewer words than a shingle are one shingle, the whole sequence;
 null texts and texts without words have an empty set and link with nothing; rows of a
@@ -49,6 +50,8 @@ COMMON = 3
 #: Cells of the sketch, as a power of two; a cell is four bytes, and 2**CELL_BITS of them reach driver and executors.
 CELL_BITS = 20
 BLOCK = 256
+#: Bands of sizes for each factor of e.
+BANDS = 30
 
 
 def shingles(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +211,8 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def shared_postings(classes: DataFrame, joint: DataFrame, percent: int) -> DataFrame:
     """(token, pos, n, grp, head) of the groups, for the prefix shingles that may link two classes."""
-    groups = classes.join(small_side(joint), ["n", "grp"], "left").where("head is null or head = rep")
+    able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)  # a smaller set is like no other but its equals
+    groups = able.join(small_side(joint), ["n", "grp"], "left").where("head is null or head = rep")
     postings = groups.select("n", "grp", F.col("rep").alias("head"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("prefix").alias("pos", "token"))
     met = postings.groupBy("token").agg(F.sum("members").alias("members"), F.count("*").alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("both"), F.min(F.col("n") - F.col("pos")).alias("left"))
     fits = (F.col("least") * 100 >= F.col("most") * percent) & ((F.col("left") + COMMON - 1) * (100 + percent) >= F.col("both") * percent)
@@ -226,26 +230,46 @@ def led_pairs(postings: DataFrame, classes: DataFrame, joint: DataFrame, percent
     return durable(ordered(star.union(inner)))
 
 
-def open_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Second round: (a, b) of classes that still lie in different components and share enough. ``members``: n, grp, rep, comp."""
+def band(size: Column) -> Column:
+    """Sizes by their logarithm; each of the smaller ones has a band of its own."""
+    return F.floor(F.log(size.cast("double")) * BANDS)
+
+
+def open_pairs(postings: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Second round: (a, b) of classes that still lie in different components and share enough. ``members``: n, grp, rep, comp.
+
+    What precedes the first shingle that a pair shares can't be shared, so this shingle bounds how large its
+    partner may be. A posting is laid only into the bands of sizes that its bound allows, and pairs are spelled
+    out where the other one's size lies: sets of one size that have only their last prefix shingles in
+    common, however many they are, never meet.
+    """
     # a part: the members of a group that lie in one component; part is the least of them
     parts = durable(members.groupBy("n", "grp", "comp").agg(F.min("rep").alias("part")))
     met = postings.join(parts, ["n", "grp"]).select("token", "pos", "n", "comp", "part")
-    unlinked = met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    met = durable(met.join(small_side(unlinked), "token"))
-    sides = met.groupBy("token", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("parts"))
-    # the side with fewer parts comes first, and is spelled out first
-    smaller = (F.col("x.parts") < F.col("y.parts")) | ((F.col("x.parts") == F.col("y.parts")) & (F.col("x.comp") < F.col("y.comp")))
-    reach = (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
-    early = ((F.least(F.col("x.most") - F.col("x.pos"), F.col("y.most") - F.col("y.pos")) + COMMON - 1) * (100 + percent)) >= (F.col("x.least") + F.col("y.least")) * percent
-    sides = sides.alias("x").join(sides.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & smaller & reach & early)
-    sides = durable(sides.select("x.token", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
-    x = met.select("token", F.col("comp").alias("c1"), "pos", "n", "part")
-    y = met.select("token", F.col("comp").alias("c2"), "pos", "n", "part")
-    spelled = sides.join(x, ["token", "c1"])
-    cross = spelled.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c2") == F.col("y.c2")) & may_link("x", "y", percent))
-    cross = cross.select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), F.greatest("x.n", "y.n").alias("most"))
-    cross = durable(cross.groupBy("p", "q", "most").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("most"), percent)).select("p", "q"))
+    for _ in range(2):
+        unlinked = met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+        met = durable(met.join(small_side(unlinked), "token"))
+        able = met.groupBy("part", "n").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("n"), percent)).select("part")
+        met = met.join(small_side(able), "part")
+    met = durable(met.select("token", "pos", "n", "comp", "part"))
+
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
+    large = met.where(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    small = met.withColumn("band", band(F.col("n")))
+    keys = ["token", "band", "comp"]
+    one, two = large.select(*keys).distinct().alias("x"), small.select(*keys).distinct().alias("y")
+    sides = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")))
+    sides = durable(sides.select("x.token", "x.band", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
+    spelled = sides.join(large.withColumnRenamed("comp", "c1"), ["token", "band", "c1"]).alias("x")
+    nx, ny, left = F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    fits = (ny <= nx) & (ny * 100 >= nx * percent) & (left * (100 + percent) >= (nx + ny) * percent)
+    together = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c2") == F.col("y.comp"))
+    cross = spelled.join(small.alias("y"), together & fits).select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), nx.alias("most")).distinct()
+    # those that share enough of their whole prefixes
+    prefix = lambda side: classes.select(F.col("rep").alias(side), F.col("prefix").alias(f"prefix_{side}"))
+    shared = F.size(F.array_intersect("prefix_p", "prefix_q"))
+    cross = durable(cross.join(prefix("p"), "p").join(prefix("q"), "q").where(shared >= enough(F.col("most"), percent)).select("p", "q").distinct())
     of_part = durable(members.join(parts, ["n", "grp", "comp"]).select("part", "rep"))
     one, two = of_part.toDF("p", "a"), of_part.toDF("q", "b")
     return ordered(cross.join(one, "p").join(two, "q").select("a", "b"))
@@ -263,7 +287,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = components(verified(first, docs, words, percent))
     members = durable(classes.select("n", "grp", "rep").join(known, F.col("rep") == F.col("node"), "left").select("n", "grp", "rep", F.coalesce("component", "rep").alias("comp")))
-    rest = durable(open_pairs(postings, members, percent).join(first, ["a", "b"], "left_anti"))
+    rest = durable(open_pairs(postings, members, classes, percent).join(first, ["a", "b"], "left_anti"))
     more = verified(rest, docs, words, percent)
 
     # what the second round links are components of the first
@@ -274,11 +298,23 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of each component the document with the least id; of rows that repeat an id, one; all rows of a null id."""
-    found = durable(link_components(docs, id_col, text_col, words, percent).select(F.col("doc_id").alias("_id"), "component_id"))
-    gone = small_side(found.where("component_id != _id").select("_id").distinct())
-    again = small_side(found.where("component_id = _id").groupBy("_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id"))
-    rows = keep_row(docs).select("_row", F.col(f"_row.`{id_col}`").cast("long").alias("_id"))
-    kept = rows.join(gone, "_id", "left_anti")
-    once = kept.join(again, "_id", "left_semi").dropDuplicates(["_id"])
-    return unpack(kept.join(again, "_id", "left_anti").unionByName(once), docs.columns, {})
+    """Of each component one document, that with the least id (of several texts under it, any, but always the same one); all rows of a null id.
+
+    A document is an id and a text: texts under one id that are not alike all stay, and rows that repeat an id and
+    a text become one, that with the least digest of its columns.
+    """
+    rows = keep_row(docs).select("_row", F.col(f"_row.`{id_col}`").cast("long").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"))
+    rows = rows.withColumn("_node", F.when(F.col("_id").isNotNull(), F.xxhash64("_id", "_text")))
+    nodes = rows.where("_node is not null")
+    tag = F.xxhash64(F.lit("other"), "_text")
+    own = nodes.groupBy("_node").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last"), F.min(tag).alias("_lo"), F.max(tag).alias("_hi"), F.count("*").alias("_rows"))
+    found = link_components(nodes.select("_node", "_text"), "_node", "_text", words, percent).select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    # a digest that stands for two documents decides nothing: both stay
+    placed = durable(own.join(found, "_node").withColumn("_sure", (F.col("_id") == F.col("_last")) & (F.col("_lo") == F.col("_hi"))))
+    best = placed.where("_sure").groupBy("component_id").agg(F.min(F.struct("_id", "_node")).alias("_best"))
+    gone = small_side(placed.where("_sure").join(best, "component_id").where("_node != _best._node").select("_node"))
+    again = small_side(placed.where("_rows > 1").select("_node"))
+    kept = rows.join(gone, "_node", "left_anti")
+    digest = F.xxhash64(*[F.col("_row")[c] for c in docs.columns])
+    once = kept.join(again, "_node", "left_semi").groupBy("_id", "_text").agg(F.min_by("_row", digest).alias("_row"))
+    return unpack(kept.join(again, "_node", "left_anti").select("_row").unionByName(once.select("_row")), docs.columns, {})

@@ -600,6 +600,13 @@ def test_equal_and_dense_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [0.0, 1e-200]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [1e200, 0.0]), (6, [0.0, 1e200]), (7, [5e-324, 0.0]), (8, [1.7e308, 1.7e308])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(table).collect()}
+    assert got == {1: (3, 1), 3: (3, 1), 5: (3, 1), 7: (3, 1), 2: (2, 2), 4: (2, 2), 6: (2, 2), 8: (0, 8)}
+
+
 def test_units_of_a_hot_leaf_let_every_pair_meet():
     names = np.arange(-300, 700) * 7919
     for blocks in (1, 2, 7):
@@ -688,6 +695,49 @@ def test_jaccard_edge_cases(spark, docs, rows, none):
     assert kept.doc_id.isna().sum() == 2 and jaccard.keep_one(none).count() == 0
 
 
+def test_texts_that_share_a_common_shingle_cost_their_number(spark, monkeypatch):
+    """Two shapes in which all sets meet in one posting and none are alike; what the second round spells out is counted."""
+    seen = []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verify(pairs, *rest)
+
+    verify = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", counted)
+    short = [f"click here now item{i}" for i in range(6000)]
+    boiler = " ".join(f"b{k}" for k in range(32))
+    long = [f"{boiler} own{i}" if i % 2 else f"own{i} {boiler}" for i in range(1500)]
+    data = spark.createDataFrame(list(enumerate(short + long)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(data).collect()}
+    assert [got[i] for i in range(6000)] == list(range(6000))
+    assert sum(seen) <= 3 * len(got)
+    assert {got[i] for i in range(6000, 7500)} == {6000, 6001} or len({got[i] for i in range(6000, 7500)}) <= 2
+
+
+@pytest.mark.parametrize("seed, percent, words", [(7, 80, 5), (8, 60, 2), (9, 95, 1), (10, 100, 3)])
+def test_jaccard_at_other_settings(spark, seed, percent, words):
+    rng = np.random.default_rng(seed)
+    texts = copies(seed)
+    for _ in range(60):  # one shape, a few words of its own at either end
+        own = [f"q{k}" for k in rng.integers(0, 40, int(rng.integers(0, 4)))]
+        body = [f"t{k}" for k in range(int(rng.integers(8, 14)))]
+        texts[len(texts)] = " ".join(own + body if rng.random() < 0.5 else body + own)
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(data, words=words, percent=percent).collect()}
+    assert got == brute_components(texts, percent, words)
+
+
+def test_keep_one_loses_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "x"), (6, b + " more", "x"), (7, None, "x"), (7, "", "x"), (7, "", "x"), (8, a.upper(), "x"), (None, a, "x"), (None, a, "x")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, _node string")
+    kept = [tuple(r) for r in jaccard.keep_one(data).collect()]
+    assert len(kept) == 6 and {(i, t) for i, t, _ in kept} == {(1, a), (5, b), (7, None), (7, ""), (None, a)}
+    again = [tuple(r) for r in jaccard.keep_one(data.orderBy(F.desc("_node")).coalesce(1)).collect()]
+    assert sorted(kept, key=str) == sorted(again, key=str)
+
+
 # Pipeline
 
 
