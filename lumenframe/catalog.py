@@ -32,7 +32,7 @@ SCHEMAS = {
     "file_paths": "source_path string, file_mtime long, sha256_hash string",
     "exif_cache": "file_path string, file_mtime long, exif_data string, created_date string",
     "directory_cache": "directory_path string, scan_timestamp string, file_count long, last_modified double",
-    "directory_entries": "directory_path string, scan_timestamp string, files array<struct<path:string,size:long,modified_time:timestamp>>, folders array<string>",
+    "directory_entries": "directory_path string, scan_timestamp string, last_modified double, names array<string>, folders array<string>",
 }
 KEYS = {"file_records": ["sha256_hash"], "file_paths": ["source_path", "file_mtime"], "exif_cache": ["file_path", "file_mtime"], "directory_cache": ["directory_path"], "directory_entries": ["directory_path"]}
 COMPACT_AFTER = 20

@@ -1,4 +1,4 @@
-"""Command line: ``analyze FOLDER`` and ``ingest --source --event``."""
+"""Command line: ``analyze FOLDER``, ``ingest --source --event`` and ``resume``."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--samples", type=int, default=5)
     a.add_argument("--exiftool", action="store_true", help="read tags with the external tool where it is installed")
     a.add_argument("--workers", type=int, default=4)
+    a.add_argument("--catalog", help="a catalog whose caches spare listing unchanged directories and opening known files")
     a.add_argument("--detailed", action=argparse.BooleanOptionalAction, default=True)
     a.add_argument("--basic", dest="detailed", action="store_false")
     i = commands.add_parser("ingest")
@@ -35,6 +36,10 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--organized-only", action="store_true")
     i.add_argument("--archive", help="archive root, where no settings are given")
     i.add_argument("--catalog", default=".lumenframe-catalog")
+    i.add_argument("--exiftool", action="store_true", help="read tags with the external tool where it is installed")
+    r = commands.add_parser("resume", help="finish ingests that were cut short")
+    r.add_argument("--catalog", default=".lumenframe-catalog")
+    r.add_argument("--workers", type=int, default=4)
     return top
 
 
@@ -64,7 +69,7 @@ def analyze(args: argparse.Namespace) -> int:
         except ConfigurationError as e:
             if not args.quiet:
                 print(f"Settings ignored: {e}", file=sys.stderr)
-    row = analyse(_spark(args.workers), args.folder, types, args.detailed, args.exiftool).head()
+    row = analyse(_spark(args.workers), args.folder, types, args.detailed, args.exiftool, args.catalog).head()
     if args.peek and not args.quiet:
         print("Visual analysis is not available", file=sys.stderr)
     print(report.as_json(row) if args.json else report.one_line(row) if args.summary else report.human_readable(row, args.detailed) if args.verbose else report.plain(row))
@@ -82,15 +87,24 @@ def ingest(args: argparse.Namespace) -> int:
     except ConfigurationError as e:
         return _fail(str(e))
     backup = str(unique_backup_directory(config.raw_backup.backup_root, config.raw_backup.timestamp_format))
-    ops, outcome = run(_spark(config.performance.parallel_workers), args.source, args.event, config, args.catalog, backup, args.dry_run, args.copy, args.raw_only, args.organized_only)
+    ops, outcome = run(_spark(config.performance.parallel_workers), args.source, args.event, config, args.catalog, backup, args.dry_run, args.copy, args.raw_only, args.organized_only, args.exiftool)
     if args.dry_run:
         devices = [(r["device_code"], r["files"]) for r in plan.per_device(ops).orderBy("device_code").collect()]
         print(report.plan_text(plan.breakdown(ops).head(), devices, ops.orderBy("seq").limit(5).collect(), True))
     else:
-        print(report.result_text(outcome.head(), args.verbose))
+        print(report.result_text(outcome.head()))
+    return 0
+
+
+def resume(args: argparse.Namespace) -> int:
+    from .pipeline import resume as run
+
+    for event, outcome in run(_spark(args.workers), args.catalog):
+        print(f"Event: {event}")
+        print(report.result_text(outcome.head()))
     return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return analyze(args) if args.command == "analyze" else ingest(args)
+    return {"analyze": analyze, "ingest": ingest, "resume": resume}[args.command](args)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, record
 from .config import FileTypes, IngestConfig
+from .durable import written
 from .functions import decode, exif_timestamp, bias_label, safe_float, safe_int
 from .operators import analysis, dedup, device, execute, metadata, plan, scan
 from .sources.exif import with_tags
+from .sources.media import checked, entries, found_files, walk
 from .sources.media import scan as scan_directory
 
 
@@ -28,41 +32,87 @@ def typed(rows: DataFrame) -> DataFrame:
     return rows.withColumns(text | number | whole | named | {"DateTime": taken, "ExposureBias": bias_label(safe_float(tag("ExposureBias")))})
 
 
-def analyse(spark: SparkSession, path: str, types: FileTypes = FileTypes(), detailed: bool = True, exiftool: bool = False) -> DataFrame:
-    """The one-row report of a directory."""
-    files = scan_directory(spark, path, types).where("error is null")
-    meta = with_tags(scan.images(files).select("seq", "path"), exiftool, detailed).where(F.size("tags") > 0)
-    return analysis.report(files, typed(meta), detailed)
+def scanned(spark: SparkSession, path: str, types: FileTypes, catalog: Catalog | None) -> DataFrame:
+    """The supported files of a directory. With a catalog, directories that it knows unchanged aren't listed, and what was listed is put there."""
+    if catalog is None:
+        return scan_directory(spark, path, types).where("error is null")
+    listing = walk(spark, checked(path), catalog.read("directory_entries"), types.all_extensions())
+    fresh = entries(listing)
+    catalog.put("directory_entries", fresh)
+    catalog.put("directory_cache", fresh)
+    return found_files(listing, types).where("error is null")
+
+
+def tags_of(files: DataFrame, catalog: Catalog | None, exiftool: bool, detailed: bool) -> DataFrame:
+    """With ``tags``, read through the catalog's cache, which gets those that it lacked. A cache has one way of reading: with the external tool or without."""
+    read = lambda rows: with_tags(rows, exiftool, detailed)
+    if catalog is None:
+        return read(files)
+    cache = catalog.read("exif_cache")
+    rows = written(metadata.tagged(files, cache, read))
+    catalog.put("exif_cache", metadata.cache_rows(rows, cache))
+    return rows
+
 
+def analyse(spark: SparkSession, path: str, types: FileTypes = FileTypes(), detailed: bool = True, exiftool: bool = False, catalog_root: str | None = None) -> DataFrame:
+    """The one-row report of a directory; with ``catalog_root``, unchanged directories aren't listed and known files aren't opened again."""
+    catalog = Catalog(spark, catalog_root) if catalog_root else None
+    files = scanned(spark, path, types, catalog)
+    meta = tags_of(scan.images(files).select("seq", "path", "mtime"), catalog, exiftool, False)
+    # a file without embedded tags counts as one without metadata, its size in pixels alone doesn't
+    known = F.size("tags") > 0 if not detailed else F.size(F.map_filter("tags", lambda k, _: ~k.isin("ImageWidth", "ImageHeight"))) > 0
+    return analysis.report(files, typed(meta.where(known)), detailed)
 
-def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, catalog_root: str, backup: str, dry_run: bool = False, copy: bool = True, raw_only: bool = False, organized_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(operations, outcome): scan, fingerprint, classify, plan, and unless it is a dry run carry out and record. Tags come from the catalog's cache where the settings allow it; a dry run fills the cache, too."""
+
+def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, catalog_root: str, backup: str, dry_run: bool = False, copy: bool = True, raw_only: bool = False, organized_only: bool = False, exiftool: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(operations, outcome): scan, fingerprint, classify, plan, and unless it is a dry run carry out and record.
+
+    Where the settings allow it, directories are listed and tags read through the catalog's caches; a dry run fills them, too.
+    A run's plan and what its steps did are kept below ``_runs`` in the catalog: see ``resume``.
+    """
     catalog = Catalog(spark, catalog_root)
-    files = scan_directory(spark, source, config.file_types).where("error is null").cache()
-    read = lambda rows: with_tags(rows, detailed=False)
-    tags = catalog.read("exif_cache")
-    files = metadata.tagged(files, tags, read) if config.performance.cache_exif else read(files)
+    files = scanned(spark, source, config.file_types, catalog if config.performance.incremental_processing else None)
+    files = tags_of(files, catalog if config.performance.cache_exif else None, exiftool, False)
     hashed = files.mapInPandas(_digests, files.drop("tags").schema.add("sha256", "string").add("tags", files.schema["tags"].dataType)).where("sha256 is not null").withColumn("perceptual", F.lit(None).cast("string"))
-    known = catalog.read("file_records")
-    checked = dedup.against_catalog(dedup.within_batch(hashed).withColumnsRenamed({"status": "batch", "existing_file": "_first"}), known)
+    hashed = written(hashed)
+    known, paths = catalog.read("file_records"), catalog.read("file_paths")
+    compared = dedup.against_catalog(dedup.within_batch(hashed).withColumnsRenamed({"status": "batch", "existing_file": "_first"}), known, paths)
     status = F.when(F.col("batch") == "duplicate", "duplicate").otherwise(F.col("status"))
-    rows = checked.withColumns({"status": status, "existing_file": F.coalesce("existing_file", "_first")}).drop("_first")
+    rows = compared.withColumns({"status": status, "existing_file": F.coalesce("existing_file", "_first")}).drop("_first")
     rows = rows.withColumns({"device_code": device.detect(F.col("tags"), config.devices)["device_code"], "taken": F.coalesce(*[F.try_element_at("tags", F.lit(k)) for k in ("DateTimeOriginal", "DateTime")])})
-    rows = rows.cache()
-    if config.performance.cache_exif:
-        catalog.put("exif_cache", metadata.cache_rows(rows, tags))
-    root = F.lit(plan.common_root(rows).head()["root"]) if not rows.isEmpty() else None
+    rows = written(rows)
+    root = plan.common_root(rows).head()["root"]
     kinds = {"raw_only": raw_only, "organized_only": organized_only}
-    ops = plan.plan(rows, rows.select("path", "status"), F.lit(event), config.archive_root, backup, root=root, preserve=config.raw_backup.preserve_structure, **kinds)
+    ops = plan.plan(rows, rows.select("path", "status"), F.lit(event), config.archive_root, backup, root=F.lit(root), preserve=config.raw_backup.preserve_structure, **kinds)
     if dry_run:
         return ops, plan.dry_run(ops, rows, copy)
-    described = ops.join(rows.select(F.col("path").alias("source_path"), "size", "sha256"), "source_path")
-    done = execute.execute(described, copy, config.raw_backup.enabled or raw_only).cache()
-    outcome = execute.outcome(done, copy)
-    outcome = spark.createDataFrame(outcome.collect(), outcome.schema)
-    moved = done.where("done").select(F.col("source_path").alias("path")).distinct()
-    catalog.put("file_records", record(rows.drop("dest_path").join(moved, "path").join(ops.select(F.col("source_path").alias("path"), "dest_path", "raw_backup_path"), "path")), "id")
-    return ops, outcome
+    run = execute.Run(spark, f"{catalog_root}/_runs/{uuid.uuid4().hex}")
+    run.table("plan", lambda: ops.join(rows.drop("seq", "status", "device_code").withColumnRenamed("path", "source_path"), "source_path"))
+    run.table("settings", lambda: spark.createDataFrame([(copy, config.raw_backup.enabled or raw_only, event)], "copy boolean, backup boolean, event string"))
+    done = _carry_out(run, catalog)
+    return run.read("plan").select(*ops.columns), execute.outcome(done, copy)
+
+
+def _carry_out(run: execute.Run, catalog: Catalog) -> DataFrame:
+    settings = run.read("settings").head()
+
+    def put(plan: DataFrame, done: DataFrame) -> None:
+        moved = done.where("done").select("source_path").distinct()
+        rows = record(plan.join(moved, "source_path", "left_semi").withColumnRenamed("source_path", "path"))
+        catalog.put("file_records", rows, "id")
+        catalog.put("file_paths", rows)
+
+    return execute.carry_out(run, put, settings["copy"], settings["backup"])
+
+
+def resume(spark: SparkSession, catalog_root: str) -> list[tuple[str, DataFrame]]:
+    """Finish the runs that were cut short: (event, outcome) of each. Steps that were complete aren't repeated."""
+    catalog = Catalog(spark, catalog_root)
+    out = []
+    for run in execute.unfinished(spark, f"{catalog_root}/_runs"):
+        settings = run.read("settings").head()
+        out.append((settings["event"], execute.outcome(_carry_out(run, catalog), settings["copy"])))
+    return out
 
 
 def _digests(frames):

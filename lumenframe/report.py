@@ -117,9 +117,9 @@ def plan_text(counts: Any, devices: list[tuple[str, int]], sample: list[Any], dr
     return "\n".join(lines + ([f"  ... and {c['total_files'] - 5} more files"] if c["total_files"] > 5 else []))
 
 
-def result_text(outcome: Any, verbosity: int = 0) -> str:
+def result_text(outcome: Any) -> str:
     r = as_dict(outcome)
     lines = ["=== Ingest Results ===", *(f"{k.replace('_', ' ').title()}: {r[k]:,}" for k in ("files_processed", "files_copied", "files_moved", "files_skipped"))]
-    if r["errors"]:
-        lines += [f"Errors: {len(r['errors'])}", *(f"  - {x}" for x in r["errors"][: 5 if verbosity else 0])]
+    if r["error_count"]:
+        lines.append(f"Errors: {r['error_count']:,}, listed in the run's tables")
     return "\n".join([*lines, "", "=== Raw Backup Results ===", f"Files Backed Up: {r['files_backed_up']:,}", f"Total Size: {human_size(r['backup_size'], 'PB')}"])
