@@ -15,6 +15,7 @@ from ..functions import strip
 #: Vendor names that a folder name loses, the first that fits.
 VENDORS = ("NIKON CORPORATION", "NIKON", "Canon", "Sony", "Fujifilm", "Olympus", "Panasonic", "Leica", "DJI")
 MODEL_TAGS = ("Model", "Camera Model Name", "Camera Model")
+GRAM = 3
 KIND = "struct<device_code:string,confidence:double,matched_fields:array<string>>"
 
 
@@ -68,15 +69,58 @@ def detect(tags: Column, config: DeviceMapping, unlisted_last: bool = False) ->
     return F.struct(best["device_code"].alias("device_code"), best["confidence"].alias("confidence"), best["matched_fields"].alias("matched_fields"), model.alias("raw_camera_model"))
 
 
-def supported_devices(config: DeviceMapping) -> list[str]:
-    return sorted({*config.exif_identifiers, *config.mappings.values()})
+def grams(text: Column, n: int) -> Column:
+    """All stretches of n characters, each once."""
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def lint(config: DeviceMapping, spark) -> DataFrame:
-    """One row an issue: issue, subject."""
-    devices = spark.createDataFrame([(x,) for x in supported_devices(config)], "code string")
-    ranked = spark.createDataFrame([(x,) for x in config.priority_rules], "code string")
-    codes = spark.createDataFrame([(x,) for x in [*config.exif_identifiers, *config.mappings.values()]], "code string")
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long) of all pairs of texts (column ``text``, distinct in each) of which the first lies within the second.
+
+    An inverted index: each short text is posted under its rarest trigram (itself, if it is shorter), and long ones look under
+    all of theirs. The empty text lies within none here.
+    """
+    size = lambda: F.least(F.lit(GRAM), F.length("text"))
+    any_size = F.flatten(F.array(*[grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+    looks = long.select(F.col("text").alias("long"), F.explode(any_size).alias("gram"))
+    own = short.where("text != ''").select("text", F.explode(F.when(size() < GRAM, F.array("text")).otherwise(grams(F.col("text"), GRAM))).alias("gram"))
+    common = looks.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    posted = own.join(common, "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return posted.join(looks, "gram").where(F.contains("long", F.col("text"))).select(F.col("text").alias("short"), "long").distinct()
+
+
+def by_model(models: DataFrame, mappings: DataFrame, model_col: str = "model") -> DataFrame:
+    """For each distinct model that a mapping fits: model, device_code, confidence.
+
+    ``mappings``: place, name, device_code. An equal name counts 0.8, one that lies within the model or has it within, upper and lower
+    case alike, 0.6; of several that of the least place. The same as the model rules of ``detect``, as joins: the plan
+    doesn't grow with the number of mappings.
+    """
+    names = mappings.select("place", "name", "device_code")
+    distinct = models.select(F.col(model_col).alias("model")).where("model is not null and model != ''").distinct().withColumn("low", F.lower("model"))
+    first = lambda rows, confidence: rows.groupBy("model").agg(F.min_by("device_code", "place").alias("device_code")).withColumn("confidence", F.lit(confidence))
+    equal = first(distinct.join(names, F.col("model") == F.col("name")), 0.8)
+    rest = distinct.join(equal, "model", "left_anti")
+    low_names, low_models = names.select(F.lower("name").alias("text")).distinct(), rest.select(F.col("low").alias("text")).distinct()
+    pairs = contained(low_names, low_models).toDF("low_name", "low").unionByName(contained(low_models, low_names).toDF("low", "low_name")).distinct()
+    partial = rest.join(pairs, "low").join(names.withColumn("low_name", F.lower("name")), "low_name")
+    return equal.unionByName(first(partial.select("model", "place", "device_code"), 0.6))
+
+
+def supported_devices(codes: DataFrame) -> DataFrame:
+    """Every device that a rule names, once. ``codes``: code, a row a rule."""
+    return codes.select(F.col("code").alias("device")).distinct()
+
+
+def codes_of(config: DeviceMapping, spark) -> DataFrame:
+    """The codes of a setting's identifier rules and mappings, a row a rule."""
+    return spark.createDataFrame([(x,) for x in [*config.exif_identifiers, *config.mappings.values()]], "code string")
+
+
+def lint(codes: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row an issue: issue, subject. ``codes``: a row a rule; ``ranked``: the codes of the priority rules."""
+    devices = codes.select("code").distinct()
     unknown = ranked.join(devices, "code", "left_anti").select(F.lit("unknown priority").alias("issue"), F.col("code").alias("subject"))
     twice = codes.groupBy("code").count().where("count > 1").select(F.lit("duplicate code").alias("issue"), F.col("code").alias("subject"))
     folder = sanitised(F.col("code"))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as c
 from .. import functions as fn
-from ..config import DeviceMapping
-from ..operators import analysis, dedup, device, metadata, plan, scan
+from ..operators import analysis, dedup, device, execute, metadata, plan, scan
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,7 +111,7 @@ def sample_per_type(spark, sf):
 HISTOGRAMS = """
 dims AS (SELECT seq, 'camera' AS dim, Make || ' ' || Model AS value FROM meta UNION ALL SELECT seq, 'lens', LensModel FROM meta UNION ALL SELECT seq, 'lens_make', Model FROM meta UNION ALL SELECT seq, 'software', Make FROM meta
     UNION ALL SELECT seq, 'resolution', ImageWidth::VARCHAR || 'x' || ImageHeight::VARCHAR FROM meta WHERE ImageWidth <> 0 AND ImageHeight <> 0 UNION ALL SELECT seq, 'aperture', FNumber::VARCHAR FROM meta
-    UNION ALL SELECT seq, 'iso', ISO::VARCHAR FROM meta UNION ALL SELECT seq, 'focal_length', trunc(FocalLength)::INT::VARCHAR FROM meta UNION ALL SELECT seq, 'shutter', ExposureTime FROM meta),
+    UNION ALL SELECT seq, 'iso', ISO::VARCHAR FROM meta UNION ALL SELECT seq, 'focal_length', trunc(FocalLength)::INT::VARCHAR FROM meta UNION ALL SELECT seq, 'shutter', ExposureTime FROM meta UNION ALL SELECT seq, 'exposure_bias', bias FROM meta),
 hist AS (SELECT dim, value, count(*) AS n, min(seq) AS first_seq FROM dims WHERE value <> '' GROUP BY dim, value),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY n DESC, first_seq) AS place FROM hist)"""
 HIST = f"WITH {v.SQL_META}, {HISTOGRAMS} SELECT "
@@ -218,14 +217,35 @@ def gps_artist_counts(spark, sf):
     return analysis.presence(v.meta(spark, sf))
 
 
-@query(f"""WITH {v.SQL_META}, {HISTOGRAMS}, {v.SQL_FILES} SELECT f.*, m.*, r.*, t.* FROM (SELECT count(*) AS total_files, sum(size)::BIGINT AS total_size, count(*) FILTER (file_type = 'raw') AS raw_files,
-    count(*) FILTER (file_type = 'jpeg') AS jpeg_files FROM typed) f, (SELECT count(*) AS image_files_analyzed, min(ISO) AS iso_min, max(ISO) AS iso_max FROM meta) m,
-    (SELECT count(*) AS cameras FROM hist WHERE dim = 'camera') r, (SELECT string_agg('ISO' || value || '=' || n, ',' ORDER BY place) AS top_isos FROM ranked WHERE dim = 'iso' AND place <= 5) t""")
+#: The maps and lists of the report, as one text each: value=n by place.
+COUNTED = {"cameras": "camera", "lenses": "lens", "lens_makes": "lens_make", "software": "software", "resolutions": "resolution", "exposure_programs": "exposure_program", "metering_modes": "metering_mode", "flash_usage": "flash", "white_balance": "white_balance", "color_spaces": "color_space", "exposure_compensation": "exposure_bias"}
+TOPS = {"most_used_apertures": ("aperture", "'f/' || printf('%.1f', value::DOUBLE)"), "most_used_isos": ("iso", "'ISO' || value"), "most_used_focal_lengths": ("focal_length", "value || 'mm'"), "common_shutter_speeds": ("shutter", "label")}
+#: The exposure times of the stand-in table and their labels.
+SQL_SHUTTER = "(SELECT *, CASE WHEN dim <> 'shutter' THEN NULL WHEN value LIKE '1/%' THEN value WHEN regexp_full_match(value, '[^/]*/[^/]*') THEN printf('%.2fs', split_part(value, '/', 1)::DOUBLE / split_part(value, '/', 2)::DOUBLE) WHEN try_cast(value AS DOUBLE) IS NULL THEN value WHEN value::DOUBLE >= 1 THEN printf('%.1fs', value::DOUBLE) ELSE '1/' || floor(1 / value::DOUBLE)::BIGINT END AS label FROM ranked)"
+REPORT_TEXTS = ", ".join([f"(SELECT coalesce(string_agg(value || '=' || n, ',' ORDER BY value), '') FROM {'more' if d in analysis.DETAILED else 'hist'} WHERE dim = '{d}') AS {k}" for k, d in COUNTED.items()] + [f"(SELECT string_agg({text} || '=' || n, ',' ORDER BY place) FROM {SQL_SHUTTER} WHERE dim = '{d}' AND place <= 5) AS {k}" for k, (d, text) in TOPS.items()])
+
+
+#: Tags that the stand-in table has as numbers, here as texts.
+NUMBERED = {"exposure_program": "program", "metering_mode": "metering", "flash": "flash", "white_balance": "balance", "color_space": "space"}
+MORE = "more AS (SELECT dim, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{d}' AS dim, 'no ' || {c} AS value FROM meta" for d, c in NUMBERED.items()) + ") GROUP BY ALL)"
+
+
+@query(f"""WITH {v.SQL_META}, {HISTOGRAMS}, {MORE}, {v.SQL_FILES} SELECT f.*, m.*, {REPORT_TEXTS}, image_files_analyzed * 100 / images AS success_rate FROM (SELECT count(*) AS total_files, sum(size)::BIGINT AS total_size, count(DISTINCT parent) AS directories_scanned,
+    count(*) FILTER (file_type = 'raw') AS raw_files, count(*) FILTER (file_type = 'jpeg') AS jpeg_files, count(*) FILTER (file_type = 'video') AS video_files, sum(size) FILTER (file_type = 'raw')::BIGINT AS raw_size, sum(size) FILTER (file_type = 'jpeg')::BIGINT AS jpeg_size, sum(size) FILTER (file_type = 'video')::BIGINT AS video_size,
+    (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT extension || '=' || count(*) AS e FROM typed GROUP BY extension)) AS extensions FROM typed) f,
+    (SELECT count(*) AS image_files_analyzed, min(ISO) AS iso_min, max(ISO) AS iso_max, min(FNumber) AS aperture_min, max(FNumber) AS aperture_max, min(FocalLength) AS focal_min, max(FocalLength) AS focal_max, strftime(min(DateTime), '%Y-%m-%d') AS date_min, strftime(max(DateTime), '%Y-%m-%d') AS date_max,
+    count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS files_with_gps, count(*) FILTER (Artist <> '') AS files_with_artist, count(*) FILTER (Copyright <> '') AS files_with_copyright FROM meta) m, (SELECT count(*)::DOUBLE AS images FROM typed WHERE file_type IN ('raw', 'jpeg')) i""")
 def analysis_report(spark, sf):
-    row = analysis.report(v.files(spark, sf), v.meta(spark, sf), detailed=False)
-    tops = F.array_join(F.transform("most_used_isos", lambda x: F.concat(x["label"], F.lit("="), x["n"].cast("string"))), ",")
-    kinds = F.col("files_by_type")
-    return row.select("total_files", "total_size", kinds["raw"].alias("raw_files"), kinds["jpeg"].alias("jpeg_files"), "image_files_analyzed", "iso_min", "iso_max", F.size("cameras").cast("long").alias("cameras"), tops.alias("top_isos"))
+    meta = v.meta(spark, sf).withColumns({analysis.DETAILED[d]: F.concat(F.lit("no "), F.col(c).cast("string")) for d, c in NUMBERED.items()})
+    row = analysis.report(v.files(spark, sf), meta)
+    pair = lambda name, n: F.concat(name, F.lit("="), n.cast("string"))
+    counted = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,bigint>")))), lambda x: pair(x["key"], x["value"])), ",")
+    listed = lambda c: F.array_join(F.transform(F.col(c), lambda x: pair(x["label"], x["n"])), ",")
+    kinds, sizes = F.col("files_by_type"), F.col("size_by_type")
+    plain = ["total_files", "total_size", "directories_scanned", "image_files_analyzed", "iso_min", "iso_max", "aperture_min", "aperture_max", "focal_min", "focal_max", "date_min", "date_max", "files_with_gps", "files_with_artist", "files_with_copyright", "success_rate"]
+    by_type = [F.coalesce(m[k], F.lit(0)).cast("long").alias(f"{k}_{name}") for m, name in ((kinds, "files"), (sizes, "size")) for k in scan.KINDS]
+    extensions = F.array_join(F.array_sort(F.transform(F.map_entries("file_extensions"), lambda x: pair(x["key"], x["value"]))), ",").alias("extensions")
+    return row.select(*plain, *by_type, extensions, *[counted(c).alias(c) for c in COUNTED], *[listed(c).alias(c) for c in TOPS])
 
 
 # Scalar functions
@@ -279,6 +299,29 @@ def human_size(spark, sf):
     return v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fn.human_size(size).alias("size"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN b < 1125899906842624 THEN printf('%.1f TB', b / 1099511627776) ELSE printf('%.1f PB', b / 1125899906842624) END AS size FROM (SELECT *, (l_extendedprice * 1e11::DOUBLE * (l_quantity + 1)) AS b FROM lineitem)""")
+def human_size_large(spark, sf):
+    size = F.col("l_extendedprice") * F.lit(1e11) * (F.col("l_quantity") + 1)
+    return v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fn.human_size(size, "PB").alias("size"))
+
+
+#: Which of the time tags a document has: bit k of its id stands for the k-th.
+TIME_SQL = ", ".join(f"CASE WHEN (doc_id >> {k}) & 1 = 1 THEN '20{10 + k}:01:0' || (1 + doc_id % 9) || ' 10:00:00' END" for k in range(6))
+
+
+@query(f"""SELECT doc_id, CASE WHEN t IS NULL THEN '' ELSE replace(substr(t, 1, 10), ':', '-') || 'T10:00:00' END AS taken FROM (SELECT doc_id, coalesce({TIME_SQL}) AS t FROM documents)""")
+def first_present_time(spark, sf):
+    day = lambda k: F.concat(F.lit(f"20{10 + k}:01:0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit(" 10:00:00"))
+    there = lambda k: F.shiftright("doc_id", k).bitwiseAND(F.lit(1)) == 1
+    pairs = F.array(*[F.when(there(k), F.struct(F.lit(tag), day(k))) for k, tag in enumerate(metadata.TIME_TAGS)])
+    return v.table(spark, sf, "documents").select("doc_id", metadata.normalise(F.map_from_entries(F.array_compact(pairs)))["DateTime"].alias("taken"))
+
+
+@query(f"""SELECT doc_id, try_strptime(trim(raw), '%Y:%m:%d %H:%M:%S') AS taken FROM (SELECT doc_id, {v.sql_pick(v.TIMES, "doc_id")} AS raw FROM documents)""")
+def exif_timestamp(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", fn.exif_timestamp(v.pick(v.TIMES, F.col("doc_id"))).alias("taken"))
+
+
 # Fingerprints and duplicates
 
 
@@ -401,16 +444,41 @@ def detect_device(spark, sf):
     return v.table(spark, sf, "part").select("p_partkey", found.alias("d")).select("p_partkey", "d.device_code", "d.confidence")
 
 
-@query("SELECT DISTINCT c_mktsegment AS device FROM customer UNION SELECT r_name FROM region")
+MATCHES = """m AS (SELECT DISTINCT c_name AS model FROM customer UNION SELECT p_brand FROM part),
+    r AS (SELECT s_suppkey AS place, substr(s_name, 15) AS name, 'S' || s_suppkey AS code FROM supplier UNION ALL SELECT 1000000 + min(p_partkey), 'the ' || upper(p_brand) || ' II', p_brand FROM part GROUP BY p_brand
+          UNION ALL SELECT 2000000 + min(p_partkey), p_brand, 'own ' || p_brand FROM part WHERE p_size > 25 GROUP BY p_brand),
+    x AS (SELECT model, place, code, CASE WHEN model = name THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS c FROM m JOIN r ON model = name OR contains(lower(model), lower(name)) OR contains(lower(name), lower(model)))"""
+
+
+@query(f"WITH {MATCHES} SELECT model, arg_min(code, {{'c': -c, 'p': place}}) AS device_code, max(c) AS confidence FROM x GROUP BY model")
+def match_models(spark, sf):
+    part, supplier = v.table(spark, sf, "part"), v.table(spark, sf, "supplier")
+    models = v.table(spark, sf, "customer").select(F.col("c_name").alias("model")).union(part.select("p_brand"))
+    brand = lambda rows, at, name, code: rows.groupBy("p_brand").agg(F.min("p_partkey").alias("k")).select((F.col("k") + at).alias("place"), name.alias("name"), code.alias("device_code"))
+    own = F.col("p_brand")
+    mappings = supplier.select(F.col("s_suppkey").alias("place"), F.substring("s_name", 15, 100).alias("name"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("device_code"))
+    mappings = mappings.union(brand(part, 1_000_000, F.concat(F.lit("the "), F.upper(own), F.lit(" II")), own)).union(brand(part.where("p_size > 25"), 2_000_000, own, F.concat(F.lit("own "), own)))
+    return device.by_model(models, mappings)
+
+
+CODES = "c AS (SELECT p_brand AS code FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT r_name FROM region), r AS (SELECT n_name AS code FROM nation UNION ALL SELECT r_name FROM region)"
+
+
+def _codes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Rules and ranks of a setting, from the tables."""
+    column = lambda name, col: v.table(spark, sf, name).select(F.col(col).alias("code"))
+    return column("part", "p_brand").union(column("part", "p_name")).union(column("region", "r_name")), column("nation", "n_name").union(column("region", "r_name"))
+
+
+@query(f"WITH {CODES} SELECT DISTINCT code AS device FROM c")
 def supported_devices(spark, sf):
-    names = lambda name, col: [r[0] for r in v.table(spark, sf, name).select(col).distinct().collect()]
-    config = DeviceMapping({f"model {x}": x for x in names("customer", "c_mktsegment")}, {x: {"Make": x} for x in names("region", "r_name")})
-    return spark.createDataFrame([(x,) for x in device.supported_devices(config)], "device string")
+    return device.supported_devices(_codes(spark, sf)[0])
 
 
-@query("SELECT * FROM (VALUES ('unknown priority', 'Nowhere')) t(issue, subject)")
+@query(f"""WITH {CODES} SELECT 'unknown priority' AS issue, code AS subject FROM r WHERE code NOT IN (SELECT code FROM c) UNION ALL SELECT 'duplicate code', code FROM c GROUP BY code HAVING count(*) > 1
+    UNION ALL SELECT 'altered folder', code FROM (SELECT DISTINCT code FROM c) WHERE contains(code, ' ')""")
 def config_lint(spark, sf):
-    return device.lint(v.DEVICES, spark)
+    return device.lint(*_codes(spark, sf))
 
 
 # Planning
@@ -451,6 +519,14 @@ def plan_collisions(spark, sf):
     return plan.collisions(_ops(spark, sf).withColumn("dest_path", F.regexp_replace("dest_path", "/[^/]*$", "/x")))
 
 
+@query("""SELECT count(*) FILTER (own) AS files_processed, count(*) FILTER (own AND done) AS files_copied, 0::BIGINT AS files_moved, count(*) FILTER (own AND NOT done) AS files_skipped, count(*) FILTER (NOT own AND done) AS files_backed_up,
+    count(*) FILTER (NOT own AND NOT done) AS backup_skipped, sum(CASE WHEN NOT own AND done THEN size ELSE 0 END)::BIGINT AS backup_size, count(*) FILTER (NOT done) AS error_count FROM (SELECT l_returnflag <> 'R' AS own, l_quantity > 3 AS done, floor(l_extendedprice)::BIGINT AS size FROM lineitem)""")
+def execution_totals(spark, sf):
+    done = F.col("l_quantity") > 3
+    rows = v.table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "backup").otherwise("organized").alias("kind"), done.alias("done"), F.floor("l_extendedprice").cast("long").alias("size"), F.when(~done, "no room").alias("error"))
+    return execute.outcome(rows)
+
+
 @query(f"WITH {v.SQL_FILES} SELECT path, CASE WHEN starts_with(path, '/src0/') THEN '/b/' || substr(path, 7) ELSE '/b/' || name END AS backup FROM files")
 def backup_path(spark, sf):
     return v.files(spark, sf).select("path", fn.backup_path(F.lit("/b"), F.lit("/src0"), F.col("path")).alias("backup"))

@@ -41,7 +41,9 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed(spark: SparkSession, sf: str) -> DataFrame:
-    look = F.when(F.col("extension").isin("jpg", "jpeg", "heic", "png"), F.substring(F.md5(F.substring("content", 1, 12).cast("binary")), 1, 16))
+    # of the whole text, and equal for many that differ a little
+    shape = F.concat(F.floor(F.length("content") / 8).cast("string"), F.lit("/"), F.floor(F.length(F.replace("content", F.lit("e"), F.lit(""))) / 4).cast("string"))
+    look = F.when(F.col("extension").isin("jpg", "jpeg", "heic", "png"), F.substring(F.md5(shape.cast("binary")), 1, 16))
     return files(spark, sf).withColumns({"sha256": F.sha2("content", 256), "perceptual": look})
 
 
@@ -67,7 +69,7 @@ def meta(spark: SparkSession, sf: str) -> DataFrame:
         (size * 100).cast("int").alias("ISO"), (F.lit(1.5) + k % 8).alias("FNumber"), (F.col("p_retailprice") / 10).alias("FocalLength"), pick(EXPOSURES, k).alias("ExposureTime"),
         (size * 100).cast("int").alias("ImageWidth"), F.when(size % 7 != 0, (size * 75).cast("int")).alias("ImageHeight"), F.make_timestamp(2000 + size % 20, 1 + k % 12, 1 + k % 28, k % 24, k % 60, F.lit(0)).cast("timestamp_ntz").alias("DateTime"),
         F.when(k % 3 == 0, size * 1.5).alias("GPSLatitude"), F.when(k % 2 == 0, -size * 2.0).alias("GPSLongitude"), F.when(k % 5 == 0, F.col("p_name")).alias("Artist"), F.when(k % 4 == 0, "").otherwise("c").alias("Copyright"),
-        (k % 10).cast("int").alias("program"), (k % 8).cast("int").alias("metering"), (k % 26).cast("int").alias("flash"), (k % 3).cast("int").alias("balance"), pick(["1", "65535", "2"], k).cast("int").alias("space"),
+        (k % 10).cast("int").alias("program"), (k % 8).cast("int").alias("metering"), (k % 26).cast("int").alias("flash"), (k % 3).cast("int").alias("balance"), pick(["1", "65535", "2"], k).cast("int").alias("space"), F.format_string("%+d.0 EV", (k % 5 - 2).cast("int")).alias("ExposureBias"),
     )
 
 
@@ -106,7 +108,7 @@ files AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS extension,
                1700000000 + doc_id * 3600 AS mtime, text AS content FROM documents)),
 typed AS (SELECT *, CASE WHEN extension IN ('mp4', 'mov', 'avi', 'mkv') THEN 'video' WHEN extension IN ('jpg', 'jpeg', 'heic', 'heif') THEN 'jpeg'
           WHEN extension IN ('nef', 'cr3', 'cr2', 'arw', 'dng', 'orf', 'raf', 'rw2') THEN 'raw' ELSE 'unknown' END AS file_type FROM files),
-hashed AS (SELECT *, sha256(content) AS sha256, CASE WHEN extension IN ('jpg', 'jpeg', 'heic', 'png') THEN substr(md5(substr(content, 1, 12)), 1, 16) END AS perceptual FROM typed)"""
+hashed AS (SELECT *, sha256(content) AS sha256, CASE WHEN extension IN ('jpg', 'jpeg', 'heic', 'png') THEN substr(md5((length(content) // 8) || '/' || (length(replace(content, 'e', '')) // 4)), 1, 16) END AS perceptual FROM typed)"""
 
 SQL_RECORDS = (
     SQL_FILES
@@ -122,7 +124,7 @@ meta AS (SELECT p_partkey AS seq, p_type AS Make, p_brand AS Model, p_name AS Le
     make_timestamp(2000 + p_size % 20, 1 + p_partkey % 12, 1 + p_partkey % 28, p_partkey % 24, p_partkey % 60, 0) AS DateTime,
     CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.5::DOUBLE END AS lat, CASE WHEN p_partkey % 2 = 0 THEN -p_size * 2.0::DOUBLE END AS lon,
     CASE WHEN p_partkey % 5 = 0 THEN p_name END AS Artist, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'c' END AS Copyright,
-    (p_partkey % 10)::INT AS program, (p_partkey % 8)::INT AS metering, (p_partkey % 26)::INT AS flash, (p_partkey % 3)::INT AS balance, {sql_pick(["1", "65535", "2"], "p_partkey")}::INT AS space FROM part)"""
+    (p_partkey % 10)::INT AS program, (p_partkey % 8)::INT AS metering, (p_partkey % 26)::INT AS flash, (p_partkey % 3)::INT AS balance, {sql_pick(["1", "65535", "2"], "p_partkey")}::INT AS space, printf('%+d.0 EV', p_partkey % 5 - 2) AS bias FROM part)"""
 
 SQL_CACHE = """
 exif_cache AS (SELECT user_id::VARCHAR AS file_path, epoch_us(ts) // 1000000 AS file_mtime, props AS exif_data, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_date, event_id AS seq FROM events)"""

@@ -212,8 +212,8 @@ def test_devices(spark, tags, code, confidence):
 
 def test_device_lint(spark):
     odd = config.DeviceMapping({"A": "X", "B": "X", "C": "a/b"}, {"X": {"Make": "m"}}, ["X", "Nobody"])
-    assert {tuple(r) for r in device.lint(odd, spark).collect()} == {("unknown priority", "Nobody"), ("duplicate code", "X"), ("altered folder", "a/b")}
-    assert device.supported_devices(odd) == ["X", "a/b"]
+    assert {tuple(r) for r in device.lint(device.codes_of(odd, spark), spark.createDataFrame([(x,) for x in odd.priority_rules], "code string")).collect()} == {("unknown priority", "Nobody"), ("duplicate code", "X"), ("altered folder", "a/b")}
+    assert sorted(r["device"] for r in device.supported_devices(device.codes_of(odd, spark)).collect()) == ["X", "a/b"]
 
 
 def test_classification_precedence(spark):
@@ -233,7 +233,7 @@ def test_hamming_pairs_equal_brute_force(spark):
     base = [rng.getrandbits(64) for _ in range(20)]
     values = base + [b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (0, 1, 3, 5, 9)]
     rows = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)] + [(999, None)], "id long, hash string")
-    for d in (0, 3, 6):
+    for d in (0, 3, 6, 15):
         want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= d}
         assert {tuple(r) for r in dedup.hamming_pairs(rows, d).collect()} == want
 
@@ -298,12 +298,66 @@ def test_upsert_takes_the_last(spark):
     assert {tuple(r) for r in upsert(old, new, ["k"], "seq").collect()} == {("k1", 1), ("k2", 9), ("k3", 3)}
 
 
+@pytest.mark.parametrize("distance, bands", [(15, 4), (15, 8), (15, 16), (7, 3), (3, 4)])
+def test_probing_finds_all_with_few_candidates(spark, monkeypatch, distance, bands):
+    import random
+
+    rng = random.Random(distance)
+    values = {rng.getrandbits(64) for _ in range(600)}
+    values |= {x ^ sum(1 << k for k in rng.sample(range(64), n)) for x in list(values)[:60] for n in (1, distance, distance + 1)} | {0, 2**64 - 1, 2**63}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    edges, spare = [64 * k // bands for k in range(bands + 1)], distance - bands + 1
+    cut = [(lo, hi, spare // bands + (k < spare % bands)) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    rows = spark.createDataFrame([(signed(v),) for v in values], "h long")
+    found = [tuple(r) for r in dedup.hamming_candidates(rows, cut).collect()]
+    assert len(found) == len(set(found))
+    near = {(x, y) for x, y in found if ((x ^ y) & (2**64 - 1)).bit_count() <= distance}
+    order = sorted(map(signed, values))
+    assert near == {(x, y) for i, x in enumerate(order) for y in order[i + 1 :] if ((x ^ y) & (2**64 - 1)).bit_count() <= distance}
+    if (distance, bands) == (15, 4):
+        assert len(found) * 20 < len(values) * (len(values) - 1) / 2
+
+
+def test_bands_follow_the_number_of_values():
+    for count in (10, 2000, 10**6, 10**9):
+        bands = dedup.bands_of(15, count)
+        assert sum(r for *_, r in bands) == 15 - len(bands) + 1 and bands[0][0] == 0 and bands[-1][1] == 64
+    assert len(dedup.bands_of(15, 10**7)) == 4 and len(dedup.bands_of(15, 500)) > 4 and dedup.bands_of(0, 100) == [(0, 64, 0)]
+
+
+def test_model_matching_equals_the_rules(spark):
+    """The index against the compiled expression, with names of every length, several that fit and odd characters."""
+    import random
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcAB 1é") for _ in range(n)).strip()
+    names = list(dict.fromkeys(x for x in (text(rng.randint(1, 6)) for _ in range(80)) if x))
+    models = [text(rng.randint(1, 9)) for _ in range(150)] + names[:10] + ["", None, "%_", "a"]
+    mapping = config.DeviceMapping({n: f"D{i}" for i, n in enumerate(names)}, {}, [])
+    rows = spark.createDataFrame([(m,) for m in models], "model string")
+    table = spark.createDataFrame([(i, n, f"D{i}") for i, n in enumerate(names)], "place long, name string, device_code string")
+    got = {r["model"]: (r["device_code"], r["confidence"]) for r in device.by_model(rows, table).collect()}
+    want = rows.select("model", device._by_model(F.coalesce("model", F.lit("")), mapping).alias("d")).where("d is not null").distinct().collect()
+    assert got == {r["model"]: (r["d"]["device_code"], r["d"]["confidence"]) for r in want} and len(got) > 60
+
+
+def test_ten_thousand_mappings_have_a_plan_of_the_same_size(spark):
+    rows = spark.createDataFrame([("Model 77x",), ("none",)], "model string")
+    size = []
+    for n in (10, 10_000):
+        table = spark.range(n).select(F.col("id").alias("place"), F.concat(F.lit("model "), F.col("id").cast("string")).alias("name"), F.concat(F.lit("D"), F.col("id").cast("string")).alias("device_code"))
+        out = device.by_model(rows, table)
+        size.append(len(out._jdf.queryExecution().optimizedPlan().toString().split("\n")))
+        found = {r["model"]: r["device_code"] for r in out.collect()}
+    assert size[0] == size[1] and found == {"Model 77x": "D7"}
+
+
 def test_configuration(tmp_path, monkeypatch):
     monkeypatch.setenv("PHOTOS", "/photos")
     path = tmp_path / "c.yaml"
     config.write_example(path)
     monkeypatch.setenv("HOME", "/home/x")
-    assert config.load(path).archive_root == "/home/x/Photos/Archive" and config.load(path).devices.priority_rules and set(config.load(path).devices.priority_rules) == set(device.supported_devices(config.load(path).devices))
+    assert config.load(path).archive_root == "/home/x/Photos/Archive" and config.load(path).devices.priority_rules and set(config.load(path).devices.priority_rules) == {*config.load(path).devices.exif_identifiers, *config.load(path).devices.mappings.values()}
     assert config.expand("${PHOTOS}/$PHOTOS/${NOT_SET}") == "/photos//photos/${NOT_SET}"
     for bad in ({"llm": {"provider": "x"}}, {"peek": {"sample_count": 0}}, {"peek": {"max_resolution": 100}}, {"performance": {"batch_size": 0}}, {"file_types": {"raw": []}}, {"peek": {"include_visual_analysis": True}}, {"devices": {"exif_identifiers": {"A": {}}}}):
         with pytest.raises(ValueError):
