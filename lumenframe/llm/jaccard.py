@@ -58,7 +58,7 @@ def shingles(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a chunk's texts, and where each text's begin (with a final bound)."""
     chunk = chunk.lower()
     starts, ends, text = chunk.words()
-    h = chunk.hashes().of(starts, ends)
+    h = chunk.hashes().sure(starts, ends)
     count = np.bincount(text, minlength=len(chunk.start))
     first = np.concatenate([[0], np.cumsum(count)])
     out = mix(h)
@@ -246,26 +246,32 @@ def open_pairs(postings: DataFrame, members: DataFrame, classes: DataFrame, perc
     # a part: the members of a group that lie in one component; part is the least of them
     parts = durable(members.groupBy("n", "grp", "comp").agg(F.min("rep").alias("part")))
     met = postings.join(parts, ["n", "grp"]).select("token", "pos", "n", "comp", "part")
-    for _ in range(2):
-        unlinked = met.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-        met = durable(met.join(small_side(unlinked), "token"))
-        able = met.groupBy("part", "n").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("n"), percent)).select("part")
-        met = met.join(small_side(able), "part")
-    met = durable(met.select("token", "pos", "n", "comp", "part"))
+
+    def unlinked(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+        return durable(rows.join(small_side(several), "token"))
+
+    met = unlinked(met)
+    able = met.groupBy("part", "n").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("n"), percent)).select("part")
+    met = unlinked(met.join(small_side(able), "part").select("token", "pos", "n", "comp", "part"))
 
     least = F.floor((F.col("n") * percent + 99) / 100)
     most = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
     large = met.where(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
     small = met.withColumn("band", band(F.col("n")))
-    keys = ["token", "band", "comp"]
-    one, two = large.select(*keys).distinct().alias("x"), small.select(*keys).distinct().alias("y")
-    sides = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")))
+    fits = lambda nx, ny, left: (ny * 100 >= nx * percent) & (left * (100 + percent) >= (nx + ny) * percent)
+
+    # first components, by what the best of their parts allow, then parts
+    reach = [F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("least"), F.max("n").alias("most")]
+    one, two = (rows.groupBy("token", "band", "comp").agg(*reach).alias(name) for rows, name in ((large, "x"), (small, "y")))
+    left = F.least(F.col("x.left"), F.col("y.left"))
+    able = (F.col("y.least") <= F.col("x.most")) & (F.col("y.most") * 100 >= F.col("x.least") * percent) & (left * (100 + percent) >= (F.col("x.least") + F.col("y.least")) * percent)
+    sides = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & able)
     sides = durable(sides.select("x.token", "x.band", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
     spelled = sides.join(large.withColumnRenamed("comp", "c1"), ["token", "band", "c1"]).alias("x")
-    nx, ny, left = F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (ny <= nx) & (ny * 100 >= nx * percent) & (left * (100 + percent) >= (nx + ny) * percent)
     together = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c2") == F.col("y.comp"))
-    cross = spelled.join(small.alias("y"), together & fits).select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), nx.alias("most")).distinct()
+    nx, ny, left = F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    cross = spelled.join(small.alias("y"), together & (ny <= nx) & fits(nx, ny, left)).select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), nx.alias("most")).distinct()
     # those that share enough of their whole prefixes
     prefix = lambda side: classes.select(F.col("rep").alias(side), F.col("prefix").alias(f"prefix_{side}"))
     shared = F.size(F.array_intersect("prefix_p", "prefix_q"))
