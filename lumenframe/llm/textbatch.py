@@ -43,6 +43,23 @@ def _grow(n: int) -> None:
             _inverse = np.cumprod(np.concatenate([one, np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
 
 
+#: A second hash, modulo a prime: the first, modulo a power of two, is blind to some regular words.
+PRIME = (1 << 31) - 1
+_VALUE = _rng.integers(1, PRIME, 256, dtype=np.int64)
+_BASE2 = int(_rng.integers(1 << 20, PRIME - 1))
+_powers2 = np.ones(1, np.int64)
+_inverse2 = np.ones(1, np.int64)
+
+
+def _grow2(n: int) -> None:
+    """As ``_grow``, modulo the prime."""
+    global _powers2, _inverse2
+    while len(_powers2) < n:
+        size = len(_powers2)
+        _powers2 = np.concatenate([_powers2, _powers2 * pow(_BASE2, size, PRIME) % PRIME])
+        _inverse2 = np.concatenate([_inverse2, _inverse2 * pow(_BASE2, -size, PRIME) % PRIME])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -78,6 +95,7 @@ class Hashes:
     """Hashes of all stretches of an array of bytes, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
+        self.data, self.sums2 = data, None
         _grow(len(data) + 1)
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers[: len(data)])])
@@ -86,6 +104,15 @@ class Hashes:
         with np.errstate(over="ignore"):
             return mix((self.sums[ends] - self.sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
 
+    def sure(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As ``of``, with a second hash of another kind mixed in, for where equal hashes are taken for equal bytes."""
+        if self.sums2 is None:
+            _grow2(len(self.data) + 1)
+            self.sums2 = np.concatenate([np.zeros(1, np.int64), np.cumsum(_VALUE[self.data] * _powers2[: len(self.data)] % PRIME)])
+        second = (self.sums2[ends] - self.sums2[starts]) % PRIME * _inverse2[starts] % PRIME
+        with np.errstate(over="ignore"):
+            return mix(self.of(starts, ends) + second.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     def grams(self, n: int) -> np.ndarray:
         """Of the n bytes from each position on."""
         count = len(self.sums) - n

@@ -69,6 +69,18 @@ def test_words_and_hashes_follow_the_word_pattern(rows):
     assert len({h for x in seen.values() for h in x}) == len(seen)
 
 
+def test_regular_words_have_different_sure_hashes():
+    """The Thue-Morse word and its complement, which any polynomial modulo a power of two takes for equal."""
+    for bits in (10, 11, 12):
+        marks = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        one, two = ("".join("ab"[m ^ k] for m in marks) for k in (0, 1))
+        c = next(textbatch.chunks([one, two, one]))
+        starts, ends, _ = c.words()
+        plain, sure = c.hashes().of(starts, ends), c.hashes().sure(starts, ends)
+        assert plain[0] == plain[1] and sure[0] != sure[1] and sure[0] == sure[2]
+        assert not set(jaccard.shingles(c, 1)[0][:1]) & set(jaccard.shingles(c, 1)[0][1:2])
+
+
 def test_segment_sums():
     values = np.arange(10.0)
     assert textbatch.segment_sums(values, np.array([0, 3, 3, 9]), np.array([3, 3, 10, 10])).tolist() == [3, 0, 42, 9]
