@@ -293,18 +293,24 @@ def followed(docs: DataFrame, in_all: int) -> DataFrame:
     """Of each follower slot: key slot, word the commonest follower's hash, n its hits, m the hits of all; word0, n0 and m0 the same without the texts held out (``held``).
 
     Every pair counts, however batches fall. ``in_all``: tokens of the corpus, from which
-    the number of parts follows, so that a part holds about PAIRS of them, down to one slot.
+    the number of parts follows, so that a part holds about PAIRS of them. A part has some slots and, of their
+    followers, those with some first bits of the hash: the followers of a slot that is met all the time, such as the start
+    of a text, are dealt over 2**word_bits parts, whose commonest are compared in the end.
     """
-    part_bits = min(FOLLOW_BITS, max(PART_BITS, int(in_all // PAIRS).bit_length()))
+    all_bits = max(PART_BITS, int(in_all // PAIRS).bit_length())
+    part_bits = min(FOLLOW_BITS, all_bits - all_bits // 4)
+    word_bits = all_bits - part_bits
     within = FOLLOW_BITS - part_bits
 
     def packed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         slot, word, n, m = summed(*(np.concatenate(x) for x in zip(*((s, w, np.ones(len(s), np.int64), (~x).astype(np.int64)) for s, w, x in pairs))))
-        part = slot >> within
+        part = (slot >> within << word_bits) | (word >> np.uint64(64 - word_bits) if word_bits else np.zeros(len(word), np.uint64)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, slot, word, n, m = part[order], slot[order], word[order], n[order], m[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
         bounds = np.append(cuts, len(slot))
         blob = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-        columns = [pa.array(part[cuts]), blob((slot & ((1 << within) - 1)).astype(np.uint8)), blob(word), blob(n.astype(np.uint32)), blob(m.astype(np.uint32))]
+        columns = [pa.array(part[cuts]), blob((slot & ((1 << within) - 1)).astype(np.uint32)), blob(word), blob(n.astype(np.uint32)), blob(m.astype(np.uint32))]
         return pa.RecordBatch.from_arrays(columns, names=["part", "slot", "word", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,19 +328,23 @@ def followed(docs: DataFrame, in_all: int) -> DataFrame:
             yield packed(pairs)
 
     def commonest(slot: np.ndarray, word: np.ndarray, n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Of each slot the word of most hits (then of the greater hash as text), its hits and all."""
+        """Of each slot the word of most hits (then of the greater hash as text), its hits, its place among equals, and all hits."""
         top = np.lexsort((word.byteswap(), n, slot))[np.append(first[1:], len(slot)) - 1]
-        return [word[top].view(np.int64), n[top], np.add.reduceat(n, first)]
+        place = (word[top].byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+        return [word[top].view(np.int64), n[top], place, np.add.reduceat(n, first)]
 
     def best(rows: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-        slot, word, n, m = summed(whole("slot", np.uint8), whole("word", np.uint64), *(whole(x, np.uint32).astype(np.int64) for x in "nm"))
+        slot, word, n, m = summed(whole("slot", np.uint32), whole("word", np.uint64), *(whole(x, np.uint32).astype(np.int64) for x in "nm"))
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        key = (rows["part"][0].as_py() << within) | slot[first].astype(np.int64)
-        return pa.Table.from_arrays([pa.array(x) for x in (key, *commonest(slot, word, n, first), *commonest(slot, word, m, first))], names=["key", "word", "n", "m", "word0", "n0", "m0"])
+        key = (rows["part"][0].as_py() >> word_bits << within) | slot[first].astype(np.int64)
+        return pa.Table.from_arrays([pa.array(x) for x in (key, *commonest(slot, word, n, first), *commonest(slot, word, m, first))], names=["key", "word", "n", "place", "m", "word0", "n0", "place0", "m0"])
 
     pairs = docs.select("text", "held").mapInArrow(run, "part long, slot binary, word binary, n binary, m binary")
-    return durable(pairs.groupBy("part").applyInArrow(best, "key long, word long, n long, m long, word0 long, n0 long, m0 long"))
+    parts = pairs.groupBy("part").applyInArrow(best, "key long, word long, n long, place long, m long, word0 long, n0 long, place0 long, m0 long")
+    top = lambda k: F.max(F.struct(f"n{k}", f"place{k}", f"word{k}")).alias(f"top{k}")
+    slots = parts.groupBy("key").agg(top(""), F.sum("m").alias("m"), top("0"), F.sum("m0").alias("m0"))
+    return durable(slots.select("key", "top.word", "top.n", "m", "top0.word0", "top0.n0", "m0"))
 
 
 def add_counts(cells: np.ndarray, words: list[bytes], n: np.ndarray) -> None:
@@ -408,13 +418,8 @@ def dense(rows: DataFrame, size: int) -> np.ndarray:
 
 def follower_tables(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Of each slot (key, word, n, m) the commonest follower's hash, if it was seen more than once in all, and as ``slot_values`` how often it follows."""
-    best = found.where("n > 1")
-    # both counts in one number, each capped
-    capped = lambda n: F.least(n, F.lit((1 << 31) - 1)).cast("long")
-    both = F.shiftleft(capped(F.col("m")), 32).bitwiseOR(capped(F.col("n")))
-    followers, packed = dense(best.select(F.col("key").alias("slot"), F.col("word").alias("a"), both.alias("b")), 1 << FOLLOW_BITS)
-    n = (packed & 0xFFFFFFFF).astype(float)
-    return followers.view(np.uint64), slot_values(n, (packed >> 32) - n)
+    followers, n, m = dense(found.where("n > 1").select(F.col("key").alias("slot"), "word", "n", "m"), 1 << FOLLOW_BITS)
+    return followers.view(np.uint64), slot_values(n.astype(float), (m - n).astype(float))
 
 
 def sgd(w: np.ndarray, power: np.ndarray, x: np.ndarray, s: np.ndarray, y: np.ndarray, rate: float) -> None:
