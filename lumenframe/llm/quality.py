@@ -7,8 +7,8 @@ labels. Vectors and output weights are learned together by stochastic gradient
 descent in numpy.
 
 Scale: the model is learned in one task from at most ``sample`` labelled rows, those with
-the least digests of their ids, on whole texts; the driver gets the model alone. Its size
-is fixed. Since the output is linear in the mean, scoring needs one number a feature:
+the least digests of their ids: executors make their features, from whole texts, and the task gets
+those. The driver gets the model alone. Its size is fixed. Since the output is linear in the mean, scoring needs one number a feature:
 a narrow pass over whole texts, in Arrow batches, without a shuffle.
 
 Edge cases: null and empty texts have no features and get the model's bias as score;
@@ -90,20 +90,27 @@ def train(texts: list[str], labels: np.ndarray, bits: int = BITS, dim: int = DIM
     mean about as far whether a text has few features or many (``reach`` at most). Few
     texts are passed more often, for ``LEAST_STEPS`` steps at least.
     """
-    if not len(texts):
+    return train_bags([bag(text, bits) for text in texts], labels, bits, dim, epochs, rate, reach, seed)
+
+
+def bag(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a text and their shares."""
+    numbers = np.concatenate([x for c in chunks([text]) for x in features(c, bits)[0]])
+    found, counts = np.unique(numbers, return_counts=True)
+    return found, (counts / max(1, counts.sum())).astype(np.float32)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, reach: float = REACH, seed: int = SEED) -> Model:
+    """As ``train``, from the texts' features."""
+    if not len(bags):
         return Model(np.zeros((1 << bits) + 1, np.float32), 0.0)
-    bags = []
-    for text in texts:
-        numbers = np.concatenate([x for c in chunks([text]) for x in features(c, bits)[0]])
-        found, counts = np.unique(numbers, return_counts=True)
-        bags.append((found, (counts / max(1, counts.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << bits) + 1, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.log(np.bincount(labels, minlength=2) + 1.0).astype(np.float32)
-    epochs = max(epochs, -(-LEAST_STEPS // len(texts)))
-    steps, done = epochs * len(texts), 0
+    epochs = max(epochs, -(-LEAST_STEPS // len(bags)))
+    steps, done = epochs * len(bags), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(texts)):
+        for i in rng.permutation(len(bags)):
             found, share = bags[i]
             mean = share @ vectors[found]
             z = mean @ out + bias
@@ -124,18 +131,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("long").alias("_label"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = texts.join(F.broadcast(rows), "_id").orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(sample).select("_text", "_label")
+    found = texts.join(F.broadcast(rows), "_id").select(F.xxhash64("_id").alias("h1"), F.xxhash64("_text").alias("h2"), "_label", "_text")
+    bits = settings.get("bits", BITS)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                numbers, shares = bag(text, bits)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([numbers]), pa.array([shares])], names=["h1", "h2", "label", "numbers", "shares"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
+        bags, marks = [], []
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            marks += batch.column(1).to_pylist()
-        model = train(texts, np.array(marks, np.int64), **settings)
+            bags += [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(3), batch.column(4))]
+            marks += batch.column(2).to_pylist()
+        model = train_bags(bags, np.array(marks, np.int64), **settings)
         yield pa.RecordBatch.from_arrays([pa.array([model.worth.tobytes()], pa.binary()), pa.array([model.bias])], names=["worth", "bias"])
 
+    # whole texts become features where they lie; the learning task gets those alone
+    made = long_rows(found).mapInArrow(make, "h1 long, h2 long, label long, numbers array<int>, shares array<float>").orderBy("h1", "h2").limit(sample)
     # coalesce: an empty sample has no partition
-    model = long_rows(found).coalesce(1).mapInArrow(learn, "worth binary, bias double").head()
+    model = made.coalesce(1).mapInArrow(learn, "worth binary, bias double").head()
     return Model(np.frombuffer(model["worth"], np.float32), model["bias"]) if model else train([], np.zeros(0, np.int64), **settings)
 
 
