@@ -8,9 +8,10 @@ rejected. Additive smoothing keeps both defined. Documents that fail the base ru
 
 Scale: one pass counts both multinomials into ``buckets`` sums, combined before the
 shuffle; the ratios (one double a bucket, a fixed size) come back to the second pass
-as one array literal. No text and no row of a document is shuffled. Everything is
-DataFrame functions; per-document work stays inside the row, in O(n log n) for n
-words. The trusted ids are broadcast only if a count shows that they are few.
+as one array literal. No text is shuffled as long as the trusted ids take at most 32 MB, when they are
+broadcast; beyond that the counting pass joins texts with them by id, which shuffles the texts once (the scoring
+pass never does). Everything is DataFrame functions; per-document work stays inside the row, in O(n log n) for n
+words.
 
 Edge cases: null and empty texts have no words, score 0.0 and fail the base rules;
 without any trusted document all scores are 0.0; repeated rows count each; a
