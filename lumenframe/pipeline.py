@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .catalog import Catalog, record
 from .config import FileTypes, IngestConfig
@@ -73,8 +74,8 @@ def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, c
     catalog = Catalog(spark, catalog_root)
     files = scanned(spark, source, config.file_types, catalog if config.performance.incremental_processing else None)
     files = tags_of(files, catalog if config.performance.cache_exif else None, exiftool, False)
-    hashed = files.mapInPandas(_digests, files.drop("tags").schema.add("sha256", "string").add("tags", files.schema["tags"].dataType)).where("sha256 is not null").withColumn("perceptual", F.lit(None).cast("string"))
-    hashed = written(hashed)
+    hashed = files.mapInPandas(_fingerprints, files.drop("tags").schema.add("sha256", "string").add("grey", ArrayType(DoubleType())).add("tags", files.schema["tags"].dataType))
+    hashed = written(hashed.where("sha256 is not null").withColumn("perceptual", dedup.average_hash(F.col("grey"))).drop("grey"))
     known, paths = catalog.read("file_records"), catalog.read("file_paths")
     compared = dedup.against_catalog(dedup.within_batch(hashed).withColumnsRenamed({"status": "batch", "existing_file": "_first"}), known, paths)
     status = F.when(F.col("batch") == "duplicate", "duplicate").otherwise(F.col("status"))
@@ -115,15 +116,22 @@ def resume(spark: SparkSession, catalog_root: str) -> list[tuple[str, DataFrame]
     return out
 
 
-def _digests(frames):
+def _fingerprints(frames):
+    """Digests of the files' bytes, and grey values of those that may have a perceptual hash; a file that can't be read has neither."""
     import hashlib
 
+    from .sources.grey import grey_values
+
     for frame in frames:
-        found = []
-        for path in frame["path"]:
+        digests, greys = [], []
+        for path, ext in zip(frame["path"], frame["extension"]):
+            digest = grey = None
             try:
                 with open(path, "rb") as file:
-                    found.append(hashlib.file_digest(file, "sha256").hexdigest())
+                    digest = hashlib.file_digest(file, "sha256").hexdigest()
+                    grey = grey_values(file) if ext in scan.HASHED else None
             except OSError:
-                found.append(None)
-        yield frame.drop(columns=["tags"]).assign(sha256=found, tags=frame["tags"])
+                pass
+            digests.append(digest)
+            greys.append(grey)
+        yield frame.drop(columns=["tags"]).assign(sha256=digests, grey=greys, tags=frame["tags"])

@@ -252,3 +252,22 @@ def test_a_source_stays_where_its_copy_is_broken(spark, tmp_path):
     (tmp_path / "out/a.jpg").write_bytes(b"b" * 50)
     row = execute.removals(ops, done).head()
     assert not row["done"] and "isn't intact" in row["error"] and (tmp_path / "a.jpg").exists()
+
+
+def test_a_rescaled_copy_is_similar(spark, tmp_path):
+    """A smaller picture of a scene in the catalog: similar, as soon as a record has its size in bytes; another scene is new."""
+    from test_grey import jpeg, scene
+
+    def padded(content, size):
+        return content + b"\0" * (size - len(content))
+
+    touch(tmp_path / "one/a.jpg", padded(jpeg(scene(320, 240, 1), quant=4), 60_000))
+    settings = config.IngestConfig(str(tmp_path / "archive"))
+    run = lambda folder: ingest(spark, str(tmp_path / folder), "Trip", settings, str(tmp_path / "catalog"), str(tmp_path / "backup"), organized_only=True)
+    run("one")
+    records = Catalog(spark, str(tmp_path / "catalog")).read("file_records").collect()
+    assert [len(r["perceptual_hash"]) for r in records] == [16]
+    touch(tmp_path / "two/small.jpg", padded(jpeg(scene(160, 120, 1), quant=6), 60_000))
+    touch(tmp_path / "two/other.jpg", padded(jpeg(scene(320, 240, 5), quant=4), 60_000))
+    ops, _ = run("two")
+    assert {os.path.basename(r["source_path"]): r["status"] for r in ops.collect()} == {"small.jpg": "similar", "other.jpg": "new"}
