@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from . import report
-from .config import ConfigurationError, FileTypes, IngestConfig, RawBackupConfig, check_source, load, unique_backup_directory
+from .config import ConfigurationError, FileTypes, IngestConfig, PeekConfig, RawBackupConfig, check_source, load, unique_backup_directory
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,7 +20,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--config")
     for flag in ("--json", "--peek", "--exif-only", "--summary"):
         a.add_argument(flag, action="store_true")
-    a.add_argument("--samples", type=int, default=5)
+    a.add_argument("--samples", type=int, default=5, help="files of each kind that --peek shows")
+    a.add_argument("--describe", metavar="MODULE:FUNCTION", help="with --peek: a function from a file's path to a note on it")
     a.add_argument("--exiftool", action="store_true", help="read tags with the external tool where it is installed")
     a.add_argument("--workers", type=int, default=4)
     a.add_argument("--catalog", help="a catalog whose caches spare listing unchanged directories and opening known files")
@@ -55,24 +57,28 @@ def _fail(text: str) -> int:
 
 
 def analyze(args: argparse.Namespace) -> int:
-    from .pipeline import analyse
+    from .pipeline import analyse, describer, peek, scan_directory
 
     if args.peek and args.exif_only:
         return _fail("--peek and --exif-only exclude each other")
     good, why = check_source(args.folder)
     if not good:
         return _fail(why)
-    types = FileTypes()
+    types, settings = FileTypes(), PeekConfig()
     if args.config or args.peek:
         try:
-            types = load(args.config).file_types
+            found = load(args.config)
+            types, settings = found.file_types, found.peek
         except ConfigurationError as e:
             if not args.quiet:
                 print(f"Settings ignored: {e}", file=sys.stderr)
-    row = analyse(_spark(args.workers), args.folder, types, args.detailed, args.exiftool, args.catalog).head()
-    if args.peek and not args.quiet:
-        print("Visual analysis is not available", file=sys.stderr)
+    spark = _spark(args.workers)
+    row = analyse(spark, args.folder, types, args.detailed, args.exiftool, args.catalog).head()
     print(report.as_json(row) if args.json else report.one_line(row) if args.summary else report.human_readable(row, args.detailed) if args.verbose else report.plain(row))
+    if args.peek and settings.enabled:
+        files = scan_directory(spark, args.folder, types).where("error is null")
+        shown = peek(files, replace(settings, sample_count=args.samples), describer(args.describe) if args.describe else None)
+        print(report.peek_text(shown.orderBy("file_type", "seq").collect()))
     return 0 if row["total_files"] else _fail("no file here is of a supported type")
 
 

@@ -62,6 +62,11 @@ class FileTypes:
 
 @dataclass
 class LLMConfig:
+    """Settings of a language model that a describer (``analyze --describe``) may read; the library calls none.
+
+    The provider, its address and the bounds are fixed values.
+    """
+
     enabled: bool = False
     provider: str = "ollama"
     endpoint: str = "http://localhost:11434/api/generate"
@@ -105,6 +110,8 @@ class RawBackupConfig:
 
 @dataclass
 class PerformanceConfig:
+    """``batch_size`` and ``memory_mapped_hashing`` are accepted and have no effect: Spark deals the rows, and files are hashed as they are read."""
+
     parallel_workers: int = 4
     batch_size: int = 100
     cache_exif: bool = True

@@ -71,11 +71,3 @@ def chosen(tags: Column) -> Column:
     """The metadata of a file (path, size, modified_time): from its tags, else from the file system."""
     return F.when(F.size(tags) > 0, normalise(tags)).otherwise(from_file(F.col("modified_time"), F.col("size"), F.col("path")))
 
-
-def extract(files: DataFrame, cache: DataFrame, reader: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Files with ``meta``: from the cache, else from ``reader`` (path, mtime -> tags) over the misses, else from the file system."""
-    rows = cached(files, cache)
-    if reader is not None:
-        fresh = reader(rows.where("tags is null").drop("tags")).select("path", "mtime", F.col("tags").alias("_fresh"))
-        rows = rows.join(fresh, ["path", "mtime"], "left").withColumn("tags", F.coalesce("tags", F.when(F.size("_fresh") > 0, F.col("_fresh")))).drop("_fresh")
-    return rows.withColumn("meta", chosen(F.col("tags")))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from importlib import import_module
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .catalog import Catalog, record
-from .config import FileTypes, IngestConfig
+from .config import FileTypes, IngestConfig, PeekConfig
 from .durable import written
 from .functions import decode, exif_timestamp, bias_label, safe_float, safe_int
 from .operators import analysis, dedup, device, execute, metadata, plan, scan
@@ -65,6 +68,36 @@ def analyse(spark: SparkSession, path: str, types: FileTypes = FileTypes(), deta
     return analysis.report(files, typed(meta.where(known)), detailed)
 
 
+def peek(files: DataFrame, settings: PeekConfig, describe: Callable[[str], str] | None = None) -> DataFrame:
+    """A few files of each kind, the first by path: file_type, path, size, camera, taken, note.
+
+    ``describe`` tells something of a picture from its path, in tasks; where it fails, the note is its error.
+    """
+    some = scan.sample_per_group(files.where(F.col("extension").isin(settings.supported_formats)), "file_type", settings.sample_count)
+    rows = typed(with_tags(some.select("seq", "file_type", "path", "size"), detailed=False))
+    rows = rows.select("seq", "file_type", "path", "size", analysis.camera(F.col("Make"), F.col("Model")).alias("camera"), F.date_format("DateTime", "yyyy-MM-dd").alias("taken"))
+
+    def noted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            notes = []
+            for path in frame["path"]:
+                try:
+                    notes.append(str(describe(path)))
+                except Exception as e:  # whatever a describer raises is about one picture
+                    notes.append(f"not described: {e}")
+            yield frame.assign(note=notes)
+
+    if describe is None:
+        return rows.withColumn("note", F.lit(None).cast("string"))
+    return rows.mapInPandas(noted, StructType([*rows.schema, StructField("note", StringType())]))
+
+
+def describer(name: str) -> Callable[[str], str]:
+    """The function that ``module:function`` names."""
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
 def ingest(spark: SparkSession, source: str, event: str, config: IngestConfig, catalog_root: str, backup: str, dry_run: bool = False, copy: bool = True, raw_only: bool = False, organized_only: bool = False, exiftool: bool = False) -> tuple[DataFrame, DataFrame]:
     """(operations, outcome): scan, fingerprint, classify, plan, and unless it is a dry run carry out and record.
 

@@ -77,10 +77,23 @@ def test_analysis_of_a_directory(spark, tree, capsys):
     assert [tuple(x) for x in row["most_used_isos"]] == [("ISO400", 3), ("ISO800", 1)] and row["common_shutter_speeds"][0]["label"] == "1/250"
     for text in (report.human_readable(row), report.plain(row), report.one_line(row), report.as_json(row)):
         assert "NIKON" in text
-    assert "(3:2" in report.human_readable(row)
+    assert "3:2" in report.human_readable(row)
     assert cli.main(["analyze", str(tree), "--peek", "--exif-only"]) == 1 and cli.main(["analyze", str(tree / "nowhere")]) == 1
 
 
+def test_peek_shows_samples_and_notes(spark, tree, capsys):
+    from lumenframe.pipeline import describer, peek
+
+    files = scan_directory(spark, str(tree)).where("error is null")
+    rows = peek(files, config.PeekConfig(sample_count=2), describer("os.path:basename")).collect()
+    got = [(r["file_type"], r["note"], r["camera"]) for r in sorted(rows, key=lambda r: r["seq"])]
+    assert got == [("jpeg", ".hid.jpg", None), ("jpeg", "A.JPG", "NIKON CORPORATION NIKON Z 6"), ("raw", "_DSC0001.NEF", "NIKON Z 6")]
+    failing = peek(files, config.PeekConfig(sample_count=1), lambda path: 1 / 0).collect()
+    assert all(r["note"] == "not described: division by zero" for r in failing) and len(failing) == 2
+    text = report.peek_text(rows)
+    assert "A.JPG: jpeg" in text and "2023-12-01" in text
+
+
 def test_report_without_images_is_empty(spark, tmp_path):
     (tmp_path / "v.mp4").write_bytes(b"x")
     row = analyse(spark, str(tmp_path)).head()
