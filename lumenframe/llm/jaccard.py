@@ -254,24 +254,22 @@ def open_pairs(postings: DataFrame, members: DataFrame, classes: DataFrame, perc
     met = unlinked(met)
     able = met.groupBy("part", "n").agg(F.count("*").alias("met")).where(F.col("met") >= enough(F.col("n"), percent)).select("part")
     met = unlinked(met.join(small_side(able), "part").select("token", "pos", "n", "comp", "part"))
+    # the sizes that a partner may have: from its similarity, and from what is left after this shingle; joins compare these plain numbers
+    low, cap = F.floor((F.col("n") * percent + 99) / 100), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    met = durable(met.select("token", "comp", "part", "n", low.alias("low"), cap.alias("cap"), band(F.col("n")).alias("band"), band(low).alias("from"), band(F.greatest(F.least(F.col("n"), cap), F.lit(1))).alias("to")))
 
-    least = F.floor((F.col("n") * percent + 99) / 100)
-    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
-    large = met.where(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
-    small = met.withColumn("band", band(F.col("n")))
-    fits = lambda nx, ny, left: (ny * 100 >= nx * percent) & (left * (100 + percent) >= (nx + ny) * percent)
-
+    large = durable(met.where("low <= cap").select("token", "comp", "part", "n", "low", "cap", F.explode(F.sequence("from", "to")).alias("band")))
+    small = met.where("n <= cap").select("token", "comp", "part", "n", "low", "cap", "band")
     # first components, by what the best of their parts allow, then parts
-    reach = [F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("least"), F.max("n").alias("most")]
-    one, two = (rows.groupBy("token", "band", "comp").agg(*reach).alias(name) for rows, name in ((large, "x"), (small, "y")))
-    left = F.least(F.col("x.left"), F.col("y.left"))
-    able = (F.col("y.least") <= F.col("x.most")) & (F.col("y.most") * 100 >= F.col("x.least") * percent) & (left * (100 + percent) >= (F.col("x.least") + F.col("y.least")) * percent)
-    sides = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & able)
-    sides = durable(sides.select("x.token", "x.band", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
+    reach = [F.max("cap").alias("cap"), F.min("low").alias("low"), F.min("n").alias("least"), F.max("n").alias("most")]
+    one, two = (durable(rows.groupBy("token", "band", "comp").agg(*reach)).alias(name) for rows, name in ((large, "x"), (small, "y")))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+    able = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.least") <= F.col("x.cap")) & (F.col("x.least") <= F.col("y.cap")) & (F.col("y.most") >= F.col("x.low")) & (F.col("y.least") <= F.col("x.most"))
+    sides = durable(one.join(two, same & able).select("x.token", "x.band", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")))
     spelled = sides.join(large.withColumnRenamed("comp", "c1"), ["token", "band", "c1"]).alias("x")
-    together = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c2") == F.col("y.comp"))
-    nx, ny, left = F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    cross = spelled.join(small.alias("y"), together & (ny <= nx) & fits(nx, ny, left)).select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), nx.alias("most")).distinct()
+    fits = (F.col("y.n") <= F.col("x.n")) & (F.col("y.n") >= F.col("x.low")) & (F.col("y.n") <= F.col("x.cap")) & (F.col("x.n") <= F.col("y.cap"))
+    cross = spelled.join(small.alias("y"), same & (F.col("x.c2") == F.col("y.comp")) & fits)
+    cross = durable(cross.select(F.least("x.part", "y.part").alias("p"), F.greatest("x.part", "y.part").alias("q"), F.col("x.n").alias("most"))).distinct()
     # those that share enough of their whole prefixes
     prefix = lambda side: classes.select(F.col("rep").alias(side), F.col("prefix").alias(f"prefix_{side}"))
     shared = F.size(F.array_intersect("prefix_p", "prefix_q"))
