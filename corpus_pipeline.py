@@ -7,6 +7,8 @@ columns of ``docs``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +20,23 @@ from lumenframe.llm.common import durable, read
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def decided(docs: DataFrame, rate: Callable[[DataFrame], DataFrame], accepted: str) -> DataFrame:
+    """The rows that ``rate`` finds ``accepted``, as they were: it sees ids and texts alone, so that no column's name clashes with its own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rows = rate(docs.select("doc_id", "text", F.struct(*others, F.lit(0)).alias("_others"))).where(accepted)
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_others.`{c}`") for c in docs.columns])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from labelled ones outside its held-out fold."""
     fold = quality.folds(F.col("doc_id"), 5)
     model = quality.fit(docs.where(fold != 0), read(spark, sf_dir, "labels").where(fold != 0))
-    return quality.rate(docs, model).where("predicted = 1").select(*docs.columns)
+    return decided(docs, lambda rows: quality.rate(rows, model), "predicted = 1")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and look like the trusted ones."""
-    return rules.rate(docs, rules.trusted_ids(read(spark, sf_dir, "labels"))).where("kept").select(*docs.columns)
+    return decided(docs, lambda rows: rules.rate(rows, rules.trusted_ids(read(spark, sf_dir, "labels"))), "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
