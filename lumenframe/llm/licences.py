@@ -18,7 +18,7 @@ shuffle, built from DataFrame functions alone. Most texts share few bigrams with
 template and are read once.
 
 Edge cases: null and empty texts, and units of fewer than two words, match nothing;
-ties go to the template that comes first by name; repeated rows get equal results;
+ties go to the template of most bigrams, then to the first by name; repeated rows get equal results;
 extra columns pass through, and those named like an added column are replaced.
 """
 
@@ -102,20 +102,20 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TE
         return F.transform(starts, lambda i: F.array_distinct(F.slice(pairs, i + 1, t["width"])))
 
     def matches(text: Column, pairs: Column) -> Column:
-        """(minus the best dice, name) of the templates that any unit matches."""
+        """(minus the best dice, minus the bigrams, name) of the templates that any unit matches; of equal ones the longest comes first."""
         own = F.array_distinct(F.filter(pairs, lambda x: x.isin(vocabulary)))
         enough = lambda grams: F.filter(table, lambda t: (F.size(grams) >= t["size"] * share - 1e-9) & (F.size(F.array_intersect(grams, t["grams"])) >= t["size"] * share - 1e-9))
         units = F.concat(F.array(F.array_distinct(pairs)), F.transform(F.split(text, "\n"), lambda u: F.array_distinct(bigrams(normalised(u)))))
 
         def all_units(fits: Column) -> Column:
             best = lambda units, t: F.array_max(F.transform(F.concat(units, windows(pairs, t)), lambda g: against(g, t)))
-            scored = let(units, lambda u: F.transform(fits, lambda t: F.struct((-best(u, t)).alias("minus"), t["name"].alias("name"))))
+            scored = let(units, lambda u: F.transform(fits, lambda t: F.struct((-best(u, t)).alias("minus"), (-t["size"]).alias("less"), t["name"].alias("name"))))
             return F.when(F.size(fits) > 0, F.filter(scored, lambda s: s["minus"] <= -threshold))
 
         return let(let(own, enough), all_units)
 
     text = text_or_empty(F.col(f"_row.`{text_col}`"))
-    found = let(bigrams(normalised(text)), lambda pairs: matches(text, pairs)) if known else F.lit(None).cast("array<struct<minus:double,name:string>>")
+    found = let(bigrams(normalised(text)), lambda pairs: matches(text, pairs)) if known else F.lit(None).cast("array<struct<minus:double,less:int,name:string>>")
     rows = keep_row(docs).select("_row", found.alias("_found")).withColumn("_best", F.array_min("_found"))
     added = {"licence": F.col("_best.name"), "dice": -F.col("_best.minus"), "n_matches": F.coalesce(F.size("_found"), F.lit(0)).cast("long")}
     return unpack(rows, docs.columns, added)

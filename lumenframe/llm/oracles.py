@@ -55,9 +55,9 @@ known AS (SELECT name, unnest(grams) AS gram, width, block FROM t),
 start AS (SELECT doc_id, name, any_value(width) AS width, min(i) AS i FROM spot JOIN known USING (gram) GROUP BY doc_id, name, i // block),
 unit AS (SELECT doc_id, name, p[i + 1 : i + width] AS p FROM start JOIN whole USING (doc_id)
          UNION ALL SELECT doc_id, name, p FROM (FROM whole UNION ALL FROM line), t WHERE list_has_any(p, grams)),
-d AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(list_distinct(p), grams)) / (len(list_distinct(p)) + len(grams)) AS dice FROM unit JOIN t USING (name)),
-m AS (SELECT doc_id, name, max(dice) AS dice FROM d WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, name),
-g AS (SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(*) AS n_matches FROM m GROUP BY doc_id)
+d AS (SELECT doc_id, name, len(grams) AS size, 2.0::DOUBLE * len(list_intersect(list_distinct(p), grams)) / (len(list_distinct(p)) + len(grams)) AS dice FROM unit JOIN t USING (name)),
+m AS (SELECT doc_id, name, size, max(dice) AS dice FROM d WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, name, size),
+g AS (SELECT doc_id, arg_min(name, (-dice, -size, name)) AS licence, max(dice) AS dice, count(*) AS n_matches FROM m GROUP BY doc_id)
 SELECT doc_id, licence, dice, coalesce(n_matches, 0)::BIGINT AS n_matches FROM documents LEFT JOIN g USING (doc_id)
 """
 

@@ -534,8 +534,8 @@ def brute_licence(text):
                 units.append(pairs[i : i + words - 1])
         dice = max(2 * len(set(u) & set(b)) / (len(set(u)) + len(b)) for u in units)
         if dice >= 0.8:
-            best[name] = dice
-    d, name = min(((-d, n) for n, d in best.items()), default=(None, None))
+            best[name] = dice, len(b)
+    d, _, name = min(((-d, -size, n) for n, (d, size) in best.items()), default=(None, None, None))
     return name, d and -d, len(best)
 
 
@@ -557,6 +557,12 @@ def test_licences_equal_brute_force(spark, docs, rows, none):
     assert licences.scan(none).count() == 0
 
 
+def test_a_whole_licence_is_named_before_its_parts(spark):
+    rows = [(i, f"{'some words of prose ' * 20}\n{licences.TEMPLATES['mit-text']}\n{'and more ' * 20}") for i in range(3)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["licence"], r["dice"]) for r in found] == [("mit-text", 1.0)] * 3 and found[0]["n_matches"] >= 2
+
+
 def test_notices_are_found_anywhere_in_a_document(spark):
     rng = np.random.default_rng(8)
     prose = lambda n: " ".join(rng.choice("the of this software is in a wind over sea under hill copy".split(), n))
