@@ -19,7 +19,7 @@ A compared row carries the places that its vector visits, so that a pair is coun
 the first place where it meets and in no other: places return a count and a local
 component for each vector, never pairs, however dense a ball of near vectors is. A
 task holds a unit, about ``unit_rows`` vectors, and compares it in blocks of rows; only
-beyond ``MOST_BLOCKS`` blocks (12.8 million distinct vectors in one leaf) do units grow. A
+beyond ``MOST_BLOCKS`` blocks (51 million distinct vectors in one leaf) do units grow. A
 ball that no cut divides costs the square of its distinct vectors in comparisons.
 Components are formed from one edge a vector and place.
 
@@ -52,11 +52,11 @@ SEED = 3
 BLOCK = 1024
 #: A unit has two blocks of a hot leaf.
 UNIT_ROWS = 50_000
-MOST_BLOCKS = 512
+MOST_BLOCKS = 2048
 #: A split must leave at most this share of the pairs to compare.
 GAIN = 0.8
 #: A place is its tree, leaf, unit and part, as bits of one number.
-LEAF_BITS, UNIT_BITS, PART_BITS = 20, 18, 19
+LEAF_BITS, UNIT_BITS, PART_BITS = 20, 22, 15
 
 
 @dataclass
