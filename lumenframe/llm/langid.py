@@ -278,13 +278,14 @@ def train(texts: list[str], names: list[str], bits: int = BITS, rounds: int = RO
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, **settings) -> Model:
-    """Learn from a bounded sample of the labelled texts given, spread over all languages: the short ones with the least digests, then pieces of long ones."""
+    """Learn from a bounded sample of the labelled texts given, spread over all languages: those with the least digests; of a long one a piece, which begins where its digest says."""
     text = F.col(text_col)
-    rows = docs.select(F.substring(text, 1, sample_chars).alias("_text"), F.col(lang_col).alias("_lang"), (F.length(text) > sample_chars).alias("_long"))
+    start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - sample_chars + 1, F.lit(1))) + 1
+    rows = docs.select(F.substring(text, start.cast("int"), F.lit(sample_chars)).alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").rlike("\\p{L}")).withColumn("_digest", F.xxhash64("_text"))
-    distinct = rows.groupBy("_lang", "_digest").agg(F.min("_long").alias("_long"))
+    distinct = durable(rows.select("_lang", "_digest").distinct())
     each = max(LEAST_EACH, sample // max(1, distinct.select("_lang").distinct().count()))
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_long", "_digest"))
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_digest"))
     chosen = distinct.withColumn("_nth", nth).where(F.col("_nth") <= each).select("_lang", "_digest")
     found = rows.join(small_side(durable(chosen)), ["_lang", "_digest"]).groupBy("_lang", "_digest").agg(F.min("_text").alias("_text")).orderBy("_lang", "_digest").collect()
     return train([r["_text"] for r in found], [r["_lang"] for r in found], **settings)
