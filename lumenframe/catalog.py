@@ -15,7 +15,6 @@ brought up to date as they are read (``STEPS``).
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import uuid
@@ -208,12 +207,11 @@ class Catalog:
     # data
 
     def _bucketed(self, table: str, location: str, ddl: str, buckets: int) -> str:
-        """The name of a table over ``location`` in this session, which knows that its files are bucketed by key."""
-        name = "lumenframe_" + hashlib.md5(f"{location} {ddl}".encode()).hexdigest()
+        """The name of a new table over ``location``, so that Spark knows that its files are bucketed by key. Whoever asked drops it; the files stay."""
+        name = f"lumenframe_{uuid.uuid4().hex}"
         key = ", ".join(f"`{c}`" for c in self._old_names(table, ddl))
         place = location.replace("\\", "\\\\").replace("'", "\\'")
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}, _commit string) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'")
-        self.spark.catalog.refreshTable(name)
+        self.spark.sql(f"CREATE TABLE {name} ({ddl}, _commit string) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'")
         return name
 
     def _old_names(self, table: str, ddl: str) -> list[str]:
@@ -244,7 +242,9 @@ class Catalog:
         if snapshot is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
         location = self._path(self._folder(table)[1], snapshot.data).toString()
-        rows = self.spark.table(self._bucketed(table, location, snapshot.columns, snapshot.buckets)).where(F.col("_commit").isin(list(snapshot.commits)))
+        name = self._bucketed(table, location, snapshot.columns, snapshot.buckets)
+        rows = self.spark.table(name).where(F.col("_commit").isin(list(snapshot.commits)))
+        self.spark.sql(f"DROP TABLE {name}")  # the rows have what they need of it
         if len(snapshot.commits) > 1:
             rows = last_of(rows, self._old_names(table, snapshot.columns), F.array_position(F.array(*map(F.lit, snapshot.commits)), F.col("_commit")))
         for step in STEPS.get(table, [])[snapshot.schema - 1 :]:

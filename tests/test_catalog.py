@@ -26,6 +26,16 @@ def size(root):
     return sum(p.stat().st_size for p in Path(root).rglob("part-*"))
 
 
+def test_no_table_is_left_in_the_session(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "it's a place"), 2)
+    for k in range(2):
+        catalog.put("directory_cache", directories(spark, ("/a", k)))
+    rows = catalog.read("directory_cache")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lumenframe_")]
+    catalog.put("directory_cache", directories(spark, ("/a", 7)))
+    assert [r["file_count"] for r in rows.collect()] == [1] and content(catalog) == {"/a": 7}
+
+
 def test_a_put_writes_only_its_rows(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path), 4)
     catalog.put("directory_cache", spark.range(50_000).select(F.concat(F.lit("/dir/"), F.md5(F.col("id").cast("string"))).alias("directory_path"), F.lit("t").alias("scan_timestamp"), F.col("id").alias("file_count"), F.lit(1.0).alias("last_modified")))
