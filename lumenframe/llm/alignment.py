@@ -48,7 +48,7 @@ from .common import keep_row, long_rows, small_side, stored, unpack
 #: Texts (after the added space) that can't be cut before each space: with runs of spaces, a space between other white space, or one at the end.
 UNSPLIT = re.compile(r"  |\s \s| $")
 #: Units that a worker remembers; an eighth of its pairs' number also.
-KNOWN = 500_000
+KNOWN = 400_000
 #: Texts aligned together.
 TEXTS = 256
 #: Links whose postings are sorted together, entries of one posting row, pairs formed together, and contributions held.
@@ -63,16 +63,23 @@ COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 EMPTY = np.zeros(0, np.int64)
 
 
+@functools.lru_cache(maxsize=2)
+def exact(vocabulary: str):
+    """The tokenizer itself, which takes much memory and is seldom needed."""
+    import tokenizers
+
+    found = tokenizers.Tokenizer.from_file(vocabulary)
+    found.encode_special_tokens = True
+    return found
+
+
 @functools.lru_cache(maxsize=2)
 def encoders(vocabulary: str, ranks: str | None, pattern: str | None, pieces: str):
     """Of A and B: from a list of strings that begin with a space to lists of ids; and the bytes of each id."""
     import json
 
     import sentencepiece
-    import tokenizers
 
-    exact = tokenizers.Tokenizer.from_file(vocabulary)
-    exact.encode_special_tokens = True
     if ranks:
         import base64
 
@@ -86,11 +93,11 @@ def encoders(vocabulary: str, ranks: str | None, pattern: str | None, pieces: st
             try:
                 return [quick.encode_ordinary(x) for x in texts]
             except (ValueError, RuntimeError):
-                return [exact.encode(x, add_special_tokens=False).ids for x in texts]
+                return [exact(vocabulary).encode(x, add_special_tokens=False).ids for x in texts]
     else:
 
         def encode_a(texts: list[str]) -> list[list[int]]:
-            return [exact.encode(x, add_special_tokens=False).ids for x in texts]
+            return [exact(vocabulary).encode(x, add_special_tokens=False).ids for x in texts]
 
     # byte-level entries spell each byte as a printable character: those that are one stand for themselves, the rest follow from 256 on
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
