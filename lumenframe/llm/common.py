@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..durable import shared_folder, written
+
 #: ASCII white space: the six characters that separate words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -23,24 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's folder for checkpoints, set if it was not."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenframe-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder that driver and executors share; the rows are counted on the way, for ``small_side``.
 
     The folder is the session's ``spark.checkpoint.dir``. Where none is set, a temporary
     one will do on one machine (as in tests); on a cluster it is an error.
     """
-    checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
     out._rows = seen.get["rows"]
@@ -48,12 +36,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``durable``: smaller than a checkpoint, and read by column. The session's checkpoints' folder owns it."""
-    spark = df.sparkSession
-    folder = checkpoint_folder(spark)
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the folder of ``durable``: smaller than a checkpoint, and read by column."""
+    return written(df)
 
 
 def long_rows(df: DataFrame) -> DataFrame:
