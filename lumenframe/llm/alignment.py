@@ -60,6 +60,8 @@ HELD = 1 << 20
 PART = 20_000
 MOST_PART = 2_000_000
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+#: A pair of ids is one number below 2**PAIR_BITS: vocabularies of a million each fit.
+PAIR_BITS = 40
 EMPTY = np.zeros(0, np.int64)
 
 
@@ -203,8 +205,8 @@ class Aligner:
 
         keys, times = EMPTY, EMPTY
         for group, pair, more in pairs_of(a, b, group_a, group_b, len(self.bytes_b)):
-            keys, times = add_up(np.concatenate([keys, unit[group] << 32 | pair]), np.concatenate([times, more]))
-        self.add(order, count, spelled, np.bincount(keys >> 32, minlength=len(order)), keys & ((1 << 32) - 1), times)
+            keys, times = add_up(np.concatenate([keys, unit[group] << PAIR_BITS | pair]), np.concatenate([times, more]))
+        self.add(order, count, spelled, np.bincount(keys >> PAIR_BITS, minlength=len(order)), keys & ((1 << PAIR_BITS) - 1), times)
 
     def equal(self, text: str, a: list[list[int]], b: list[list[int]]) -> bool:
         raw = text.encode()
