@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from ..functions import let
 SIMILAR_SCORE = 0.9
 #: Lookups of a value in all bands together.
 MOST_PROBES = 20_000
+#: Values are compared in blocks: in FEW_BLOCKS of at least LEAST_VALUES, or in as many of MOST_VALUES as there must be.
+FEW_BLOCKS, LEAST_VALUES, MOST_VALUES = 8, 1 << 13, 1 << 17
+#: Bands of so many bits are looked up in a table, and candidates spelled out about so many at a time.
+TABLE_BITS, CANDIDATES = 20, 1 << 19
 
 
 def fingerprints(files: DataFrame, content: str = "content") -> DataFrame:
@@ -105,25 +112,81 @@ def bands_of(distance: int, count: int) -> list[tuple[int, int, int]]:
     return min((cut(m) for m in range(1, distance + 2) if sum(probes(hi - lo, r) for lo, hi, r in cut(m)) <= MOST_PROBES), key=cost)
 
 
-def hamming_candidates(values: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
-    """(x, y) of different 64-bit numbers (h), x < y, that differ in a band by at most its radius: each pair at the first such band.
+def block_pairs(x: np.ndarray, y: np.ndarray, bands: list[tuple[int, int, int]], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of 64-bit numbers x and y the pairs that differ in a band by at most its radius, each at the first such band, and in all by at most ``distance``; a bounded number at a time.
 
-    A value is posted under its bits in each band and looks, in each, under all bits within the radius.
+    A value of y is posted under its bits in each band, and one of x looks, in each, under all bits within the radius.
     """
-    spark = values.sparkSession
-    signed = lambda n: n - (1 << 64) if n >> 63 else n
-    flips = [(k, signed(sum(1 << b for b in bits))) for k, (lo, hi, r) in enumerate(bands) for n in range(r + 1) for bits in combinations(range(lo, hi), n)]
-    # a fixed table: its size follows from the distance, not from the data
-    near = F.broadcast(spark.createDataFrame(flips, "pos int, flip long"))
-    masks = F.array(*[F.lit(signed(((1 << (hi - lo)) - 1) << lo)).cast("bigint") for lo, hi, _ in bands])
-    radii = F.array(*[F.lit(r) for _, _, r in bands])
-    posted = values.select("h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("pos", "key"))
-    probes = posted.join(near, "pos").select(F.col("h").alias("x"), "pos", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    apart = F.col("x").bitwiseXOR(F.col("y"))
-    within = F.zip_with(masks, radii, lambda m, r: F.bit_count(apart.bitwiseAND(m)) <= r)
-    earlier = F.exists(F.slice(within, F.lit(1), F.col("pos")), lambda w: w)
-    found = probes.join(posted.withColumnRenamed("h", "y"), ["pos", "key"]).where(F.col("x") < F.col("y"))
-    return found.where(~earlier).select("x", "y")
+    masks = [np.uint64(((1 << (hi - lo)) - 1) << lo) for lo, hi, _ in bands]
+    for k, (lo, hi, radius) in enumerate(bands):
+        # in the order of keys, lookups lie close together
+        x, y = (h[np.argsort(h & masks[k], kind="stable")] for h in (x, y))
+        asked, posted = ((h & masks[k]) >> np.uint64(lo) for h in (x, y))
+        edges = np.searchsorted(posted, np.arange((1 << (hi - lo)) + 1, dtype=np.uint64)) if hi - lo <= TABLE_BITS else None
+        for flip in (sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(hi - lo), n)):
+            probe = asked ^ np.uint64(flip)
+            if edges is not None:
+                at = probe.astype(np.int64)
+                first, count = edges[at], edges[at + 1] - edges[at]
+            else:
+                first = np.searchsorted(posted, probe)
+                count = np.searchsorted(posted, probe, "right") - first
+            ends = np.cumsum(count)
+            cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(CANDIDATES, ends[-1], CANDIDATES)), [len(x)]])) if len(x) and ends[-1] else ()
+            for i, j in zip(cuts, cuts[1:]):
+                start = ends[i] - count[i]
+                u, v = np.repeat(x[i:j], count[i:j]), y[np.repeat(first[i:j] - (ends[i:j] - count[i:j]), count[i:j]) + np.arange(start, ends[j - 1])]
+                near = np.flatnonzero(np.bitwise_count(u ^ v) <= distance)
+                for mask, (_, _, r) in zip(masks[:k], bands):
+                    near = near[np.bitwise_count((u[near] ^ v[near]) & mask) > r]
+                if len(near):
+                    yield u[near], v[near]
+
+
+def hamming_candidates(values: DataFrame, bands: list[tuple[int, int, int]], distance: int = 64, blocks: int = 1) -> DataFrame:
+    """(x, y) of different 64-bit numbers (h, each once), x < y, that differ in a band by at most its radius and in all by at most ``distance``; each pair once.
+
+    Values are dealt into blocks, and a task compares two of them (``block_pairs``): what it holds follows from the size of
+    a block, and a value is sent once for each block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, block, h = (np.concatenate(column) for column in zip(*([x.to_numpy(zero_copy_only=False) for x in batch.columns] for batch in batches)))
+        a, b = divmod(int(tile[0]), blocks)
+        left, right = h[block == a].view(np.uint64), h[block == b].view(np.uint64)
+        held, size = [], 0
+
+        def given() -> pa.RecordBatch:
+            u, v = (np.concatenate(side) for side in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["x", "y"])
+
+        for pair in block_pairs(left, right, bands, distance):
+            u, v = (side.view(np.int64) for side in pair)
+            # a block meets itself from both sides
+            held.append((u[u < v], v[u < v]) if a == b else (u, v))
+            size += len(held[-1][0])
+            if size >= CANDIDATES:
+                yield given()
+                held, size = [], 0
+        if size:
+            yield given()
+
+    own = values.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"))
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.least("block", other) * blocks + F.greatest("block", other))
+    dealt = own.select(F.explode(tiles).alias("tile"), "block", "h").repartition(2 * blocks * (blocks + 1), "tile")
+    return dealt.groupBy("tile").applyInArrow(run, "x long, y long")
+
+
+def numbers(hashes: DataFrame, hash_col: str) -> DataFrame:
+    return hashes.where(F.length(hash_col) == 16).withColumn("h", bits64(F.col(hash_col)))
+
+
+def near_values(values: DataFrame, distance: int) -> DataFrame:
+    """(x, y, distance) of pairs of the numbers h, each once, within ``distance`` bits, x < y."""
+    count = values.count()
+    blocks = max(1, min(FEW_BLOCKS, count // LEAST_VALUES), -(-count // MOST_VALUES))
+    near = hamming_candidates(values, bands_of(distance, max(1, count // blocks)), distance, blocks)
+    return near.select("x", "y", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
 
 
 def hamming_groups(hashes: DataFrame, distance: int = 3, hash_col: str = "hash") -> DataFrame:
@@ -133,10 +196,7 @@ def hamming_groups(hashes: DataFrame, distance: int = 3, hash_col: str = "hash")
     or. Candidates come from lookups in bands (``bands_of``): of 64 random bits and a distance of 15, four bands of 16 bits
     and a radius of 3 leave one pair in 23.
     """
-    values = written(hashes.where(F.length(hash_col) == 16).select(bits64(F.col(hash_col)).alias("h")).distinct())
-    near = hamming_candidates(values, bands_of(distance, values.count()))
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return near.where(apart <= distance).select("x", "y", apart.cast("int").alias("distance"))
+    return near_values(written(numbers(hashes, hash_col).select("h").distinct()), distance)
 
 
 def hamming_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
@@ -144,9 +204,9 @@ def hamming_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id", hash
 
     Equal hashes make pairs quadratic in their number; where that matters, take the groups.
     """
-    rows = hashes.where(F.length(hash_col) == 16).select(F.col(id_col).alias("id"), bits64(F.col(hash_col)).alias("h"))
+    rows = written(numbers(hashes, hash_col).select(F.col(id_col).alias("id"), "h"))
     left, right = rows.toDF("i", "x"), rows.toDF("j", "y")
-    near = hamming_groups(hashes, distance, hash_col).join(left, "x").join(right, "y").select("i", "j", "distance")
+    near = near_values(written(rows.select("h").distinct()), distance).join(left, "x").join(right, "y").select("i", "j", "distance")
     equal = left.join(right, (F.col("x") == F.col("y")) & (F.col("i") < F.col("j"))).select("i", "j", F.lit(0).alias("distance"))
     return near.union(equal).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
 

@@ -331,6 +331,43 @@ def test_probing_finds_all_with_few_candidates(spark, monkeypatch, distance, ban
         assert len(found) * 20 < len(values) * (len(values) - 1) / 2
 
 
+def brute_pairs(values):
+    import numpy as np
+
+    order = np.sort(values.view(np.int64))
+    apart = np.bitwise_count(order.view(np.uint64)[:, None] ^ order.view(np.uint64)[None])
+    at, to = np.nonzero(np.triu(apart <= 15, 1))
+    return set(zip(order[at].tolist(), order[to].tolist()))
+
+
+def test_blocks_of_values_are_compared_with_each_other(spark):
+    """Lookups stay within tasks: 5,000 values would make 14 million rows if each were shuffled."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 2**64, 4000, np.uint64, endpoint=False)
+    values = np.unique(np.concatenate([values, values[:1000] ^ (np.uint64(1) << rng.integers(0, 64, 1000, np.uint64))]))
+    rows, want = spark.createDataFrame([(x,) for x in values.view(np.int64).tolist()], "h long"), brute_pairs(values)
+    for blocks, bands in ((1, 4), (3, 4), (4, 6)):
+        spare = 16 - bands
+        cut = [(64 * k // bands, 64 * (k + 1) // bands, spare // bands + (k < spare % bands)) for k in range(bands)]
+        found = [tuple(r) for r in dedup.hamming_candidates(rows, cut, 15, blocks).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_a_dense_block_is_spelled_out_in_pieces(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dedup, "CANDIDATES", 1000)
+    values = np.unique(np.random.default_rng(6).integers(0, 1 << 14, 700, np.uint64) | np.uint64(1 << 63))
+    for bands in (dedup.bands_of(15, 500), dedup.bands_of(15, 10**7)):
+        pieces = list(dedup.block_pairs(values, values, bands, 15))
+        assert max(len(u) for u, _ in pieces) <= 1000 + len(values)
+        found = [(a, b) for u, v in pieces for a, b in zip(u.view(np.int64).tolist(), v.view(np.int64).tolist()) if a < b]
+        assert len(found) == len(set(found)) and set(found) == brute_pairs(values)
+    assert not list(dedup.block_pairs(values[:0], values, bands, 15)) and not list(dedup.block_pairs(values, values[:0], bands, 15))
+
+
 def test_bands_follow_the_number_of_values():
     for count in (10, 2000, 10**6, 10**9):
         bands = dedup.bands_of(15, count)
