@@ -281,12 +281,33 @@ def gathered(docs: DataFrame) -> DataFrame:
     return durable(found.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
 
+def ranks(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words in order, and each word's place among them."""
+    order = np.argsort(word)
+    new = np.diff(word[order], prepend=word[order[:1]]) != 0
+    place = np.empty(len(word), np.int64)
+    place[order] = np.cumsum(new)
+    return word[order[np.concatenate([[True], new[1:]])[: len(word)]]], place
+
+
 def summed(slot: np.ndarray, word: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct (slot, word) in order, and the sums of the counts."""
-    order = np.lexsort((word, slot))
-    slot, word = slot[order], word[order]
-    first = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (word[1:] != word[:-1])])[: len(slot)])
-    return slot[first], word[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
+    """The distinct (slot, word) in order, and the sums of the counts. Plain numbers sort much faster than two keys."""
+    words, place = ranks(word)
+    key = slot.astype(np.int64) * len(words) + place
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    at = order[first]
+    return slot[at], word[at], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
+
+
+def commonest(slot_first: np.ndarray, word: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Of each slot, whose rows begin at ``slot_first``, the word of most hits (then of the greater hash as text), its hits, its place among equals, and all hits."""
+    most = np.maximum.reduceat(n, slot_first)
+    place = (word.byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+    tied = n == np.repeat(most, np.diff(np.append(slot_first, len(n))))
+    top = np.maximum.reduceat(np.where(tied, place, np.iinfo(np.int64).min), slot_first)
+    return [(top.view(np.uint64) ^ np.uint64(1 << 63)).byteswap().view(np.int64), most, top, np.add.reduceat(n, slot_first)]
 
 
 def followed(docs: DataFrame, in_all: int) -> DataFrame:
@@ -303,14 +324,20 @@ def followed(docs: DataFrame, in_all: int) -> DataFrame:
     within = FOLLOW_BITS - part_bits
 
     def packed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        slot, word, n, m = summed(*(np.concatenate(x) for x in zip(*((s, w, np.ones(len(s), np.int64), (~x).astype(np.int64)) for s, w, x in pairs))))
+        slot, word, held = (np.concatenate(x) for x in zip(*pairs))
+        words, place = ranks(word)
         part = (slot >> within << word_bits) | (word >> np.uint64(64 - word_bits) if word_bits else np.zeros(len(word), np.uint64)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, slot, word, n, m = part[order], slot[order], word[order], n[order], m[order]
+        # one number that sorts by part, slot and word, its last bit whether the text is held out
+        key = np.sort((((part << within | slot & ((1 << within) - 1)) * len(words) + place) << 1) | held)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1]))
+        n = np.diff(np.append(first, len(key)))
+        m = n - np.add.reduceat(key & 1, first)
+        key, place = np.divmod(key[first] >> 1, len(words))
+        part, slot, word = key >> within, key & ((1 << within) - 1), words[place]
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
         bounds = np.append(cuts, len(slot))
         blob = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-        columns = [pa.array(part[cuts]), blob((slot & ((1 << within) - 1)).astype(np.uint32)), blob(word), blob(n.astype(np.uint32)), blob(m.astype(np.uint32))]
+        columns = [pa.array(part[cuts]), blob(slot.astype(np.uint32)), blob(word), blob(n.astype(np.uint32)), blob(m.astype(np.uint32))]
         return pa.RecordBatch.from_arrays(columns, names=["part", "slot", "word", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,18 +354,12 @@ def followed(docs: DataFrame, in_all: int) -> DataFrame:
         if size:
             yield packed(pairs)
 
-    def commonest(slot: np.ndarray, word: np.ndarray, n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Of each slot the word of most hits (then of the greater hash as text), its hits, its place among equals, and all hits."""
-        top = np.lexsort((word.byteswap(), n, slot))[np.append(first[1:], len(slot)) - 1]
-        place = (word[top].byteswap() ^ np.uint64(1 << 63)).view(np.int64)
-        return [word[top].view(np.int64), n[top], place, np.add.reduceat(n, first)]
-
     def best(rows: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
         slot, word, n, m = summed(whole("slot", np.uint32), whole("word", np.uint64), *(whole(x, np.uint32).astype(np.int64) for x in "nm"))
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         key = (rows["part"][0].as_py() >> word_bits << within) | slot[first].astype(np.int64)
-        return pa.Table.from_arrays([pa.array(x) for x in (key, *commonest(slot, word, n, first), *commonest(slot, word, m, first))], names=["key", "word", "n", "place", "m", "word0", "n0", "place0", "m0"])
+        return pa.Table.from_arrays([pa.array(x) for x in (key, *commonest(first, word, n), *commonest(first, word, m))], names=["key", "word", "n", "place", "m", "word0", "n0", "place0", "m0"])
 
     pairs = docs.select("text", "held").mapInArrow(run, "part long, slot binary, word binary, n binary, m binary")
     parts = pairs.groupBy("part").applyInArrow(best, "key long, word long, n long, place long, m long, word0 long, n0 long, place0 long, m0 long")

@@ -443,6 +443,28 @@ def test_model_learns_what_follows(spark):
     assert out.bits_per_byte[1000] < 0.7 < 2 < out.bits_per_byte[1001]
 
 
+def test_followers_are_summed_and_chosen_by_plain_numbers():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 3000):
+        slot, word = rng.integers(0, 40, size).astype(np.uint32), lm.mix(rng.integers(0, 60, size).astype(np.uint64))
+        n, m = rng.integers(1, 4, size), rng.integers(0, 2, size)
+        sums = {}
+        for s, w, a, b in zip(slot.tolist(), word.tolist(), n.tolist(), m.tolist()):
+            x = sums.setdefault((s, w), [0, 0])
+            x[0], x[1] = x[0] + a, x[1] + b
+        slots, words, *counts = lm.summed(slot, word, n, m)
+        assert list(zip(slots.tolist(), words.tolist())) == sorted(sums) and [list(x) for x in zip(*(c.tolist() for c in counts))] == [sums[k] for k in sorted(sums)]
+        first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        for k, count in enumerate(counts):
+            word_of, hits, place, whole = lm.commonest(first, words, count)
+            for i, s in enumerate(slots[first].tolist()):
+                own = {w: x[k] for (t, w), x in sums.items() if t == s}
+                best = max(own, key=lambda w: (own[w], w.to_bytes(8, "little")))
+                assert (int(word_of.view(np.uint64)[i]), hits[i], whole[i]) == (best, own[best], sum(own.values()))
+                assert int(place[i]) + (1 << 63) == int.from_bytes(best.to_bytes(8, "little"), "big")
+    assert [len(x) for x in lm.summed(slot[:0], word[:0], n[:0])] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("limit", [10, 1 << 20])
 def test_followers_are_counted_over_all_chunks(spark, rows, docs, monkeypatch, limit):
     monkeypatch.setattr(lm, "CHUNK_BYTES", limit)
